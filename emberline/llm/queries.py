@@ -10,13 +10,30 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
+from .packing import pack_sequences
 from .quality import quality_rules
+from .secrets import secret_scan
+from .tokens import token_counts
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    docs = docs.withColumn("repo", F.concat_ws("/", "source", "lang"))
+    return secret_scan(docs, repo="repo", keep=["doc_id"]).drop("secrets")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs, keep=["doc_id"])
@@ -24,6 +41,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_secrets": op2_secrets,
+    "op3_token_counts": op3_token_counts,
+    "op6_packing": op6_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
