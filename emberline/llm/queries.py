@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
 from .packing import pack_sequences
 from .quality import quality_rules
 from .secrets import secret_scan
 from .tokens import token_counts
+from .urls import filter_urls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", bad.alias("block"))
+    return filter_urls(pages, labelled, URL_RULES)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filters": op4_url_filters,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
