@@ -11,6 +11,7 @@ from .common import read_table
 from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
+from .neardup import near_duplicates
 from .packing import pack_sequences
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -48,6 +49,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op10_quality_rules": op10_quality_rules,
