@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .fingerprints import edit_fingerprints
 from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
@@ -57,6 +58,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs, keep=["doc_id"])
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
+    "op8_fingerprints": op8_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 
