@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .packing import pack_sequences
 from .quality import quality_rules
 from .secrets import secret_scan
+from .substrings import remove_repeats
 from .tokens import token_counts
 from .urls import filter_urls
 
@@ -62,6 +63,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs, keep=["doc_id"])
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_fingerprints": op8_fingerprints,
+    "op9_suffix_arrays": op9_suffix_arrays,
     "op10_quality_rules": op10_quality_rules,
 }
 
