@@ -132,3 +132,15 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *got.values()], [*keep, *got])
 
     return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text")), "_text", work, schema)
+
+
+def keep_good(df: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The rows whose text the rules keep, with all their columns.  Texts pass by
+    in bounded pieces and nothing is shuffled or joined."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    at = df.columns.index(text)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(measure(batch.column(at), **limits)["kept"]))
+
+    return map_batches(df, text, work, schema)
