@@ -9,9 +9,12 @@
    collisions of b bits, with a margin of several standard deviations) are
    confirmed on full shingle sets, made anew for the few texts concerned.
 5. Components of the confirmed links are formed.  Where a bucket still holds
-   nodes of several components, all pairs across components are compared by
-   bit counts in blocks of bounded size; those that pass are confirmed as well.
-   So every pair that shares a bucket is either compared or already connected.
+   nodes of several components, bit counts tell in blocks of bounded size which
+   nodes may be connected at all, and give a forest of such clusters.  Within a
+   cluster all pairs across components that bit counts allow are compared on
+   full sets, again in blocks; a block gives a forest of confirmed links, never
+   all pairs.  So every pair that shares a bucket is either compared or already
+   connected, and no table grows with the square of a group.
 
 With ``r`` rows in ``b`` bands a pair of similarity ``s`` misses every bucket
 with probability ``(1 - s**r)**b``: 3e-6 at 0.8 with the defaults.
@@ -35,8 +38,9 @@ PERMUTATIONS = BANDS * ROWS
 LONGS = PERMUTATIONS * BITS // 64
 #: Standard deviations below the threshold at which a bit count still passes.
 MARGIN = 5.0
-#: Nodes of a bucket compared at once.
-BLOCK = 256
+#: Nodes compared at once by bit counts, 40 bytes each, and by full sets.
+BLOCK = 2048
+EXACT_BLOCK = 256
 
 _RNG = np.random.default_rng(20240501)
 _XOR = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -148,62 +152,114 @@ def full_sets(df: DataFrame, text: str, width: int) -> DataFrame:
     return map_batches(df.select(F.col(text).alias("_text")), "_text", work, "node long, shingles array<long>")
 
 
-def _across(least: int, percent: int):
-    """For rows sorted by group: pairs of one group, of different components, whose
-    sizes and bit counts allow the similarity."""
-
-    def group(rows: dict[str, np.ndarray], sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(sig)
-        size, comp, side = rows["n"], rows["component"], rows["side"]
-        odd = np.uint64(_ODD)
-        for i in range(n - 1):
-            x = sig[i + 1 :] ^ sig[i]
-            same = PERMUTATIONS - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1, dtype=np.int64)
-            low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-            # side 0 compares within, sides 1 and 2 with each other only
-            ok = (same >= least) & (100 * low >= percent * high) & (comp[i + 1 :] != comp[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i]))
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                yield np.full(len(j), i), j
+def _matching(sig: np.ndarray, i: int) -> np.ndarray:
+    """Equal minima of row ``i`` with each row after it."""
+    x = sig[i + 1 :] ^ sig[i]
+    return PERMUTATIONS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_ODD)).sum(axis=1, dtype=np.int64)
+
+
+def _pairs_across(size: np.ndarray, side: np.ndarray, sig: np.ndarray, label: np.ndarray, least: int, percent: int, confirm=None) -> list[tuple[int, int]]:
+    """Row pairs that join all labels of a block that are to be joined, at most one
+    fewer than its rows.  A pair is to be joined if its sizes and bit counts
+    allow the similarity and ``confirm(i, js)`` says so.  Side 0 is compared
+    within, sides 1 and 2 with each other only.  ``label`` is changed."""
+    out = []
+    for i in range(len(sig) - 1):
+        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        ok = (label[i + 1 :] != label[i]) & (100 * low >= percent * high) & ((side[i] == 0) | (side[i + 1 :] != side[i]))
+        if not ok.any():
+            continue
+        j = np.flatnonzero(ok & (_matching(sig, i) >= least)) + i + 1
+        if len(j) and confirm is not None:
+            j = j[confirm(i, j)]
+        for one in j[np.unique(label[j], return_index=True)[1]].tolist():
+            out.append((i, one))
+            label[label == label[one]] = label[i]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> pa.RecordBatch | None:
-            keys = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            rows = {c: table[c].to_numpy() for c in ("node", "n", "component", "side")}
-            sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
-            found = []
-            for a, b in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
-                own = {c: x[a:b] for c, x in rows.items()}
-                if b - a > 1 and own["component"].min() != own["component"].max():
-                    found += [(own["node"][x], own["node"][y]) for x, y in group(own, sig[a:b])]
-            if not found:
-                return None
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _blocks(work):
+    """``mapInArrow`` over rows sorted by ``bucket, i, j``: ``work(table)`` of each
+    group, which may run over several batches, gives pairs of nodes."""
+    keys = ("bucket", "i", "j")
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        at = np.stack([table[c].to_numpy() for c in keys])
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+        found = [x for a, b in zip([0, *cuts], [*cuts, table.num_rows], strict=True) if b - a > 1 for x in work(table.slice(a, b - a))]
+        if found:
+            a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # all but the last group are complete
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j")])
-            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-            at = int(last[-1]) + 1 if len(last) else 0
-            first = [h.slice(0, 1) for h in held[:1]]
-            if at or first and any(first[0].column(c)[0] != batch.column(c)[0] for c in ("bucket", "i", "j")):
-                out = flush(pa.Table.from_batches([*held, batch.slice(0, at)]))
+            # all but the last group of the batch are complete
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+            other = np.flatnonzero((at != at[:, -1:]).any(axis=0))
+            first = int(other[-1]) + 1 if len(other) else 0
+            if first or held and any(held[0].column(c)[0] != batch.column(c)[0] for c in keys):
+                yield from done([*held, batch.slice(0, first)])
                 held = []
-                if out is not None:
-                    yield out
-            held.append(batch.slice(at))
-        if held and (out := flush(pa.Table.from_batches(held))) is not None:
-            yield out
+            held.append(batch.slice(first))
+        if held:
+            yield from done(held)
 
     return run
 
 
+def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Node, size, side, label and signature of a block's rows."""
+    sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+    return (*(table[c].to_numpy() for c in ("node", "n", "side")), table["component"].to_numpy().copy(), sig)
+
+
+def candidate_blocks(least: int, percent: int):
+    """Pairs that connect whatever a block's bit counts allow."""
+
+    def work(table: pa.Table) -> list[tuple[int, int]]:
+        node, size, side, label, sig = _rows(table)
+        return [(node[i], node[j]) for i, j in _pairs_across(size, side, sig, label, least, percent)]
+
+    return _blocks(work)
+
+
+def exact_blocks(least: int, percent: int):
+    """Pairs that connect what a block's full sets link."""
+
+    def work(table: pa.Table) -> list[tuple[int, int]]:
+        node, size, side, label, sig = _rows(table)
+        if (label == label[0]).all():
+            return []
+        sets = table["shingles"].combine_chunks()
+        values, inverse = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(len(values), bool)
+
+        def confirm(i: int, js: np.ndarray) -> np.ndarray:
+            mark[inverse[bounds[i] : bounds[i + 1]]] = True
+            both = np.array([np.count_nonzero(mark[inverse[bounds[j] : bounds[j + 1]]]) for j in js.tolist()], np.int64)
+            mark[inverse[bounds[i] : bounds[i + 1]]] = False
+            return 100 * both >= percent * (size[i] + size[js] - both)
+
+        return [(node[i], node[j]) for i, j in _pairs_across(size, side, sig, label, least, percent, confirm)]
+
+    return _blocks(work)
+
+
+def in_blocks(rows: DataFrame, members: str, size: int) -> DataFrame:
+    """Rows of each ``bucket`` dealt into pairs ``i, j`` of blocks of about ``size`` rows."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return (
+        rows.withColumn("blocks", F.ceil(F.col(members) / size).cast("int")).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "node", "component")
+    )
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``df``.
 
@@ -224,13 +280,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     facts = nodes.select("node", "n", "sig")
     fits = lambda n, m: F.least(n, m) * 100 >= percent * F.greatest(n, m)
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        """``node, shingles`` of the nodes, made anew from their texts."""
+        some = some.distinct()
+        keys = nodes.select("node", "key").join(some, "node", "left_semi").select(F.col("key").alias("_key")).distinct()
+        return cut(full_sets(_semi(df, key, text, keys), "_text", width).join(some, "node", "left_semi").dropDuplicates(["node"]))
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose full sets are alike enough."""
         pairs = cut(pairs)
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = nodes.select("node", "key").join(needed, "node", "left_semi").select(F.col("key").alias("_key")).distinct()
-        texts = _semi(df, key, text, keys)
-        sets = cut(full_sets(texts, "_text", width).join(needed, "node", "left_semi").dropDuplicates(["node"]))
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -241,21 +300,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     links = cut(confirm(stars.join(b, "b").join(a, "a").where(fits(F.col("na"), F.col("nb")) & (matches(F.col("sa"), F.col("sb")) >= least)).select("a", "b")))
     groups = components(links)
 
-    # buckets that still hold several components: all pairs across them, in blocks
+    # buckets that still hold several components: which of their nodes bit counts would connect
     known = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sent = (
-        known.join(open_, "bucket", "left_semi").withColumn("blocks", blocks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "node", "component")
-        .join(facts, "node")
-    )
-    more = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(least, percent), "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    further = cut(confirm(more.join(tried, ["a", "b"], "left_anti")))
-    if further.limit(1).count():
+    sent = in_blocks(known.join(open_, "bucket", "left_semi"), "members", BLOCK).join(facts, "node")
+    sorted_ = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    maybe = cut(sorted_.mapInArrow(candidate_blocks(least, percent), "a long, b long").distinct())
+    if maybe.limit(1).count():
+        # in each cluster of them all pairs across components are compared on full sets
+        clusters = components(links.union(maybe)).select("node", F.col("component").alias("bucket")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = clusters.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members")
+        dealt = cut(clusters.join(several, "bucket"))
+        sets = sets_of(dealt.select("node"))
+        sent = in_blocks(dealt, "members", EXACT_BLOCK).join(facts, "node").join(sets, "node")
+        sorted_ = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        further = cut(sorted_.mapInArrow(exact_blocks(least, percent), "a long, b long").distinct())
         groups = components(links.union(further))
 
     # back to rows: a node's copies share its component

@@ -59,7 +59,7 @@ def near_copies():
     r = random.Random(3)
     base = [f"w{r.randint(0, 400)}" for _ in range(300)]
     rows = []
-    for i in range(400):
+    for i in range(250):
         w = list(base)
         for _ in range(r.choice([0, 2, 4, 6, 8, 10, 12])):
             w[r.randrange(len(w))] = f"x{r.randint(0, 9999)}"
@@ -81,7 +81,8 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_find_what_hubs_miss(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "EXACT_BLOCK", 32)
     rows = [(i, t) for i, t in enumerate(near_copies())]
     assert got(frame(spark, rows), 4) == brute(rows, 4)
 
