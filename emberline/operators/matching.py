@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 # How a match is accepted.
 COMMON = 100
 ANCHORS, HASHES, BINS, FRACTION = 6, 8, 3, 0.25
@@ -55,6 +57,8 @@ def accept(matches: DataFrame, references: DataFrame, rate: float = 100.0) -> Da
 
     ``references(reference, anchors, duration_s)``.
     """
+    # read twice, so written once
+    matches = checkpointed(matches)
     modes = offset_modes(matches)
     near = matches.withColumn("offset", F.col("anchor") - F.col("at")).join(modes, ["query", "reference"]).where(F.abs(F.rint(F.col("offset") / 3.0) - F.col("bucket")) <= 1)
     found = near.groupBy("query", "reference", "bucket", "hits").agg(
@@ -81,11 +85,16 @@ def match_summary(queries: DataFrame, matches: DataFrame, label: str = "label")
     return queries.join(hit, "query", "left").groupBy(label).agg(F.count(F.lit(1)).alias("queries"), F.sum(F.coalesce("_hit", F.lit(0))).alias("matched"))
 
 
-def word_tokens(text: Column, gap: int = 8) -> Column:
-    """Landmarks of a text: pairs of words up to ``gap`` apart as packed tokens with
-    the first word's place."""
-    code = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 512
-    codes = F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != ""), code)
-    # held as a lambda's variable, the codes are worked out once a text
-    pairs = lambda c: F.flatten(F.transform(c, lambda v, i: F.transform(F.slice(c, i + 2, F.lit(gap)), lambda u, k: F.struct(F.shiftleft(v, 18).bitwiseOR(F.shiftleft(u, 9)).bitwiseOR(F.floor((k + 1) / 2).cast("long")).alias("token"), i.alias("frame")))))
-    return F.get(F.transform(F.array(codes), pairs), F.lit(0))
+def word_postings(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFrame:
+    """``key, token, frame``: landmarks of texts, pairs of words up to ``gap`` apart
+    as packed tokens with the first word's place.
+
+    Words become rows of nine-bit codes first, and the words that follow come
+    from one window over each text, so no Python and no nested lambdas run.
+    """
+    words = F.filter(F.split(F.col(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = df.select(key, F.posexplode(words).alias("frame", "w")).select(key, "frame", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(511)).alias("c"))
+    w = Window.partitionBy(key).orderBy("frame")
+    ahead = rows.select(key, "frame", "c", *(F.lead("c", k).over(w).alias(f"c{k}") for k in range(1, gap + 1)))
+    pair = lambda k: F.shiftleft("c", 18).bitwiseOR(F.shiftleft(f"c{k}", 9)).bitwiseOR(F.lit(k // 2).cast("long"))
+    return ahead.select(key, "frame", F.explode(F.array(*(pair(k) for k in range(1, gap + 1)))).alias("token")).where("token is not null")

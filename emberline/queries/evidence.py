@@ -136,7 +136,7 @@ def tokens_sql(name: str, key: str, source: str) -> str:
 
 
 def postings(spark: SparkSession, sf: str, name: str, key: str, to: str) -> DataFrame:
-    return table(spark, sf, name, key, "text").select(F.col(key).alias(to), F.explode(J.word_tokens(F.col("text"))).alias("t")).select(to, "t.token", "t.frame")
+    return J.word_postings(table(spark, sf, name, key, "text"), key, "text").withColumnRenamed(key, to)
 
 
 _LAND = tokens_sql("refs", "item_id", "benchmark")
