@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shuffle_partitions, slices
+from .common import bit_likeness, cut, map_batches, pieces, shuffle_partitions, slices
+from .graph import components
+from .neardup import BLOCK, _blocks, _pairs_across, in_blocks
 
 BITS = 512
 PERIOD = 4096
@@ -237,3 +239,62 @@ def near_prints(a: F.Column, b: F.Column) -> F.Column:
         x, y = (F.conv(F.substring(f, i + 1, step), 16, 10).cast("long") for f in (a, b))
         total = total + F.bit_count(x.bitwiseXOR(y))
     return F.greatest(F.lit(0.0), 2.0 * (BITS - total) / BITS - 1.0)
+
+
+def _same_bits(sig: np.ndarray, i: int) -> np.ndarray:
+    """Equal bits of row ``i`` with each row after it."""
+    return BITS - np.bitwise_count(sig[i + 1 :] ^ sig[i]).sum(axis=1, dtype=np.int64)
+
+
+def edit_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.9) -> DataFrame:
+    """``key, fingerprint, component_id, links``: texts whose whole fingerprints are
+    at least ``least`` alike, in components named by their least key.
+
+    Bands of sampled bits give buckets; in a bucket each fingerprint is compared
+    with one hub, and where several components remain, all of them across
+    components in blocks of bounded size, so no group is emitted pair by pair.
+    ``links`` counts the links by which the component was found.  Null and empty
+    texts have one fingerprint and are linked with nothing; repeated rows share
+    theirs; an empty table gives an empty result.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    need = int(np.ceil((least + 1.0) / 2.0 * BITS))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        prints = fingerprints(texts)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.tobytes().hex() for x in prints])], ["key", "n", "fingerprint"])
+
+    rows = cut(map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text", work, f"key {kind}, n long, fingerprint string"))
+    rows = rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("fingerprint")))
+    same = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least_key"), F.min("fingerprint").alias("fingerprint"))
+    unhex = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.substring(F.col("fingerprint"), i * 16 + 1, F.lit(16)))
+    # two halves of 32 bits, as 16 hexadecimal digits take a long's sign
+    half = lambda h, a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
+    nodes = cut(same.withColumn("hex", unhex).select("node", "least_key", "fingerprint", F.transform("hex", lambda h: F.shiftleft(half(h, 1), 32).bitwiseOR(half(h, 9))).alias("sig")))
+    each = nodes.select("node", F.explode(bit_bands(F.col("fingerprint"))).alias("bucket"))
+    shared = cut(each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
+    members = cut(each.join(shared, "bucket"))
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(stars.join(a, "a").join(b, "b").where(bit_likeness(F.col("sa"), F.col("sb"), BITS // 64) >= need).select("a", "b"))
+    groups = components(links)
+    known = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = cut(known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
+
+    def across(table: pa.Table) -> list[tuple[int, int]]:
+        node, side, label = (table[c].to_numpy() for c in ("node", "side", "component"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        return [(node[i], node[j]) for i, j in _pairs_across(np.ones(len(node)), side, sig, label.copy(), need, 0, matching=_same_bits)]
+
+    sent = in_blocks(known.join(open_, "bucket", "left_semi"), "members", BLOCK).join(nodes.select("node", "sig"), "node")
+    more = cut(sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(across), "a long, b long").distinct())
+    if more.limit(1).count():
+        links = links.union(more).distinct()
+        groups = components(links)
+    of = nodes.select("node", "least_key").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = links.join(of.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("links"))
+    first = of.groupBy("component").agg(F.min("least_key").alias("component_id")).join(counted, "component", "left")
+    final = of.join(first, "component").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = rows.join(final, "node", "left")
+    return out.select(F.col("key").alias(key), "fingerprint", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

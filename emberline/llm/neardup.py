@@ -158,7 +158,7 @@ def _matching(sig: np.ndarray, i: int) -> np.ndarray:
     return PERMUTATIONS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_ODD)).sum(axis=1, dtype=np.int64)
 
 
-def _pairs_across(size: np.ndarray, side: np.ndarray, sig: np.ndarray, label: np.ndarray, least: int, percent: int, confirm=None) -> list[tuple[int, int]]:
+def _pairs_across(size: np.ndarray, side: np.ndarray, sig: np.ndarray, label: np.ndarray, least: int, percent: int, confirm=None, matching=_matching) -> list[tuple[int, int]]:
     """Row pairs that join all labels of a block that are to be joined, at most one
     fewer than its rows.  A pair is to be joined if its sizes and bit counts
     allow the similarity and ``confirm(i, js)`` says so.  Side 0 is compared
@@ -169,7 +169,7 @@ def _pairs_across(size: np.ndarray, side: np.ndarray, sig: np.ndarray, label: np
         ok = (label[i + 1 :] != label[i]) & (100 * low >= percent * high) & ((side[i] == 0) | (side[i + 1 :] != side[i]))
         if not ok.any():
             continue
-        j = np.flatnonzero(ok & (_matching(sig, i) >= least)) + i + 1
+        j = np.flatnonzero(ok & (matching(sig, i) >= least)) + i + 1
         if len(j) and confirm is not None:
             j = j[confirm(i, j)]
         for one in j[np.unique(label[j], return_index=True)[1]].tolist():
