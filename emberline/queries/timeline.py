@@ -269,3 +269,41 @@ def detect(spark: SparkSession, sf: str) -> DataFrame:
     events = T.greedy_separated(scored.withColumn("score", F.col("p")), "score").groupBy("clip").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "frame"))), lambda x: x["frame"].cast("string"))).alias("events"))
     pooled = scored.groupBy("clip").agg(A.linear_softmax(F.col("p")).alias("score"))
     return pooled.join(events, "clip").select("clip", r6("score").alias("score"), risk_tier(F.col("score")).alias("tier"), "events")
+
+
+_Q = [(10, 0.1), (25, 0.25), (50, 0.5), (75, 0.75), (95, 0.95), (99, 0.99)]
+
+
+@query(f"WITH {FRAMES} SELECT clip, " + ", ".join(r(f"quantile_cont(level, {q})", f"p{n}") for n, q in _Q) + f""", {r('quantile_cont(level, 0.95) - quantile_cont(level, 0.1)', 'dynamic_range')},
+  {r('avg(CASE WHEN level >= 24 THEN 1.0::DOUBLE ELSE 0 END)', 'loud')}, {r('avg(CASE WHEN level <= 10 THEN 1.0::DOUBLE ELSE 0 END)', 'quiet')} FROM frames GROUP BY clip""")
+def clip_level_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A clip's level percentiles, range, and shares of loud and quiet frames."""
+    f = frames(spark, sf)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return f.groupBy("clip").agg(
+        *(r6(F.percentile("level", F.lit(q))).alias(f"p{n}") for n, q in _Q), r6(F.percentile("level", F.lit(0.95)) - F.percentile("level", F.lit(0.1))).alias("dynamic_range"),
+        r6(share(F.col("level") >= 24)).alias("loud"), r6(share(F.col("level") <= 10)).alias("quiet"),
+    )
+
+
+@query(f"""WITH {WINDOWS}, w AS (SELECT clip, frame, p AS score FROM windows)""" + _NMS.format(t="w") + """, blk AS (SELECT clip, frame FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip, frame // 20 ORDER BY p DESC, frame) AS rn FROM windows) WHERE rn = 1),
+  opening AS (SELECT clip, frame FROM (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY level DESC, frame) AS rn FROM frames WHERE frame < 21) WHERE rn = 1)
+  SELECT clip, frame FROM nms UNION SELECT clip, frame FROM blk UNION SELECT clip, frame FROM opening""")
+def proposal_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Separate picks, the best of each block and the opening, each frame once."""
+    w = windows(spark, sf)
+    picks = T.greedy_separated(w.withColumn("score", F.col("p")), "score").select("clip", F.col("frame").cast("long").alias("frame"))
+    blocks = W.first_best(w.select("clip", F.floor(F.col("frame") / 20).alias("block"), "frame", "p"), "p", ["clip", "block"]).select("clip", F.col("frame").cast("long").alias("frame"))
+    first = W.first_best(frames(spark, sf).where("frame < 21").select("clip", "frame", "level"), "level", ["clip"]).select("clip", F.col("frame").cast("long").alias("frame"))
+    return picks.unionByName(blocks).unionByName(first).distinct()
+
+
+@query(f"""WITH {FRAMES}, t AS (SELECT h.held, f.clip FROM (SELECT DISTINCT clip % 7 AS held FROM frames) h, (SELECT DISTINCT clip FROM frames) f WHERE f.clip % 7 <> h.held AND f.clip % 14 <> h.held),
+  k AS (SELECT held, sha256(string_agg(clip::VARCHAR, ',' ORDER BY clip)) AS training_key FROM t GROUP BY held) SELECT training_key, count(*) AS folds, min(held) AS first FROM k GROUP BY training_key""")
+def training_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds that share a training set share its key, and so its fit."""
+    users = frames(spark, sf).select("clip").distinct()
+    held = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("held")
+    t = users.select("clip", held).where((F.col("clip") % 7 != F.col("held")) & (F.col("clip") % 14 != F.col("held")))
+    key = F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("clip")), lambda c: c.cast("string"))), 256)
+    return t.groupBy("held").agg(key.alias("training_key")).groupBy("training_key").agg(F.count(F.lit(1)).alias("folds"), F.min("held").cast("long").alias("first"))
