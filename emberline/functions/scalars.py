@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The tiers' lower bounds.
 MAYBE, ALERT = 0.6, 0.8
 
 

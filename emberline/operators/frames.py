@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalars import db_power, logistic, power_db
 
+# The level floor, the level offset, and the selection score's
+# centres, widths and powers (event level, jump, jump in robust deviations).
 FLOOR = -90.0
+OFFSET = -0.691
+EVENT = (-10.5, 2.5, 0.9)
+JUMP = (13.0, 3.5, 1.25)
+ROBUST = (6.0, 2.0, 0.65, 0.35)
+MAD_SCALE, LEAST_MAD = 1.4826, 2.0
 
 
 def ordered(clip: str = "clip", frame: str = "frame") -> Window:
@@ -46,7 +53,7 @@ def tumbling_levels(df: DataFrame, value: str, size: int, clip: str = "clip") ->
         df.groupBy(clip, F.floor(F.col("frame") / size).cast("long").alias("block"))
         .agg(F.count(F.lit(1)).alias("frames"), F.avg(x * x).alias("power"), F.max(F.abs(x)).alias("peak"), F.avg((F.abs(x) >= 10 ** (-1 / 20)).cast("double")).alias("clipped"))
         .where(F.col("frames") == size)
-        .withColumn("level", F.greatest(F.lit(FLOOR), -0.691 + power_db(F.col("power"))))
+        .withColumn("level", F.greatest(F.lit(FLOOR), OFFSET + power_db(F.col("power"))))
         .drop("frames", "power")
     )
 
@@ -86,8 +93,9 @@ def forward_quartile(df: DataFrame, sizes: tuple[int, ...] = (2, 6, 12, 20)) ->
 
 def selection_score(event: Column, jump: Column, mad: Column) -> Column:
     """Product of three sigmoids: event level, jump, and jump in robust deviations."""
-    robust = jump / F.greatest(F.lit(2.0), 1.4826 * mad)
-    return F.pow(logistic((event + 10.5) / 2.5), F.lit(0.9)) * F.pow(logistic((jump - 13.0) / 3.5), F.lit(1.25)) * (0.65 + 0.35 * logistic((robust - 6.0) / 2.0))
+    robust = jump / F.greatest(F.lit(LEAST_MAD), MAD_SCALE * mad)
+    sigmoid = lambda x, by: F.pow(logistic((x - by[0]) / by[1]), F.lit(by[2]))
+    return sigmoid(event, EVENT) * sigmoid(jump, JUMP) * (ROBUST[2] + ROBUST[3] * logistic((robust - ROBUST[0]) / ROBUST[1]))
 
 
 def differences(df: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Boundary error, distance that is clear of an event, slack, nearness (seconds).
 ERROR_S = 0.05
 CLEAR_S = 6.0
 SLACK = 1e-9
+NEAR_S = 0.25
 
 
 def label_policy(ambiguous: Column, positive: Column, visual_only: Column, negative: Column, prefix_listed: Column, provisional_excluded: Column, extra_provisional: Column, batch_excluded: Column) -> Column:
@@ -79,7 +81,7 @@ def nearest_onset(starts: Column, candidates: Column) -> Column:
     it lies within 250 ms (1e-9 slack)."""
     def best(s: Column) -> Column:
         near = F.array_min(F.transform(candidates, lambda c, i: F.struct(F.abs(c - s).alias("distance"), i.alias("place"), c.alias("onset"))))
-        return F.struct(s.alias("start_s"), near["onset"].alias("onset"), near["distance"].alias("distance"), (near["distance"] <= 0.25 + SLACK).alias("hit"))
+        return F.struct(s.alias("start_s"), near["onset"].alias("onset"), near["distance"].alias("distance"), (near["distance"] <= NEAR_S + SLACK).alias("hit"))
 
     return F.transform(starts, best)
 

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Sample rate, and the weighting's high-pass cut, shelf cut and gain.
 RATE = 16000
+HIGH_PASS_HZ, SHELF_HZ, SHELF_DB = 70.0, 1500.0, 4.0
 
 
 def high_pass(cut: float, rate: float = RATE, q: float = 0.5**0.5) -> np.ndarray:
@@ -46,7 +48,7 @@ def weighted(x: np.ndarray, rate: float = RATE, block: int = 512 * 160) -> np.nd
     out = []
     for at in range(0, x.shape[1], block):
         part = x[:, at : at + block]
-        for k, section in enumerate((high_pass(70.0, rate), high_shelf(1500.0, 4.0, rate))):
+        for k, section in enumerate((high_pass(HIGH_PASS_HZ, rate), high_shelf(SHELF_HZ, SHELF_DB, rate))):
             part, states[k] = filter_section(part, section, states[k])
         out.append(part)
     return np.concatenate(out, axis=1) if out else x.astype(float)
