@@ -87,13 +87,14 @@ def seed_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return M.seed_by_digest(docs, "digest", "payload", "doc_id").select("doc_id", F.coalesce("payload", F.lit(-1)).alias("payload"), "seeded")
 
 
-@query("""WITH o AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 10 = 3 THEN 'failed' ELSE 'ok' END AS status FROM documents WHERE doc_id % 3 <> 0),
-  n AS (SELECT source || '/' || doc_id AS path, 'ok' AS status FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH o AS (SELECT source || '/' || doc_id AS path, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'ok' END AS status FROM documents WHERE lang <> 'es'),
+  n AS (SELECT source || '/' || doc_id AS path, 'ok' AS status FROM documents WHERE lang IN ('es', 'fr'))
   SELECT path, status, false AS retained_failure FROM n UNION ALL SELECT path, status, status = 'failed' FROM o WHERE path NOT IN (SELECT path FROM n)""")
 def carry_anti(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents", "doc_id", "source").withColumn("path", F.concat_ws("/", "source", "doc_id"))
-    old = docs.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 10 == 3, "failed").otherwise("ok").alias("status"))
-    return M.upsert(old, docs.where("doc_id % 2 = 0").select("path", F.lit("ok").alias("status")), "path")
+    """An index without one language, and a new supply of two."""
+    docs = table(spark, sf, "documents", "doc_id", "source", "lang", "n_chars").withColumn("path", F.concat_ws("/", "source", "doc_id"))
+    old = docs.where("lang <> 'es'").select("path", F.when(F.col("n_chars") < 500, "failed").otherwise("ok").alias("status"))
+    return M.upsert(old, docs.where("lang in ('es', 'fr')").select("path", F.lit("ok").alias("status")), "path")
 
 
 @query("""WITH x AS (SELECT d.doc_id, source, coalesce(toxic = 1, false) AS amb, coalesce(quality = 1, false) AS pos, coalesce(quality = 0, false) AS neg FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
@@ -187,10 +188,10 @@ def set_ops_review(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("source", F.size(F.array_union("x", "y")).alias("either"), F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_except("x", "y")).alias("only_first"))
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM labels UNION ALL (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0)""")
+@query("""SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels UNION ALL (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')""")
 def set_difference(spark: SparkSession, sf: str) -> DataFrame:
     """What only one of two sets has."""
-    docs, own = table(spark, sf, "documents", "doc_id").where("doc_id % 2 = 0"), table(spark, sf, "labels", "doc_id")
+    docs, own = table(spark, sf, "documents", "doc_id", "lang").where("lang = 'en'").select("doc_id"), table(spark, sf, "labels", "doc_id")
     return docs.exceptAll(own).distinct().union(own.exceptAll(docs).distinct())
 
 
