@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from . import winnow
 from .common import checkpoint_folder, cut, map_batches, pieces, text_buffer
-from .suffixes import MOST, repeated, search
+from .suffixes import repeated, search
 
 GRAM = 128
 #: Segments in a part of an anchor's group.
 PART = 2800
-#: Segments in a shard, about.
+#: Segments in a shard, about, and bytes in one suffix array where groups share it.
 SHARD = 8000
+TOGETHER = 700_000
 #: Bits of the filter that spares texts a shuffle; 1 MB at most, whatever the input.
 FILTER_BITS = 23
 
@@ -87,7 +88,7 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         content = batch.column(0).to_numpy(zero_copy_only=False)[text]
         return pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(content), pa.array(low), pa.array(high)], ["anchor", "segment", "content", "low", "high"])
 
-    return map_batches(texts.select("content", "text"), "text", work, "anchor long, segment long, content long, low long, high long")
+    return map_batches(texts.select("content", "text"), "text", work, "anchor long, segment long, content long, low long, high long", 1_000_000)
 
 
 def _ranges(hit: np.ndarray) -> list[dict[str, int]]:
@@ -159,7 +160,7 @@ def match_shard(table: pa.Table, length: int) -> pa.Table:
             continue
         # as many whole groups as one suffix array holds
         to = at + 1
-        while to < len(groups) - 1 and side[groups[to]] == 0 and total[groups[to + 1]] - total[a] <= MOST:
+        while to < len(groups) - 1 and side[groups[to]] == 0 and total[groups[to + 1]] - total[a] <= TOGETHER:
             to += 1
         if groups[to] - a > 1:
             within(a, groups[to])
@@ -176,11 +177,12 @@ def repeated_starts(texts: DataFrame, length: int = 400, gram: int = GRAM) -> Da
     runs = stored(find_runs(texts, length, gram))
     spot = F.xxhash64("content", "low")
     shared = runs.groupBy("anchor").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("anchor")
-    runs = stored(runs.join(shared, "anchor").distinct())
+    # written first, so that the join can split a hot anchor's runs
+    runs = stored(runs.join(cut(shared), "anchor").distinct())
     segments = runs.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("content", "low", "high")).alias("one"))
     segments = stored(segments)
     groups = segments.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
-    wanted = stored(segments.join(groups, "anchor").select("anchor", "segment", "different", "one.*"))
+    wanted = stored(segments.join(cut(groups), "anchor").select("anchor", "segment", "different", "one.*"))
     n = pieces(wanted.count(), SHARD, most=1 << 30)
 
     # the bytes of one text of each segment
