@@ -4,8 +4,10 @@ Markup is stripped so that each block element is a line, and boilerplate
 elements (menus, footers, adverts, forms, scripts, comments ...) leave empty
 lines.  Text lengths are summed over a sliding window of lines; a surge is
 where the sum rises from nothing over a threshold's worth of text, a dive where
-it falls back to nothing, and the text between them is kept.  In a page that
-marks its article, only lines inside it count, and any text there is a surge.
+it falls back to nothing, and the text between them is kept.  Surges and dives choose on every page; an
+article or main tag is a weight: text inside counts :data:`WEIGHT` times, a
+chosen article is taken whole, and one that outweighs the text outside all of
+them ends the stretches at its borders.
 Each row is handled alone, so nothing is shuffled.
 """
 
@@ -23,8 +25,10 @@ from .common import map_batches
 
 #: Lines in a block.
 WINDOW = 3
-#: Characters in a block that make a surge where no article is marked.
+#: Characters in a block that make a surge.
 SURGE = 86
+#: How often a character inside a marked article counts.
+WEIGHT = 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,6 +46,10 @@ DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# What holds articles of others: an article tag inside does not make it content.
+CARDS = frozenset("comment comments disqus promo promoted related replies respond sponsor sponsored".split())
+CARD_TAGS = frozenset("nav footer aside menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -62,17 +70,44 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, bool, float]]:
-    """The page's lines: text, whether inside a marked article, share of link text."""
-    out: list[tuple[str, bool, float]] = []
+def _cards(tag: str, attributes: str) -> bool:
+    """Whether an element holds articles of others: comments, teasers, links."""
+    words = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return tag in CARD_TAGS or any(not CARDS.isdisjoint(WORDS.findall(w.lower())) for w in words)
+
+
+def _closed(html: str) -> set[int]:
+    """Where the elements start whose end tag follows."""
+    open_: dict[str, list[int]] = {}
+    closed = set()
+    for m in TOKEN.finditer(html):
+        if m[3]:
+            own = open_.setdefault(m[3].lower(), [])
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    own.append(m.start())
+            elif own:
+                closed.add(own.pop())
+    return closed
+
+
+#: Kinds of lines: text, headings, dropped elements within and around an article, borders of an article.
+TEXT, HEADING, INNER, OUTER, BORDER = range(5)
+
+
+def lines(html: str) -> list[tuple[str, int, float, int]]:
+    """The page's lines: text, number of the marked article around it (0: none),
+    share of link text, kind.  Only lines of kind text and heading hold text."""
+    out: list[tuple[str, int, float, int]] = []
     text: list[str] = []
-    linked = article = anchors = depth = 0
-    skipped = ""
+    linked = article = marked = anchors = depth = start = 0
+    skipped, heading, cards = "", False, False
+    closed: set[int] | None = None
 
     def close() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
-        out.append((joined, article > 0, min(1.0, linked / len(joined)) if joined else 0.0))
+        out.append((joined, marked if article else 0, min(1.0, linked / len(joined)) if joined and not heading else 0.0, HEADING if heading else TEXT))
         text.clear()
         linked = 0
 
@@ -87,14 +122,16 @@ def lines(html: str) -> list[tuple[str, bool, float]]:
             continue
         ends, tag = bool(m[2]), m[3].lower()
         if skipped:
-            if tag in ("article", "main") and not ends and skipped not in ("article", "main"):
-                skipped = ""  # the skipped element was never closed
+            opens = tag in ("article", "main") and not ends and skipped not in ("article", "main")
+            if opens and cards and closed is None:
+                closed = _closed(html)
+            if opens and not (cards and start in closed):
+                skipped = ""  # never closed, or around the whole content
             else:
                 if tag == skipped:
                     depth += -1 if ends else not m[4].endswith("/")
                     if depth == 0:
                         skipped = ""
-                        out.append(("", article > 0, 0.0))
                 continue
         if tag in INLINE and not (not ends and tag not in VOID and m[4] and _boilerplate(tag, m[4], article > 0)):
             anchors = max(0, anchors + (-1 if ends else 1)) if tag == "a" else anchors
@@ -104,11 +141,20 @@ def lines(html: str) -> list[tuple[str, bool, float]]:
             continue
         close()
         anchors = 0
+        heading = tag in HEADINGS and not ends
         if tag in ("article", "main"):
-            article = max(0, article + (-1 if ends else 1))
+            if not ends and (article or not _cards(tag, m[4])):
+                article += 1
+                if article == 1:
+                    marked += 1
+                    out.append(("", marked, 0.0, BORDER))
+            elif ends and article:
+                article -= 1
+                if article == 0:
+                    out.append(("", marked, 0.0, BORDER))
         elif not ends and tag not in VOID and not m[4].endswith("/") and _boilerplate(tag, m[4], article > 0):
-            skipped, depth = tag, 1
-            out.extend([("", article > 0, 0.0)] * WINDOW)
+            skipped, depth, start, cards = tag, 1, m.start(), _cards(tag, m[4])
+            out.extend([("", marked if article else 0, 0.0, OUTER if tag in ("nav", "header", "footer", "menu", "head") else INNER)] * WINDOW)
     if not skipped:
         text.append(unescape(html[at:]))
     close()
@@ -119,15 +165,21 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The article's lines, joined by line feeds."""
     if not html:
         return ""
-    found = lines(html)
-    if any(inside and text for text, inside, _ in found):
-        found, surge = [(text if inside else "", inside, 0.0) for text, inside, _ in found], 1
-    size = np.array([0 if share > 0.5 else len(text) for text, _, share in found], np.int64)
+    return "\n".join(_chosen(lines(html), window, surge))
+
+
+def _chosen(found: list[tuple[str, int, float, int]], window: int, surge: int) -> list[str]:
+    # an article that outweighs what is outside all of them ends stretches at its borders
+    mass: dict[int, int] = {}
+    for text, inside, share, _ in found:
+        mass[inside] = mass.get(inside, 0) + (0 if share > 0.5 else len(text))
+    heavy = {a for a, n in mass.items() if a and n and WEIGHT * n >= mass.get(0, 0)}
+    found = [row for row in found for _ in range((window if row[1] in heavy else 0) if row[3] == BORDER else 1)]
+    size = np.array([0 if share > 0.5 else len(text) * (WEIGHT if inside else 1) for text, inside, share, _ in found], np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     block = total[np.minimum(np.arange(len(size)) + window, len(size))] - total[:-1]
     # a stretch runs from a surge, where text sets in, to the dive, where a whole block is empty
-    kept = np.zeros(len(size), bool)
-    best, best_size, i = None, 0, 0
+    stretches, i = [], 0
     while i < len(size):
         if size[i] == 0:
             i += 1
@@ -135,14 +187,25 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         j = i
         while j < len(size) and block[j] > 0:
             j += 1
-        if block[i:j].max() >= surge:
-            kept[i:j] = True
-        if total[j] - total[i] > best_size:
-            best, best_size = (i, j), total[j] - total[i]
+        stretches.append((i, j))
         i = j
-    if best and not kept.any():
-        kept[best[0] : best[1]] = True
-    return "\n".join(text for (text, _, _), keep, n in zip(found, kept, size, strict=True) if keep and n)
+    if not stretches:
+        return []
+    surges = [bool(block[i:j].max() >= surge) for i, j in stretches]
+    if not any(surges):
+        best = max(range(len(stretches)), key=lambda k: (total[stretches[k][1]] - total[stretches[k][0]], -k))
+        surges[best] = True
+    kinds = [kind for _, _, _, kind in found]
+    kept = np.zeros(len(found), bool)
+    for (i, j), yes in zip(stretches, surges, strict=True):
+        kept[i:j] = yes
+    return [row[0] for row, keep in zip(found, _joined(found, kinds, stretches, surges, kept, window), strict=True) if keep and row[0]]
+
+
+def _joined(found: list, kinds: list[int], stretches: list, surges: list[bool], kept: np.ndarray, window: int) -> np.ndarray:
+    """``kept`` with all lines of the articles it touches."""
+    own = {row[1] for row, keep in zip(found, kept, strict=True) if keep and row[1]}
+    return kept | np.array([row[1] in own for row in found])
 
 
 def extract_main_text(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

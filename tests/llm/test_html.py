@@ -21,6 +21,18 @@ def test_without_article():
     assert main_text(page) == f"Title\n{text.strip()}\nShort.\n{text.strip()}"
 
 
+def test_article_tag_is_a_weight():
+    text = "A sentence that is long enough to count as running text in a page, twice over, and more. "
+    card = "<article class='teaser'><p>Read this card.</p></article>"
+    for page in (f"<div><p>{text}</p><p>{text}</p></div>{card}", f"{card}<div><p>{text}</p><p>{text}</p></div>"):
+        assert f"{text.strip()}\n{text.strip()}" in main_text(page)
+    said = "<section id='comments'><article class='comment-body'><p>First!</p></article></section>"
+    assert main_text(f"<div><p>{text}</p><p>{text}</p></div>{said}") == f"{text.strip()}\n{text.strip()}"
+    assert main_text(f"<form><article><p>{text}</p></article></form>") == text.strip()
+    # outside an article that outweighs it, short text is no part of it
+    assert main_text(f"<div>Shop</div><article><p>{text}</p><p>Short.</p></article><div>Imprint</div>") == f"{text.strip()}\nShort."
+
+
 def test_edges():
     assert [main_text(x) for x in (None, "", "   ", "<p>", "<nav>a</nav>", "a < b", "<article>x", "<p a='>'>y</p>", "plain")] == ["", "", "", "", "", "a < b", "x", "y", "plain"]
     assert main_text("<nav>a<article><p>b") == "b"
