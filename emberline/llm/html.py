@@ -107,7 +107,8 @@ def lines(html: str) -> list[tuple[str, int, float, int]]:
     def close() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
-        out.append((joined, marked if article else 0, min(1.0, linked / len(joined)) if joined and not heading else 0.0, HEADING if heading else TEXT))
+        if joined:
+            out.append((joined, marked if article else 0, 0.0 if heading else min(1.0, linked / len(joined)), HEADING if heading else TEXT))
         text.clear()
         linked = 0
 
@@ -203,9 +204,37 @@ def _chosen(found: list[tuple[str, int, float, int]], window: int, surge: int) -
 
 
 def _joined(found: list, kinds: list[int], stretches: list, surges: list[bool], kept: np.ndarray, window: int) -> np.ndarray:
-    """``kept`` with all lines of the articles it touches."""
-    own = {row[1] for row, keep in zip(found, kept, strict=True) if keep and row[1]}
-    return kept | np.array([row[1] in own for row in found])
+    """``kept`` with what belongs to it: stretches between kept ones, those next to
+    one across a dive made by an element within the text, headings before one,
+    link lines among kept lines, and all lines of the articles it touches."""
+    taken = list(surges)
+    first, last = taken.index(True), len(taken) - 1 - taken[::-1].index(True)
+    taken[first:last] = [True] * (last - first)
+
+    def near(i: int, j: int) -> bool:
+        """Whether the lines between two stretches are neither a menu nor around an article."""
+        links = sum(kind in (TEXT, HEADING) for kind in kinds[i:j])
+        return links < window and not {OUTER, BORDER} & set(kinds[i:j])
+
+    for k in range(last + 1, len(taken)):
+        taken[k] = taken[k - 1] and near(stretches[k - 1][1], stretches[k][0])
+    for k in range(first - 1, -1, -1):
+        taken[k] = taken[k + 1] and (near(stretches[k][1], stretches[k + 1][0]) or HEADING in kinds[slice(*stretches[k])])
+    for (i, j), yes in zip(stretches, taken, strict=True):
+        kept[i:j] = yes
+    # lines of link text: runs among kept lines, and short ones beside them
+    whole = kept.copy()
+    i = 0
+    while i < len(kept):
+        j = i
+        while j < len(kept) and not kept[j] and kinds[j] in (TEXT, HEADING):
+            j += 1
+        if j > i:
+            sides = (i > 0 and kept[i - 1]) + (j < len(kept) and kept[j])
+            whole[i:j] = sides == 2 or sides == 1 and j - i < window
+        i = max(j, i + 1)
+    own = {row[1] for row, keep in zip(found, whole, strict=True) if keep and row[1]}
+    return whole | np.array([row[1] in own for row in found])
 
 
 def extract_main_text(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

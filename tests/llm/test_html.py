@@ -33,6 +33,17 @@ def test_article_tag_is_a_weight():
     assert main_text(f"<div>Shop</div><article><p>{text}</p><p>Short.</p></article><div>Imprint</div>") == f"{text.strip()}\nShort."
 
 
+def test_blocks_without_article_stay_whole():
+    text = "A sentence that is long enough to count as running text in a page, twice over, and more."
+    rows = "".join(f"<tr><td>a{i}</td></tr><tr><td><p>b{i}</p></td></tr>" for i in range(4))
+    page = f"<div><div><h1>Title</h1></div><div class='share'>Like</div><div><p>{text}</p></div><div class='ad'>Buy</div><div><p>Short.</p></div><div><table>{rows}</table></div><div class='ad'>Buy</div><p>{text}</p><p><a href='x'>Linked words</a></p><div class='ad'>Buy</div><div><p>The end.</p></div></div>"
+    cells = [f"{c}{i}" for i in range(4) for c in "ab"]
+    assert main_text(page).split("\n") == ["Title", text, "Short.", *cells, text, "Linked words", "The end."]
+    # a menu after the text and what follows it are no part of it
+    menu = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(5))
+    assert main_text(f"<div><p>{text}</p></div><ul>{menu}</ul><p>Imprint</p>") == text
+
+
 def test_edges():
     assert [main_text(x) for x in (None, "", "   ", "<p>", "<nav>a</nav>", "a < b", "<article>x", "<p a='>'>y</p>", "plain")] == ["", "", "", "", "", "a < b", "x", "y", "plain"]
     assert main_text("<nav>a<article><p>b") == "b"
