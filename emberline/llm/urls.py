@@ -11,11 +11,14 @@ applying rules needs no shuffle while they are few.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number are matched as a literal; more by a join.
 LITERAL_RULES = 2000
@@ -58,12 +61,11 @@ def listed_rule(host: F.Column, path: F.Column, rules: Sequence[tuple[str, str,
 
 
 def url_tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
-    """The URL's features: its last four host labels and pairs of them, first
-    four path segments, file ending and first four query keys.  A fixed number,
-    so that the combinations of one URL's tokens are bounded."""
-    labels = F.slice(F.reverse(F.split(F.substring_index(host, ".", -4), r"\.")), 1, 4)
-    segments = F.slice(F.filter(F.split(F.substring(path, 1, 400), "/"), lambda s: s != ""), 1, 4)
-    keys = F.slice(F.regexp_extract_all(F.coalesce(F.substring(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), 1, 400), F.lit("")), F.lit(r"(?:^|&)([^=&]+)"), 1), 1, 4)
+    """The whole URL's features: host labels, the last two of them as a pair, path
+    segments, file ending and query keys."""
+    labels = F.split(host, r"\.")
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    keys = F.regexp_extract_all(F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit("")), F.lit(r"(?:^|&)([^=&]+)"), 1)
     tagged = F.concat(
         F.transform(labels, lambda s: F.concat(F.lit("host="), s)),
         F.array(F.concat(F.lit("site="), F.substring_index(host, ".", -2))),
@@ -74,23 +76,42 @@ def url_tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
     return F.array_distinct(F.filter(tagged, lambda s: ~F.endswith(s, F.lit("=")) & s.isNotNull()))
 
 
+RULES = "antecedent array<string>, confidence double, support double, anchor string"
+
+
 def mine_rules(labelled: DataFrame, tokens: str = "tokens", block: str = "block", support: float = 0.005, least: int = 20, confidence: float = 0.8) -> DataFrame:
     """``antecedent, confidence, support, anchor``: token sets that go with the label block.
 
     A rule needs ``support`` of the labelled rows, ``least`` rows at least and
     ``confidence``; one that a shorter rule of no less confidence covers is
     left out.  ``anchor`` is its rarest token.  No labelled rows: no rules.
+
+    URLs are of any length, so FP-growth is given what can make rules only:
+    tokens with that many blocked rows, no token that is a rule of confidence 1
+    by itself, as it covers all rules it is in, and one of the tokens that occur
+    in the same rows, whose rules then hold for each of them.
     """
-    rows = labelled.where(F.col(block).isNotNull() & F.col(tokens).isNotNull())
     spark = labelled.sparkSession
+    rows = cut(labelled.where(F.col(block).isNotNull() & F.col(tokens).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(tokens).alias("tokens"), F.col(block).alias("block")))
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, anchor string")
-    items = rows.select(F.concat(F.col(tokens), F.array(F.when(F.col(block), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    anchored = rules.withColumn("item", F.explode("antecedent")).join(single, "item").groupBy("antecedent", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
+        return spark.createDataFrame([], RULES)
+    need = max(1, ceil(min(1.0, max(support, least / n)) * n - 1e-6))
+    each = rows.select("id", "block", F.explode("tokens").alias("item"))
+    # equal sums of two hashes of the rows: the same rows
+    marks = [F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(20,0)")).alias(f"rows{seed}") for seed in (1, 2)]
+    counts = cut(each.groupBy("item").agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col("block").cast("long")).alias("blocked"), *marks).where(F.col("blocked") >= need))
+    sure = counts.where("blocked = freq").select(F.array("item").alias("antecedent"), F.lit(1.0).alias("confidence"), (F.col("blocked") / n).alias("support"), F.col("item").alias("anchor"))
+    same = counts.where("blocked < freq").groupBy("freq", "rows1", "rows2").agg(F.min("item").alias("item"), F.collect_list("item").alias("equal"))
+    same = cut(same.select("item", "freq", "equal"))
+    items = cut(each.join(same.select("item"), "item").groupBy("id").agg(F.collect_list("item").alias("items"), F.first("block").alias("block"))
+        .select(F.concat("items", F.array(F.when(F.col("block"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items")))
+    m = items.count()
+    if not m:
+        return sure
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / m), minConfidence=confidence).fit(items)
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * m / n).alias("support"))
+    anchored = cut(rules.withColumn("item", F.explode("antecedent")).join(same, "item").groupBy("antecedent", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"), F.collect_list(F.struct("item", "equal")).alias("of")))
     # a covering rule's anchor is one of the covered rule's tokens
     a, b = anchored.alias("a"), anchored.select(F.col("antecedent").alias("shorter"), F.col("confidence").alias("sure"), F.col("anchor").alias("at"))
     covered = (
@@ -98,7 +119,13 @@ def mine_rules(labelled: DataFrame, tokens: str = "tokens", block: str = "block"
         .where((F.size("shorter") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("shorter", "antecedent")) == 0))
         .select("antecedent").distinct()
     )
-    return anchored.join(covered, "antecedent", "left_anti")
+    left = anchored.join(covered, "antecedent", "left_anti")
+    # each token that stands for others gives way to each of them, the anchor first
+    first = F.filter("of", lambda o: o["item"] == F.col("anchor"))
+    rest = F.filter("of", lambda o: o["item"] != F.col("anchor"))
+    every = F.aggregate(F.concat(first, rest), F.array(F.array().cast("array<string>")), lambda got, o: F.flatten(F.transform(got, lambda g: F.transform(o["equal"], lambda t: F.concat(g, F.array(t))))))
+    spread = left.select("confidence", "support", F.explode(every).alias("own"))
+    return spread.select(F.array_sort("own").alias("antecedent"), "confidence", "support", F.col("own")[0].alias("anchor")).unionByName(sure)
 
 
 def mined_block(df: DataFrame, rules: DataFrame, url: str, tokens: str, to: str) -> DataFrame:

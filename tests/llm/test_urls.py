@@ -1,4 +1,7 @@
 import re
+from itertools import combinations
+
+import pytest
 
 from emberline.llm import urls
 from emberline.llm.queries import URL_RULES, op4_url_filters
@@ -49,6 +52,33 @@ def test_mined_rules(spark, monkeypatch):
     assert {r.page_id: r.verdict for r in urls.filter_urls(pages, labelled, []).collect()} == want
 
 
+def test_tokens_of_the_whole_url(spark):
+    deep = "/a/b/c/d/" + "e" * 500
+    bad = ["http://x{i}.info" + deep + "/pills/{i}", "http://a.casino-win.b.c.e{i}.info/{i}", "http://y{i}.info/{i}?a=1&b=2&c=3&d=4&promo=5"]
+    good = ["http://x{i}.info" + deep + "/news/{i}", "http://a.shop.b.c.e{i}.info/{i}", "http://y{i}.info/{i}?a=1&b=2&c=3&d=4&id=5"]
+    rows = [(u.format(i=i), own is bad) for own in (bad, good) for u in own for i in range(40)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    pages = spark.createDataFrame([(i, u.replace("info", "biz"), b) for i, (u, b) in enumerate(rows)], "page_id long, url string, block boolean")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, labelled, []).collect()}
+    assert got == {i: "block" if b else "allow" for i, (_, b) in enumerate(rows)}
+
+
+def test_rules_of_long_urls_equal_brute_force(spark):
+    """Tokens of the same rows, tokens of blocked rows only, and 60 shared segments."""
+    long = [f"s{i}" for i in range(60)]
+    rows = [(["a", "b", "c"][: 1 + i % 3] + (["p", "q"] if i % 5 else ["z"]) + (long if i % 4 else []), i % 5 > 0 and i % 7 != 1) for i in range(210)]
+    rows += [(["only", "a"], True)] * 30
+    data = [(frozenset(t), b) for t, b in rows]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    got = {tuple(r.antecedent): r.confidence for r in urls.mine_rules(labelled).collect()}
+    held = lambda x: [b for t, b in data if set(x) <= t]
+    names = ["a", "b", "c", "p", "q", "z", "s0", "s59", "only"]
+    found = {x: sum(held(x)) / len(held(x)) for k in (1, 2, 3) for x in combinations(sorted(names), k) if sum(held(x)) >= 20}
+    found = {x: c for x, c in found.items() if c >= 0.8}
+    want = {x: c for x, c in found.items() if not any(set(y) < set(x) and d >= c for y, d in found.items())}
+    assert {x: c for x, c in got.items() if set(x) <= set(names) and len(x) < 4} == pytest.approx(want)
+
+
 def test_query_matches_brute_force(spark):
     got = op4_url_filters(spark, "/root/testdata/sf0.001")
     urls_by_id = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()}
