@@ -36,12 +36,14 @@ def common_tokens_off(postings: DataFrame, token: str = "token", most: int = COM
 
 def index_match(query: DataFrame, postings: DataFrame, slack: bool = True) -> DataFrame:
     """Query tokens joined to postings of equal tokens, or with the last nine bits
-    one off: ``query, reference, token, anchor, at``."""
+    one off: ``query, reference, token, anchor, at``.  With ``slack`` each hit is
+    there once, however many query tokens lead to it."""
     near = query
     if slack:
         moved = F.filter(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.col("token").bitwiseAND(F.lit(511)) + d >= 0) & (F.col("token").bitwiseAND(F.lit(511)) + d < 512))
         near = query.withColumn("_d", F.explode(moved)).withColumn("token", F.col("token") + F.col("_d")).drop("_d")
-    return near.select("query", "token", F.col("frame").alias("anchor")).join(postings.select("reference", "token", F.col("frame").alias("at")), "token")
+    found = near.select("query", "token", F.col("frame").alias("anchor")).join(postings.select("reference", "token", F.col("frame").alias("at")), "token")
+    return found.distinct() if slack else found
 
 
 def offset_modes(matches: DataFrame, most: int = 3) -> DataFrame:

@@ -153,9 +153,9 @@ _MATCH = f"""{_LAND}, {tokens_sql('qs', 'doc_id', 'documents')},
   hits AS (SELECT q.item AS query, rr.item AS reference, rr.token AS token, q.frame AS anchor, rr.frame AS spot FROM qs q JOIN rare rr ON q.token = rr.token)"""
 
 
-def hits(spark: SparkSession, sf: str) -> DataFrame:
+def hits(spark: SparkSession, sf: str, slack: bool = False) -> DataFrame:
     refs = J.common_tokens_off(postings(spark, sf, "benchmark", "item_id", "reference"))
-    return J.index_match(postings(spark, sf, "documents", "doc_id", "query"), refs, slack=False)
+    return J.index_match(postings(spark, sf, "documents", "doc_id", "query"), refs, slack=slack)
 
 
 @query(f"WITH {_MATCH} SELECT query, reference, count(*) AS hits, count(DISTINCT token) AS tokens FROM hits GROUP BY query, reference")
@@ -179,8 +179,12 @@ def offset_mode(spark: SparkSession, sf: str) -> DataFrame:
   ok AS (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY anchors_hit DESC, hits DESC, bucket) AS rn FROM f WHERE anchors_hit >= 6 AND tokens_hit >= 8 AND bins_hit >= 3 AND anchors_hit::DOUBLE / anchors >= 0.25 AND span / 100.0 >= least(0.15, 0.3 * anchors / 100.0))
   SELECT query, reference, bucket, anchors_hit, tokens_hit, bins_hit, {r('o', 'offset')}, {r('anchors_hit::DOUBLE / anchors', 'fraction')} FROM ok WHERE rn = 1""")
 def match_accept(spark: SparkSession, sf: str) -> DataFrame:
+    return accepted(spark, sf, hits(spark, sf))
+
+
+def accepted(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     refs = postings(spark, sf, "benchmark", "item_id", "reference").groupBy("reference").agg(F.count_distinct("frame").alias("anchors")).withColumn("duration_s", F.col("anchors") / 100.0)
-    out = J.accept(hits(spark, sf), refs)
+    out = J.accept(found, refs)
     return out.select("query", "reference", "bucket", "anchors_hit", "tokens_hit", "bins_hit", r6("offset").alias("offset"), r6("fraction").alias("fraction"))
 
 
@@ -199,6 +203,30 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     return J.match_summary(queries, hits(spark, sf))
 
 
+# the same with time gaps one step off, as the reference looks tokens up; the SQL above joins equal tokens only
+
+
+@query()
+def near_index_match(spark: SparkSession, sf: str) -> DataFrame:
+    return hits(spark, sf, slack=True).groupBy("query", "reference").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("token").alias("tokens"))
+
+
+@query()
+def near_offset_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return J.offset_modes(hits(spark, sf, slack=True)).select("query", "reference", "bucket", "hits", "rank")
+
+
+@query()
+def near_match_accept(spark: SparkSession, sf: str) -> DataFrame:
+    return accepted(spark, sf, hits(spark, sf, slack=True))
+
+
+@query()
+def near_match_summary(spark: SparkSession, sf: str) -> DataFrame:
+    queries = table(spark, sf, "documents", "doc_id", "lang").select(F.col("doc_id").alias("query"), F.col("lang").alias("label"))
+    return J.match_summary(queries, hits(spark, sf, slack=True))
+
+
 @query("""WITH p AS (SELECT user_id AS item, event_id % 500 AS frame, event_type AS bin, value AS loud FROM events), k AS (SELECT a.item, a.frame, a.bin, a.loud, b.frame AS frame2, b.bin AS bin2,
     row_number() OVER (PARTITION BY a.item, a.frame, a.bin ORDER BY b.loud DESC, b.frame, b.bin) AS rank FROM p a JOIN p b ON a.item = b.item AND b.frame - a.frame BETWEEN 3 AND 60)
   SELECT item, count(*) AS pairs, sum(frame2 - frame)::BIGINT AS gaps FROM k WHERE rank <= 8 GROUP BY item""")
