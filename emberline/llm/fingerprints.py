@@ -258,16 +258,24 @@ def edit_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     theirs; an empty table gives an empty result.
     """
     kind = df.schema[key].dataType.simpleString()
-    need = int(np.ceil((least + 1.0) / 2.0 * BITS))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         prints = fingerprints(texts)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.tobytes().hex() for x in prints])], ["key", "n", "fingerprint"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.tobytes().hex() for x in prints])], [key, "n_chars", "fingerprint"])
+
+    rows = cut(map_batches(df.select(F.col(key), F.col(text).alias("_text")), "_text", work, f"`{key}` {kind}, n_chars long, fingerprint string"))
+    return linked_prints(rows, key, least).select(key, "fingerprint", "component_id", "links")
+
 
-    rows = cut(map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text", work, f"key {kind}, n long, fingerprint string"))
-    rows = rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("fingerprint")))
-    same = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least_key"), F.min("fingerprint").alias("fingerprint"))
+def linked_prints(rows: DataFrame, key: str = "doc_id", least: float = 0.9) -> DataFrame:
+    """``rows`` with ``component_id, links`` as :func:`edit_groups` finds them.
+
+    ``rows`` holds ``key, n_chars, fingerprint`` and is read several times.
+    """
+    need = int(np.ceil((least + 1.0) / 2.0 * BITS))
+    rows = rows.withColumn("node", F.when(F.col("n_chars") > 0, F.xxhash64("fingerprint")))
+    same = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("least_key"), F.min("fingerprint").alias("fingerprint"))
     unhex = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.substring(F.col("fingerprint"), i * 16 + 1, F.lit(16)))
     # two halves of 32 bits, as 16 hexadecimal digits take a long's sign
     half = lambda h, a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
@@ -297,4 +305,4 @@ def edit_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     first = of.groupBy("component").agg(F.min("least_key").alias("component_id")).join(counted, "component", "left")
     final = of.join(first, "component").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.join(final, "node", "left")
-    return out.select(F.col("key").alias(key), "fingerprint", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))).withColumn("links", F.coalesce("links", F.lit(0)).cast("long")).drop("node")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .fingerprints import edit_fingerprints
+from .common import cut, read_table
+from .fingerprints import edit_fingerprints, linked_prints
 from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
@@ -60,7 +60,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    # read several times to link them, so written once
+    return linked_prints(cut(edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

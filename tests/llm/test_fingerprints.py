@@ -95,3 +95,12 @@ def test_groups_against_all_pairs(spark):
     assert len(wrong) <= 2 and {x.fingerprint for x in got} == {p.tobytes().hex() for p in prints}
     assert sum(x.component_id != x.doc_id for x in got) > 50
     assert P.edit_groups(df.limit(0)).count() == 0
+
+
+def test_query_links_near_prints(spark):
+    from emberline.llm.queries import op8_fingerprints
+
+    got = {r.doc_id: (r.fingerprint, r.component_id, r.links) for r in op8_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got == {r.doc_id: (r.fingerprint, r.component_id, r.links) for r in P.edit_groups(docs).collect()}
+    assert any(c != k for k, (_, c, _) in got.items())
