@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,14 +22,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a private one is made
-    only where the session names none (local tests)."""
+    only for a local master whose session names none (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
     return named or context.getCheckpointDir()
 
 
+class Folder:
+    """A folder of tables under the shared checkpoint folder, removed when they are no longer needed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.count = spark, f"{checkpoint_folder(spark)}/emberline-{uuid.uuid4().hex}", 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read again."""
+        path, self.count = f"{self.path}/{self.count}", self.count + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     checkpoint_folder(df.sparkSession)

@@ -65,7 +65,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
+    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed", "passages")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

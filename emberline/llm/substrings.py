@@ -2,28 +2,35 @@
 
 1. One pass cuts each text's starts of ``length``-byte strings into runs by
    winnowing: all starts of a run choose the same anchor, and equal strings
-   choose equal anchors.  A row per run holds the hashes of its anchor and of
-   its segment, the bytes that its strings cover, not the bytes themselves.
-2. Runs whose anchor is found once cannot repeat.  Equal segments collapse to
-   one; if a segment is found twice, all its strings are repeated.
-3. Bytes are fetched for one text of each segment left, only where an anchor
-   has different segments.  Segments go to shards by anchor, so equal strings
-   meet; each shard's suffix array and common prefixes tell the repeated
-   starts.  An anchor with more segments than a shard holds is split: parts
-   get suffix arrays of their own, and each pair of parts is merged by binary
-   search of one's strings in the other's array.
+   choose equal anchors.  A run's starts are cut further by their distance to
+   the anchor, so that each part has a long core in common.  Rows hold hashes of
+   anchors, of cores and of segments, the bytes that a part's strings cover, not
+   the bytes themselves.
+2. Runs whose anchor is found once cannot repeat, nor can parts whose core is.
+   Equal segments collapse to one; if a segment is found twice, all its strings
+   are repeated.
+3. Bytes are fetched for one text of each segment left, only where a core has
+   different segments and one of them is not settled.  Segments go to shards by
+   core, so equal strings meet; each shard's suffix array and common prefixes
+   tell the repeated starts.  A core with more segments than a shard holds is
+   split: parts get suffix arrays of their own, and each pair of parts is merged
+   by binary search of one's strings in the other's array.
 4. Repeated starts go back to the runs, runs to their texts, and the covered
    bytes are cut out of the texts concerned.
 
-Copies of a whole text are told by its hash beforehand: nothing needs to be
-matched to know that all their strings are repeated.
+Copies of a whole text are told by its hash beforehand, which is held against its
+SHA-256: nothing needs to be matched to know that all their strings are repeated.  Segments are told by
+two 64-bit hashes, the core's and their own.
+
+The same steps over words find passages that documents share: there a symbol is
+a word, and a string counts if another document holds it too.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +39,63 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from . import winnow
-from .common import checkpoint_folder, cut, map_batches, pieces, text_buffer
-from .suffixes import repeated, search
+from .common import Folder, cut, map_batches, pieces, text_buffer
+from .suffixes import MOST, alike, search
 
 GRAM = 128
-#: Segments in a part of an anchor's group.
+#: Parts that a run's starts are cut into, at most.
+PARTS = 4
+#: Segments in a part of a core's group.
 PART = 2800
-#: Segments in a shard, about, and bytes in one suffix array where groups share it.
+#: Segments in a shard, about, and symbols in one suffix array where groups share it.
 SHARD = 8000
 TOGETHER = 700_000
 #: Bits of the filter that spares texts a shuffle; 1 MB at most, whatever the input.
 FILTER_BITS = 23
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read again."""
-    path = f"{checkpoint_folder(df.sparkSession)}/emberline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def among(df: DataFrame, keys: DataFrame, column: str, text: str) -> DataFrame:
+#: Keys with more rows than this are joined by broadcast, if they are this few (16 bytes each).
+HEAVY, FEW = 20_000, 500_000
+#: Words of a passage, at least, and of its anchor.
+PASSAGE, WORD_GRAM = 50, 18
+
+
+@dataclass(frozen=True)
+class Strings:
+    """What is compared: strings of ``length`` bytes or, with ``words``, words."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+    @property
+    def width(self) -> int:
+        """Bytes that a fetched symbol takes."""
+        return 8 if self.words else 1
+
+    @property
+    def part(self) -> int:
+        """Segments in a part, so that two parts' symbols fit in a suffix array."""
+        return max(1, min(PART, MOST // (2 * self.length)))
+
+    def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts end to end and the texts' bounds."""
+        data, offsets = text_buffer(texts)
+        if not self.words:
+            return data, offsets
+        starts, ends, bounds = K.words(data, offsets)
+        return K.span_hashes(data, starts, ends), bounds
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, column: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``keys``, which has one row of each ``column`` and is read
+    twice.  Keys that ``weight`` says have many rows are sent to the rows instead,
+    so that no task gets all rows of one, as long as such keys are few."""
+    heavy = keys.where(F.col(weight) > HEAVY)
+    if not 0 < heavy.limit(FEW + 1).count() <= FEW:
+        return rows.join(keys, column)
+    return rows.join(keys.where(F.col(weight) <= HEAVY), column).unionByName(rows.join(F.broadcast(heavy), column))
+
+
+def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among ``keys``: all that are, and few
     others.  The filter has a fixed number of bits, so its size never grows."""
     spot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
@@ -75,20 +118,45 @@ def among(df: DataFrame, keys: DataFrame, column: str, text: str) -> DataFrame:
     return df.withColumn("_s", spot).mapInArrow(run, kinds)
 
 
-def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor, segment, content, low, high`` of ``texts(content, text)``."""
+def find_runs(texts: DataFrame, strings: Strings) -> DataFrame:
+    """``anchor, content, spot, low, high, hashes`` of ``texts(content, text)``: a row
+    for each run, with the hashes of its parts' cores, then of their segments."""
+    length, gram = strings.length, strings.gram
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        data, offsets = text_buffer(batch.column(1))
+        data, offsets = strings.symbols(batch.column(1))
         text, low, high, anchor, hashed = winnow.runs(data, offsets, length, gram)
         if not len(text):
             return None
-        begin = offsets[text] + low
-        segment = K.mix(K.span_hashes(data, begin, offsets[text] + high + length) + (anchor - low).astype(np.uint64) * K.BASE)
-        content = batch.column(0).to_numpy(zero_copy_only=False)[text]
-        return pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(content), pa.array(low), pa.array(high)], ["anchor", "segment", "content", "low", "high"])
-
-    return map_batches(texts.select("content", "text"), "text", work, "anchor long, segment long, content long, low long, high long", 1_000_000)
+        base = offsets[text]
+        run, number, first, last, begin, end = winnow.cores(low, high, anchor, length, gram, PARTS)
+        segment = K.span_hashes(data, base[run] + first, base[run] + last + length) + (anchor[run] - first).astype(np.uint64) * K.BASE
+        # a core may begin before that of the run before
+        order = np.argsort(base[run] + begin, kind="stable")
+        core = np.empty(len(run), np.uint64)
+        core[order] = K.span_hashes(data, (base[run] + begin)[order], (base[run] + end)[order])
+        core = K.mix(core + number.astype(np.uint64) * K.BASE)
+        count = np.bincount(run, minlength=len(text))
+        bounds = np.concatenate([[0], np.cumsum(2 * count)])
+        place = np.arange(len(run)) + (np.cumsum(count) - count)[run]
+        hashes = np.empty(2 * len(run), np.uint64)
+        hashes[place], hashes[place + count[run]] = core, K.mix(segment)
+        columns = [hashed.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[text], anchor, low, high]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], ["anchor", "content", "spot", "low", "high", "hashes"])
+
+    return map_batches(texts.select("content", "text"), "text", work, "anchor long, content long, spot long, low long, high long, hashes array<long>", 1_000_000)
+
+
+def parted(runs: DataFrame, strings: Strings) -> DataFrame:
+    """``core, segment, content, low, high`` of each run's parts, as :func:`winnow.cores` cuts them."""
+    step = F.lit(-(-(strings.length - strings.gram + 1) // PARTS))
+    half = (F.size("hashes") / 2).cast("int")
+    each = runs.withColumn("k", F.explode(F.sequence(F.lit(0), half - 1)))
+    begin = F.col("spot") - (F.floor((F.col("spot") - F.col("low")) / step) - F.col("k")) * step
+    return each.select(
+        F.get("hashes", F.col("k")).alias("core"), F.get("hashes", half + F.col("k")).alias("segment"), "content",
+        F.greatest(F.col("low"), begin - step + 1).cast("long").alias("low"), F.least(F.col("high"), begin).cast("long").alias("high"),
+    )
 
 
 def _ranges(hit: np.ndarray) -> list[dict[str, int]]:
@@ -100,54 +168,68 @@ def _ranges(hit: np.ndarray) -> list[dict[str, int]]:
 _RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
 
-def match_shard(table: pa.Table, length: int) -> pa.Table:
-    """``segment, ranges``: the repeated starts of a shard's segments."""
-    order = np.lexsort((table["segment"].to_numpy(), table["side"].to_numpy(), table["anchor"].to_numpy()))
-    anchor, segment, side = (table[c].to_numpy()[order] for c in ("anchor", "segment", "side"))
+def match_shard(table: pa.Table, strings: Strings) -> pa.Table:
+    """``core, segment, ranges``: the repeated starts of a shard's unsettled segments."""
+    length, width = strings.length, strings.width
+    order = np.lexsort((table["segment"].to_numpy(), table["side"].to_numpy(), table["core"].to_numpy()))
+    core, segment, side = (table[c].to_numpy()[order] for c in ("core", "segment", "side"))
     one = np.ones(len(order), bool)
-    one[1:] = (segment[1:] != segment[:-1]) | (anchor[1:] != anchor[:-1]) | (side[1:] != side[:-1])
-    order, anchor, segment, side = (x[one] for x in (order, anchor, segment, side))
+    one[1:] = (segment[1:] != segment[:-1]) | (core[1:] != core[:-1]) | (side[1:] != side[:-1])
+    order, core, segment, side = (x[one] for x in (order, core, segment, side))
+    settled = table["settled"].to_numpy()[order]
+    # a settled segment has a partner for any document
+    label = np.where(settled, segment, table["label"].to_numpy()[order])
     data = table["bytes"].combine_chunks().take(pa.array(order))
-    size = pa.compute.binary_length(data).to_numpy().astype(np.int64)
-    out_segment: list[int] = []
-    out_ranges: list[list[dict[str, int]]] = []
+    size = pa.compute.binary_length(data).to_numpy().astype(np.int64) // width
+    out: tuple[list, list, list] = ([], [], [])
 
-    def text(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(b"".join(data.slice(a, b - a).to_pylist()), np.uint8)
+    def symbols(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(b"".join(data.slice(a, b - a).to_pylist()), np.uint64 if strings.words else np.uint8)
+        if strings.words:
+            own = np.unique(own, return_inverse=True)[1].astype(np.int64)
         return own, np.concatenate([[0], np.cumsum(size[a:b])])
 
-    def tell(a: int, b: int, bounds: np.ndarray, hit: np.ndarray) -> None:
+    def labels(a: int, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return label[a + np.searchsorted(bounds, starts, side="right") - 1] if strings.words else starts
+
+    def tell(a: int, b: int, bounds: np.ndarray, starts: np.ndarray) -> None:
+        hit = np.zeros(bounds[-1], bool)
+        hit[starts] = True
         for i in range(a, b):
             part = hit[bounds[i - a] : bounds[i - a + 1]]
-            if part.any():
-                out_segment.append(int(segment[i]))
-                out_ranges.append(_ranges(part))
+            if not settled[i] and part.any():
+                for column, value in zip(out, (int(core[i]), int(segment[i]), _ranges(part)), strict=True):
+                    column.append(value)
 
     def within(a: int, b: int) -> None:
-        own, bounds = text(a, b)
-        tell(a, b, bounds, repeated(own, bounds, length)[0])
+        own, bounds = symbols(a, b)
+        starts, number = alike(own, bounds, length)
+        if not len(starts):
+            return
+        mine, first = labels(a, bounds, starts), np.flatnonzero(np.diff(number, prepend=-1))
+        several = np.minimum.reduceat(mine, first) != np.maximum.reduceat(mine, first)
+        tell(a, b, bounds, starts[np.repeat(several, np.diff(np.append(first, len(starts))))])
 
     def between(a: int, middle: int, b: int) -> None:
         """Strings of side 2, looked up in the suffix array of side 1."""
-        x, x_bounds = text(a, middle)
-        y, y_bounds = text(middle, b)
-        _, suffixes = repeated(x, x_bounds, length)
-        x_end = np.repeat(x_bounds[1:], np.diff(x_bounds))
-        suffixes = suffixes[suffixes + length <= x_end[suffixes]]
-        y_end = np.repeat(y_bounds[1:], np.diff(y_bounds))
-        queries = np.flatnonzero(np.arange(len(y)) + length <= y_end)
-        found = search(x, suffixes, y, queries, length)
-        y_hit = np.zeros(len(y), bool)
-        y_hit[queries[found >= 0]] = True
-        # every string of side 1 that equals a found one: look the other way
-        y_starts = queries[found >= 0][np.argsort(found[found >= 0], kind="stable")]
-        x_hit = np.zeros(len(x), bool)
-        if len(y_starts):
-            x_hit[suffixes[search(y, y_starts, x, suffixes, length) >= 0]] = True
-        tell(a, middle, x_bounds, x_hit)
-        tell(middle, b, y_bounds, y_hit)
-
-    groups = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+        both, bounds = symbols(a, b)
+        half = bounds[middle - a]
+        x, y, x_bounds, y_bounds = both[:half], both[half:], bounds[: middle - a + 1], bounds[middle - a :] - half
+        starts, number = alike(x, x_bounds, length)
+        queries = np.flatnonzero(np.arange(len(y)) + length <= np.repeat(y_bounds[1:], np.diff(y_bounds)))
+        if not len(starts):
+            return
+        found = search(x, starts, y, queries, length)
+        queries, found = queries[found >= 0], found[found >= 0]
+        low = np.minimum.reduceat(labels(a, x_bounds, starts), np.flatnonzero(np.diff(number, prepend=-1)))
+        high = np.maximum.reduceat(labels(a, x_bounds, starts), np.flatnonzero(np.diff(number, prepend=-1)))
+        mine = labels(middle, y_bounds, queries) if strings.words else queries + half
+        np.minimum.at(low, number[found], mine)
+        np.maximum.at(high, number[found], mine)
+        tell(a, middle, x_bounds, starts[(low != high)[number]])
+        tell(middle, b, y_bounds, queries[(low != high)[number[found]]])
+
+    groups = np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core))
     total = np.concatenate([[0], np.cumsum(size)])
     at = 0
     while at < len(groups) - 1:
@@ -165,58 +247,61 @@ def match_shard(table: pa.Table, length: int) -> pa.Table:
         if groups[to] - a > 1:
             within(a, groups[to])
         at = to
-    return pa.table({"segment": pa.array(out_segment, pa.int64()), "ranges": pa.array(out_ranges, _RANGES)})
+    return pa.table({"core": pa.array(out[0], pa.int64()), "segment": pa.array(out[1], pa.int64()), "ranges": pa.array(out[2], _RANGES)})
 
 
-def repeated_starts(texts: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """``content, spans``: ascending byte spans ``low, high`` of each text that
-    repeated strings cover, high exclusive, possibly touching or overlapping.
+def repeated_starts(texts: DataFrame, strings: Strings, folder: Folder, runs: DataFrame | None = None) -> DataFrame:
+    """``content, spans``: ascending spans ``low, high`` of each text that repeated
+    strings cover, in symbols, high exclusive, possibly touching or overlapping.
 
     ``texts(content, text)`` may hold a text several times; it counts once.
+    ``runs`` are those of :func:`find_runs`, if there are some already; tables in
+    between go to ``folder``, which must outlive the result.
     """
-    runs = stored(find_runs(texts, length, gram))
-    spot = F.xxhash64("content", "low")
-    shared = runs.groupBy("anchor").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("anchor")
-    # written first, so that the join can split a hot anchor's runs
-    runs = stored(runs.join(cut(shared), "anchor").distinct())
-    segments = runs.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("content", "low", "high")).alias("one"))
-    segments = stored(segments)
-    groups = segments.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
-    wanted = stored(segments.join(cut(groups), "anchor").select("anchor", "segment", "different", "one.*"))
+    runs = folder.stored(find_runs(texts, strings)) if runs is None else runs
+    spot = lambda place: F.xxhash64("content") if strings.words else F.xxhash64("content", place)
+    several = lambda place: (F.min(spot(place)).alias("x"), F.max(spot(place)).alias("y"))
+    shared = cut(runs.groupBy("anchor").agg(*several("spot"), F.count("*").alias("rows")).where("x <> y").select("anchor", "rows"))
+    # written first, so that a join can split what one core has
+    parts = folder.stored(parted(spread_join(runs, shared, "anchor", "rows"), strings))
+    found_at = parts.groupBy("core", "segment").agg(*several("low"), F.min(F.struct("content", "low", "high")).alias("one"))
+    segments = folder.stored(found_at.select("core", "segment", (F.col("x") != F.col("y")).alias("settled"), "one"))
+    groups = cut(segments.groupBy("core").agg(F.count("*").alias("different"), F.min("settled").alias("all")).where("different > 1 and not all").select("core", "different"))
+    wanted = folder.stored(spread_join(segments, groups, "core", "different").select("core", "segment", "different", "settled", "one.*"))
     n = pieces(wanted.count(), SHARD, most=1 << 30)
 
-    # the bytes of one text of each segment
-    by_text = wanted.groupBy("content").agg(F.collect_list(F.struct("anchor", "segment", "different", "low", "high")).alias("cuts"))
-    holders = among(texts.select("content", F.col("text")), wanted.select("content"), "content", "text")
+    # the symbols of one text of each segment
+    by_text = wanted.groupBy("content").agg(F.collect_list(F.struct("core", "segment", "different", "settled", "low", "high")).alias("cuts"))
+    holders = among(texts.select("content", "text"), wanted.select("content"), "content")
+    length = strings.length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(0)[i].as_py().encode()
+                data, _ = strings.symbols(batch.column(0).slice(i, 1))
                 cuts = batch.column(1)[i].values
-                anchor, segment, different, low, high = (cuts.field(k).to_numpy() for k in range(5))
+                low, high = (cuts.field(k).to_numpy() for k in (4, 5))
                 for a in range(0, len(low), 2000):
                     part = slice(a, a + 2000)
-                    pieces_ = [raw[x : y + length] for x, y in zip(low[part].tolist(), high[part].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(segment[part]), pa.array(different[part]), pa.array(pieces_, pa.binary())], ["anchor", "segment", "different", "bytes"])
+                    own = [data[x : y + length].tobytes() for x, y in zip(low[part].tolist(), high[part].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(cuts.field(k).slice(a, 2000) for k in range(4)), batch.column(2).take(pa.array([i] * len(own))), pa.array(own, pa.binary())], ["core", "segment", "different", "settled", "label", "bytes"])
 
-    fetched = holders.join(by_text, "content").select("text", "cuts").mapInArrow(fetch, "anchor long, segment long, different long, bytes binary")
-    parts = F.ceil(F.col("different") / PART).cast("int")
+    fetched = holders.join(by_text, "content").select("text", "cuts", F.xxhash64("content").alias("label")).mapInArrow(fetch, "core long, segment long, different long, settled boolean, label long, bytes binary")
     mine = F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int")
     sent = (
-        fetched.withColumn("parts", parts).withColumn("mine", mine)
+        fetched.withColumn("parts", F.ceil(F.col("different") / strings.part).cast("int")).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(n))).alias("shard"),
+            F.when(F.col("parts") > 1, F.col("core")).otherwise(F.pmod("core", F.lit(n))).alias("shard"),
             F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            "anchor", "segment", "bytes",
+            "core", "segment", "settled", "label", "bytes",
         )
     )
-    matched = sent.groupBy("shard", "i", "j").applyInArrow(lambda t: match_shard(t, length), "segment long, ranges array<struct<low:long,high:long>>")
-    twice = segments.where("times > 1").select("segment", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("one.high") - F.col("one.low")).alias("high"))).alias("ranges"))
-    found = stored(matched.union(twice))
-    back = runs.join(found, "segment").select("content", F.explode(F.transform("ranges", lambda r: F.struct((F.col("low") + r["low"]).alias("low"), (F.col("low") + r["high"] + length).alias("high")))).alias("s"))
+    matched = sent.groupBy("shard", "i", "j").applyInArrow(lambda t: match_shard(t, strings), "core long, segment long, ranges array<struct<low:long,high:long>>")
+    whole = segments.where("settled").select("core", "segment", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("one.high") - F.col("one.low")).alias("high"))).alias("ranges"))
+    found = folder.stored(matched.union(whole))
+    back = parts.join(found, ["core", "segment"]).select("content", F.explode(F.transform("ranges", lambda r: F.struct((F.col("low") + r["low"]).alias("low"), (F.col("low") + r["high"] + length).alias("high")))).alias("s"))
     return back.groupBy("content").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
@@ -230,22 +315,64 @@ def _merged(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256, removed`` for every row.
+def with_content(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``key, content, n_bytes, text`` of all rows, and ``key, content, n_bytes, sha`` at hand.
+
+    ``content`` is a 64-bit hash of the text, null being empty.  It is held against
+    SHA-256; should two texts share one, another hash is taken, so equal contents
+    are equal texts.
+    """
+    for seed in range(100):
+        whole = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        texts = whole.select("key", F.xxhash64(F.lit(seed), "text").alias("content"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+        facts = cut(texts.select("key", "content", "n_bytes", F.sha2("text", 256).alias("sha")))
+        other = F.xxhash64("sha")
+        if not facts.groupBy("content").agg(F.min(other).alias("x"), F.max(other).alias("y")).where("x <> y").limit(1).count():
+            return texts, facts
+    raise RuntimeError("no hash tells the texts apart")
+
+
+def passages(texts: DataFrame, copied: DataFrame, folder: Folder, length: int = PASSAGE, gram: int = WORD_GRAM) -> DataFrame:
+    """``content, passages`` of the texts that share ``length`` words or more with
+    another one or that are ``copied``: spans of word numbers, high exclusive.
+    Tables in between go to ``folder``, which must outlive the result.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, so a passage may be spaced otherwise.
+    """
+    strings = Strings(length, gram, words=True)
+    runs = folder.stored(find_runs(texts, strings))
+    # a text's last start tells how many words it has
+    entire = runs.join(copied, "content", "left_semi").groupBy("content").agg((F.max("high") + length).alias("high"))
+    entire = entire.select("content", F.array(F.struct(F.lit(0).cast("long").alias("low"), "high")).alias("spans"))
+    some = repeated_starts(texts, strings, folder, runs).join(copied, "content", "left_anti")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [[{"low": a, "high": b} for a, b in _merged(s)] for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, _RANGES)], ["content", "passages"])
+
+    return some.unionByName(entire).mapInArrow(merge, "content long, passages array<struct<low:long,high:long>>")
+
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, gram: int = GRAM, words: int = PASSAGE, word_gram: int = WORD_GRAM) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept_sha256, n_passages,
+    n_passage_words, removed, passages`` for every row.
 
     A byte goes if a ``length``-byte string over it also starts anywhere else
     in the table, in the same text too; ``removed`` lists the byte spans that
-    go.  Null and empty texts have no bytes.  Repeated rows are copies of each
-    other.  Other columns play no part; an empty table gives an empty result.
+    go.  ``passages`` lists the spans of words inside ``words`` successive ones that
+    another row has too, whatever their bytes: they are told, not removed.
+    ``length`` and ``words`` are above their grams and at most half a million.
+    Null and empty texts have no bytes.  Repeated rows are copies of each other; ties cannot
+    arise, as all places of a string count alike.  Other columns play no part; an
+    empty table gives an empty result.
     """
     kind = df.schema[key].dataType.simpleString()
-    whole = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    content = F.xxhash64("text", F.reverse("text"))
-    size = F.octet_length("text").cast("long")
-    texts = whole.select("key", content.alias("content"), size.alias("n_bytes"), F.sha2("text", 256).alias("sha"), "text")
-    facts = cut(texts.select("key", "content", "n_bytes", "sha"))
-    copies = facts.where(F.col("n_bytes") >= length).groupBy("content").agg(F.count("*").alias("copies"))
-    spans = stored(repeated_starts(texts.where(F.col("n_bytes") >= length), length, gram).join(copies, "content").where("copies = 1").select("content", "spans"))
+    texts, facts = with_content(df, key, text)
+    several = cut(facts.where("n_bytes > 0").groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1").select("content", F.lit(True).alias("copied")))
+    long = texts.where(F.col("n_bytes") >= length).select("content", "text")
+    folder = Folder(df.sparkSession)
+    spans = folder.stored(repeated_starts(long, Strings(length, gram), folder).join(several, "content", "left_anti"))
     nothing = hashlib.sha256(b"").hexdigest()
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,16 +389,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], _RANGES)], ["content", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    touched = among(texts.where(F.col("n_bytes") >= length).select("content", "text"), spans, "content", "text").join(spans, "content").select("content", "text", "spans")
-    stripped = stored(touched.mapInArrow(strip, "content long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low:long,high:long>>"))
-    several = copies.where("copies > 1").select("content", F.lit(True).alias("copied"))
-    copied = F.coalesce("copied", F.lit(False))
+    touched = among(long, spans, "content").join(spans, "content").select("content", "text", "spans")
+    stripped = cut(touched.mapInArrow(strip, "content long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low:long,high:long>>"))
+    # shorter texts have fewer words than a passage
+    told = cut(passages(texts.where(F.col("n_bytes") >= 2 * words - 1).select("content", "text"), several, folder, words, word_gram))
+    folder.remove()
+    copied = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
+    none = F.array().cast("array<struct<low:long,high:long>>")
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high")))
     zero = F.lit(0).cast("long")
-    return facts.join(several, "content", "left").join(stripped, "content", "left").select(
+    return facts.join(several, "content", "left").join(stripped, "content", "left").join(told, "content", "left").select(
         F.col("key").cast(kind).alias(key), "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(copied, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(copied, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(copied, all_of).otherwise(F.coalesce("removed", F.array().cast("array<struct<low:long,high:long>>"))).alias("removed"),
+        F.coalesce(F.size("passages"), F.lit(0)).cast("long").alias("n_passages"),
+        F.aggregate(F.coalesce("passages", none), zero, lambda n, s: n + s["high"] - s["low"]).alias("n_passage_words"),
+        F.when(copied, all_of).otherwise(F.coalesce("removed", none)).alias("removed"), F.coalesce("passages", none).alias("passages"),
     )

@@ -1,6 +1,7 @@
 """Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai's common prefixes, search.
 
 A shard is a set of segments laid end to end; suffixes end with their segment.
+Symbols are bytes, or words numbered from 0 within the shard.
 A suffix's rank is the slot where its class of yet equal suffixes begins, and
 each round sorts the classes still open by the rank ``h`` further on, doubling
 ``h``.  Sort keys hold rank, rank and position in one 64-bit word, so a shard
@@ -17,6 +18,9 @@ MOST = (1 << FIELD) - 2
 
 def suffix_array(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order; equal ones by position."""
+    # as many first symbols as a sort key holds, each above the end's 0
+    bits = 9 if data.dtype == np.uint8 else max(9, int(data.max(initial=0) + 1).bit_length())
+    first = max(1, 36 // bits)
     n = len(data)
     if n > MOST:
         raise ValueError("too long for one shard")
@@ -24,12 +28,11 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     end = np.repeat(bounds[1:], np.diff(bounds))
     place = np.arange(n, dtype=np.uint64)
-    # the first four bytes, each above the end's 0
     key = np.zeros(n, np.uint64)
-    for k in range(4):
+    for k in range(first):
         at = np.minimum(np.arange(n) + k, n - 1)
         symbol = np.where(np.arange(n) + k < end, data[at].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        key = (key << np.uint64(9)) | symbol
+        key = (key << np.uint64(bits)) | symbol
     key = np.sort((key << np.uint64(FIELD)) | place)
     mask = np.uint64((1 << FIELD) - 1)
     order = (key & mask).astype(np.int64)
@@ -47,7 +50,7 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
     slots = np.arange(n)
     open_ = settle(slots, order, head)
-    h = 4
+    h = first
     while True:
         slots = slots[open_]
         if not len(slots):
@@ -101,20 +104,23 @@ def common_prefixes(data: np.ndarray, bounds: np.ndarray, order: np.ndarray, mos
     return out
 
 
-def repeated(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which starts have an equal ``length``-byte string at another start, and the order."""
+def alike(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of ``length``-symbol strings in order, and numbers from 0 that equal strings share."""
     order = suffix_array(data, bounds)
     shared = common_prefixes(data, bounds, order, length)
-    with_last = shared[order] >= length
-    hit = with_last.copy()
-    hit[:-1] |= with_last[1:]
-    out = np.zeros(len(data), bool)
-    out[order[hit]] = True
-    return out, order
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    # a suffix too short for a string lies between no two equal strings
+    starts = order[order + length <= end[order]]
+    new = shared[starts] < length
+    new[:1] = False
+    return starts, np.cumsum(new)
 
 
 def _words(data: np.ndarray, length: int) -> np.ndarray:
-    """Big-endian 8-byte words at each position, zeros past the end."""
+    """Big-endian 8-byte words at each position, zeros past the end; of other
+    symbols each by itself."""
+    if data.dtype != np.uint8:
+        return np.concatenate([data, np.zeros(length, data.dtype)])
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
     out = np.zeros(len(data) + length, np.uint64)
     for k in range(8):
@@ -123,10 +129,11 @@ def _words(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def search(data: np.ndarray, starts: np.ndarray, other: np.ndarray, queries: np.ndarray, length: int) -> np.ndarray:
-    """For each ``length``-byte string ``other[q:q + length]`` the first index into
+    """For each ``length``-symbol string ``other[q:q + length]`` the first index into
     ``starts`` (ordered by the strings there) of an equal one, or -1, by binary search."""
     a, b = _words(data, length), _words(other, length)
-    whole, rest = divmod(length, 8)
+    step = 8 if data.dtype == np.uint8 else 1
+    whole, rest = divmod(length, step)
     tail = np.uint64((0xFFFFFFFFFFFFFFFF << (64 - 8 * rest)) & 0xFFFFFFFFFFFFFFFF) if rest else np.uint64(0)
 
     def compare(at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -134,7 +141,7 @@ def search(data: np.ndarray, starts: np.ndarray, other: np.ndarray, queries: np.
         out = np.zeros(len(at), np.int8)
         todo = np.arange(len(at))
         for k in range(whole + bool(rest)):
-            x, y = a[at[todo] + 8 * k], b[q[todo] + 8 * k]
+            x, y = a[at[todo] + step * k], b[q[todo] + step * k]
             if k == whole:
                 x, y = x & tail, y & tail
             out[todo] = (x > y).astype(np.int8) - (x < y).astype(np.int8)

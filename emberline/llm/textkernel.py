@@ -44,10 +44,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def symbols(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each symbol: a byte's from ``codes``, a word's hash as it is."""
+    return codes[data] if data.dtype == np.uint8 else data
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]``, starts ascending, spans apart.
+    """64-bit hashes of ``data[starts[i]:ends[i]]``, starts and ends ascending.
 
-    Works through the bytes in bounded chunks, however long the texts are.
+    Works through the symbols in bounded chunks, however long the texts are.
     """
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -57,7 +62,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
         high = ends[to - 1]
         powers, inverses = _tables(int(high - low) + 1)
         prefix = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(codes[data[low:high]] * powers[:-1], out=prefix[1:])
+        np.cumsum(symbols(data[low:high], codes) * powers[:-1], out=prefix[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (prefix[e] - prefix[s]) * inverses[s] + (e - s).astype(np.uint64)
         at = to

@@ -1,9 +1,13 @@
 """Winnowing anchors: which stretches of texts can hold a repeated string at all.
 
-Of any ``window`` successive starts the one with the least ``gram``-byte hash is
-chosen, the last one on a tie.  Equal strings of ``gram + window - 1`` bytes
+Of any ``window`` successive starts the one with the least ``gram``-symbol hash
+is chosen, the last one on a tie.  Equal strings of ``gram + window - 1`` symbols
 choose the same start, so a string whose chosen gram is found nowhere else is
-found nowhere else itself.
+found nowhere else itself.  Symbols are bytes, or words given by their hashes.
+
+Strings that lie about alike around their anchor share a longer core than the
+gram.  :func:`cores` cuts a run's starts by the distance to the anchor, so that
+only strings with equal cores need to be compared.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from . import textkernel as K
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hashes of all ``gram``-byte strings of ``data``."""
+    """Hashes of all ``gram``-symbol strings of ``data``: bytes, or words' hashes."""
     n = len(data)
     if n < gram:
         return np.zeros(0, np.uint64)
@@ -24,7 +28,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         part = data[at : at + step + gram - 1]
         powers, inverses = K._tables(len(part) + 1)
         prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(K.CODES[part] * powers[:-1], out=prefix[1:])
+        np.cumsum(K.symbols(part, K.CODES) * powers[:-1], out=prefix[1:])
         m = len(part) - gram + 1
         out[at : at + m] = (prefix[gram:] - prefix[:m]) * inverses[:m]
     return K.mix(out)
@@ -76,3 +80,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     last = np.append(first[1:], len(start)) - 1
     base = offsets[text[first]]
     return text[first], start[first] - base, start[last] - base, anchor[first] - base, hashes[anchor[first]]
+
+
+def cores(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int, gram: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut into at most ``parts`` by the starts' distance to the anchor: the run
+    and the part's number, first and last start, first and last symbol of the core.
+
+    All strings of a part hold its core, at the same place from the anchor, so
+    equal strings lie in parts of one number with equal cores.
+    """
+    step = -(-(length - gram + 1) // parts)
+    far, near = (anchor - low) // step, (anchor - high) // step
+    count = far - near + 1
+    run = np.repeat(np.arange(len(low)), count)
+    part = far[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    begin = anchor[run] - part * step
+    first = np.maximum(low[run], begin - step + 1)
+    last = np.minimum(high[run], begin)
+    return run, part, first, last, begin, begin - step + length

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +30,22 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
+def brute_passages(rows, length):
+    seen = defaultdict(set)
+    own = [(k, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in rows]
+    for d, (_, words) in enumerate(own):
+        for i in range(len(words) - length + 1):
+            seen[tuple(words[i : i + length])].add(d)
+    out = []
+    for k, words in own:
+        held = np.zeros(len(words) + 1, bool)
+        for i in range(len(words) - length + 1):
+            if len(seen[tuple(words[i : i + length])]) > 1:
+                held[i : i + length] = True
+        out.append((k, int((np.diff(held.astype(int)) == 1).sum() + held[0]), int(held.sum())))
+    return sorted(out, key=str)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=8), st.integers(1, 12))
 def test_suffix_array_common_prefixes_and_search(segments, length):
@@ -83,6 +100,10 @@ def corpus():
 
 def got(df, **how):
     out = S.remove_repeats(df, **how).collect()
+    rows = df.select("doc_id", "text").collect()
+    words = how.get("words", S.PASSAGE)
+    assert sorted(((r.doc_id, r.n_passages, r.n_passage_words) for r in out), key=str) == brute_passages([(r.doc_id, r.text) for r in rows], words)
+    assert all(sum(x.high - x.low for x in r.passages) == r.n_passage_words and len(r.passages) == r.n_passages for r in out)
     assert all(sum(x.high - x.low for x in r.removed) == r.n_removed and len(r.removed) == r.n_spans for r in out)
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str)
 
@@ -91,9 +112,10 @@ def test_matches_brute_force(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, n_bytes string").repartition(4)
     assert got(df, length=100, gram=32) == brute(rows, 100)
-    # groups split into parts, merged by search
+    # groups split into parts, merged by search; heavy keys joined by broadcast
     monkeypatch.setattr(S, "PART", 5)
-    assert got(df, length=100, gram=32) == brute(rows, 100)
+    monkeypatch.setattr(S, "HEAVY", 3)
+    assert got(df, length=100, gram=32, words=12, word_gram=4) == brute(rows, 100)
     assert got(df.limit(0)) == []
 
 
