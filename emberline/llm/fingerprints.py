@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_likeness, cut, map_batches, pieces, shuffle_partitions, slices
+from .common import bit_likeness, cut, map_batches, pieces, shuffle_partitions, slices, spread_join
 from .graph import components
-from .neardup import BLOCK, _blocks, _pairs_across, in_blocks
+from .neardup import BLOCK, _blocks, _pairs_across, in_blocks, open_buckets
 
 BITS = 512
 PERIOD = 4096
@@ -282,20 +282,19 @@ def linked_prints(rows: DataFrame, key: str = "doc_id", least: float = 0.9) -> D
     nodes = cut(same.withColumn("hex", unhex).select("node", "least_key", "fingerprint", F.transform("hex", lambda h: F.shiftleft(half(h, 1), 32).bitwiseOR(half(h, 9))).alias("sig")))
     each = nodes.select("node", F.explode(bit_bands(F.col("fingerprint"))).alias("bucket"))
     shared = cut(each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
-    members = cut(each.join(shared, "bucket"))
+    members = cut(spread_join(each, shared, "bucket", "members"))
     a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(stars.join(a, "a").join(b, "b").where(bit_likeness(F.col("sa"), F.col("sb"), BITS // 64) >= need).select("a", "b"))
     groups = components(links)
-    known = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = cut(known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
+    known = cut(members.where("members > 2").select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
     def across(table: pa.Table) -> list[tuple[int, int]]:
         node, side, label = (table[c].to_numpy() for c in ("node", "side", "component"))
         sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
         return [(node[i], node[j]) for i, j in _pairs_across(np.ones(len(node)), side, sig, label.copy(), need, 0, matching=_same_bits)]
 
-    sent = in_blocks(known.join(open_, "bucket", "left_semi"), "members", BLOCK).join(nodes.select("node", "sig"), "node")
+    sent = in_blocks(known, open_buckets(known), BLOCK).join(nodes.select("node", "sig"), "node")
     more = cut(sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(across), "a long, b long").distinct())
     if more.limit(1).count():
         links = links.union(more).distinct()

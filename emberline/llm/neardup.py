@@ -2,7 +2,9 @@
 
 1. One pass hashes each text's word shingles and keeps the set's size and hash,
    band keys of its minima, and the low bits of the minima packed into longs.
-2. Texts with equal sets collapse into one node, however many they are.
+2. Texts with equal sets collapse into one node, however many they are.  A node
+   is named by a 64-bit hash of its set, which a second one is held against; other
+   seeds are taken should two sets share the first only.
 3. Nodes meet in band buckets.  In a bucket each node is paired with one hub,
    so a bucket of any size gives a number of pairs linear in it.
 4. Pairs whose sizes and bit counts allow the similarity (corrected for chance
@@ -13,7 +15,8 @@
    nodes may be connected at all, and give a forest of such clusters.  Within a
    cluster all pairs across components that bit counts allow are compared on
    full sets, again in blocks; a block gives a forest of confirmed links, never
-   all pairs.  So every pair that shares a bucket is either compared or already
+   all pairs.  Blocks are dealt so that nodes of the largest component, which are
+   connected already, do not meet each other.  So every pair that shares a bucket is either compared or already
    connected, and no table grows with the square of a group.
 
 With ``r`` rows in ``b`` bands a pair of similarity ``s`` misses every bucket
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, map_batches, text_buffer
+from .common import among, cut, map_batches, spread_join, text_buffer
 from .graph import components
 
 BANDS, ROWS, BITS = 32, 5, 2
@@ -123,8 +126,14 @@ def matches(a: F.Column, b: F.Column) -> F.Column:
     return F.lit(PERMUTATIONS) - differ
 
 
-def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key, n_shingles, node, bands, sig``; node, bands and sig null for empty sets."""
+def _set_hashes(sets: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(sets ^ K.mix(np.full(1, seed, np.uint64))))])
+    return K.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def sketch(df: DataFrame, key: str, text: str, width: int, seed: int = 0) -> DataFrame:
+    """``key, n_shingles, node, other, bands, sig``; all but the first two null for empty sets."""
     kind = df.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,22 +141,19 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
         size = np.diff(bounds)
         full = size > 0
         least = minima(sets, bounds)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(sets))])
-        node = K.mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)
+        node, other = (pa.array(_set_hashes(sets, bounds, 2 * seed + k), mask=~full) for k in (0, 1))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * x.shape[1])]), pa.int32()), x.ravel(), mask=pa.array(~full))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, mask=~full), lists(bands(least)), lists(signatures(least))], ["key", "n_shingles", "node", "bands", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), node, other, lists(bands(least)), lists(signatures(least))], ["key", "n_shingles", "node", "other", "bands", "sig"])
 
-    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text", work, f"key {kind}, n_shingles long, node long, bands array<long>, sig array<long>")
+    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text", work, f"key {kind}, n_shingles long, node long, other long, bands array<long>, sig array<long>")
 
 
-def full_sets(df: DataFrame, text: str, width: int) -> DataFrame:
+def full_sets(df: DataFrame, text: str, width: int, seed: int = 0) -> DataFrame:
     """``node, shingles`` of each text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, bounds = shingle_sets(batch.column(0), width)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(sets))])
-        node = K.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), sets.view(np.int64))], ["node", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(_set_hashes(sets, bounds, 2 * seed)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), sets.view(np.int64))], ["node", "shingles"])
 
     return map_batches(df.select(F.col(text).alias("_text")), "_text", work, "node long, shingles array<long>")
 
@@ -250,12 +256,25 @@ def exact_blocks(least: int, percent: int):
     return _blocks(work)
 
 
-def in_blocks(rows: DataFrame, members: str, size: int) -> DataFrame:
-    """Rows of each ``bucket`` dealt into pairs ``i, j`` of blocks of about ``size`` rows."""
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+def open_buckets(known: DataFrame) -> DataFrame:
+    """``bucket, giant, large, small, members`` of each bucket of ``known(bucket,
+    node, component)`` that holds several components: the one with most nodes in
+    it, how many it has, and how many the others have."""
+    each = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).where("members > most.n")
+    return cut(most.select("bucket", F.col("most.component").alias("giant"), F.col("most.n").alias("large"), (F.col("members") - F.col("most.n")).alias("small"), "members"))
+
+
+def in_blocks(known: DataFrame, open_: DataFrame, size: int) -> DataFrame:
+    """Rows of the open buckets dealt into pairs ``i, j`` of blocks of about ``size``
+    rows.  Blocks of the giant component are paired with the others' only."""
+    few, many = (F.ceil(F.col(c) / size).cast("int") for c in ("small", "large"))
+    others = F.col("component") != F.col("giant")
+    place = F.pmod(F.xxhash64("node"), F.when(others, F.col("few")).otherwise(F.col("many"))).cast("int")
     return (
-        rows.withColumn("blocks", F.ceil(F.col(members) / size).cast("int")).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread_join(known, open_, "bucket", "members").withColumn("few", few).withColumn("many", many)
+        .withColumn("mine", F.when(others, place).otherwise(place + F.col("few")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(others, F.col("many")).otherwise(F.lit(0)))))
         .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "node", "component")
     )
 
@@ -267,16 +286,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     shingle sets; ``component_id`` is the least key reachable and ``kept``
     says that it is the row's own.  Null, empty and word-free texts have no
     shingles and are linked with nothing.  Rows that repeat a key with one text
-    are one document.  Other columns play no part; an empty table gives an
+    are one document; ties of the least key cannot matter, as equal keys are one.
+    A null key is never the least of several.  Other columns play no part; an empty table gives an
     empty result.
     """
     least = least_matches(percent / 100)
-    rows = cut(sketch(df, key, text, width)).withColumn("row", F.monotonically_increasing_id())
+    for seed in range(100):
+        rows = cut(sketch(df, key, text, width, seed)).withColumn("row", F.monotonically_increasing_id())
+        if not rows.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").limit(1).count():
+            break
     same = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("key").alias("least_key"))
     nodes = cut(rows.join(same.select("row"), "row", "left_semi").select("node", F.col("n_shingles").alias("n"), "bands", "sig", "key"))
     each = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
-    members = cut(each.join(shared, "bucket"))
+    shared = cut(each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
+    members = cut(spread_join(each, shared, "bucket", "members"))
     facts = nodes.select("node", "n", "sig")
     fits = lambda n, m: F.least(n, m) * 100 >= percent * F.greatest(n, m)
 
@@ -284,7 +307,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         """``node, shingles`` of the nodes, made anew from their texts."""
         some = some.distinct()
         keys = nodes.select("node", "key").join(some, "node", "left_semi").select(F.col("key").alias("_key")).distinct()
-        return cut(full_sets(_semi(df, key, text, keys), "_text", width).join(some, "node", "left_semi").dropDuplicates(["node"]))
+        keys = cut(keys)
+        return cut(full_sets(_semi(df, key, text, keys), "_text", width, seed).join(some, "node", "left_semi").dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose full sets are alike enough."""
@@ -301,18 +325,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     groups = components(links)
 
     # buckets that still hold several components: which of their nodes bit counts would connect
-    known = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    sent = in_blocks(known.join(open_, "bucket", "left_semi"), "members", BLOCK).join(facts, "node")
+    known = cut(members.where("members > 2").select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sent = in_blocks(known, open_buckets(known), BLOCK).join(facts, "node")
     sorted_ = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     maybe = cut(sorted_.mapInArrow(candidate_blocks(least, percent), "a long, b long").distinct())
     if maybe.limit(1).count():
         # in each cluster of them all pairs across components are compared on full sets
-        clusters = components(links.union(maybe)).select("node", F.col("component").alias("bucket")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = clusters.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members")
-        dealt = cut(clusters.join(several, "bucket"))
+        clusters = cut(components(links.union(maybe)).select("node", F.col("component").alias("bucket")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        several = open_buckets(clusters)
+        dealt = spread_join(clusters, several, "bucket", "members")
         sets = sets_of(dealt.select("node"))
-        sent = in_blocks(dealt, "members", EXACT_BLOCK).join(facts, "node").join(sets, "node")
+        sent = in_blocks(clusters, several, EXACT_BLOCK).join(facts, "node").join(sets, "node")
         sorted_ = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         further = cut(sorted_.mapInArrow(exact_blocks(least, percent), "a long, b long").distinct())
         groups = components(links.union(further))
@@ -326,6 +349,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def _semi(df: DataFrame, key: str, text: str, keys: DataFrame) -> DataFrame:
-    """The texts whose key is among ``keys``."""
-    docs = df.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    """The texts whose key is among ``keys``, which is read twice."""
+    docs = among(df.select(F.col(key).alias("_k"), F.col(text).alias("_text")), keys.withColumnRenamed("_key", "_k"), "_k")
     return docs.join(keys, F.col("_k").eqNullSafe(F.col("_key")), "left_semi").select("_text")

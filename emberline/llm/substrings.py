@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from . import winnow
-from .common import Folder, cut, map_batches, pieces, text_buffer
+from .common import Folder, among, cut, map_batches, pieces, spread_join, text_buffer
 from .suffixes import MOST, alike, search
 
 GRAM = 128
@@ -50,10 +50,6 @@ PART = 2800
 #: Segments in a shard, about, and symbols in one suffix array where groups share it.
 SHARD = 8000
 TOGETHER = 700_000
-#: Bits of the filter that spares texts a shuffle; 1 MB at most, whatever the input.
-FILTER_BITS = 23
-#: Keys with more rows than this are joined by broadcast, if they are this few (16 bytes each).
-HEAVY, FEW = 20_000, 500_000
 #: Words of a passage, at least, and of its anchor.
 PASSAGE, WORD_GRAM = 50, 18
 
@@ -85,39 +81,6 @@ class Strings:
         return K.span_hashes(data, starts, ends), bounds
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, column: str, weight: str) -> DataFrame:
-    """``rows`` joined with ``keys``, which has one row of each ``column`` and is read
-    twice.  Keys that ``weight`` says have many rows are sent to the rows instead,
-    so that no task gets all rows of one, as long as such keys are few."""
-    heavy = keys.where(F.col(weight) > HEAVY)
-    if not 0 < heavy.limit(FEW + 1).count() <= FEW:
-        return rows.join(keys, column)
-    return rows.join(keys.where(F.col(weight) <= HEAVY), column).unionByName(rows.join(F.broadcast(heavy), column))
-
-
-def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys``: all that are, and few
-    others.  The filter has a fixed number of bits, so its size never grows."""
-    spot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    # the bitmap functions count from 1
-    rows = keys.select((spot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("m")).collect()
-    size = 1 << FILTER_BITS
-    bits = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        bits[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
-    held = df.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            ok = (held.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
-            if ok.any():
-                yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_s", spot).mapInArrow(run, kinds)
-
-
 def find_runs(texts: DataFrame, strings: Strings) -> DataFrame:
     """``anchor, content, spot, low, high, hashes`` of ``texts(content, text)``: a row
     for each run, with the hashes of its parts' cores, then of their segments."""

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from emberline.llm import common
 from emberline.llm import neardup as N
 from emberline.llm.graph import components
 
@@ -87,6 +88,30 @@ def test_blocks_find_what_hubs_miss(spark, monkeypatch):
     assert got(frame(spark, rows), 4) == brute(rows, 4)
 
 
+def test_heavy_buckets_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = [(i, t) for i, t in enumerate(near_copies())]
+    assert got(frame(spark, rows), 4) == brute(rows, 4)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs at 0.80 to 0.85: nine of ten at least are asked for, all but 3e-6 expected."""
+    r = random.Random(11)
+    rows, want = [], set()
+    for i in range(600):
+        base = [f"p{i}w{k}" for k in range(r.randint(80, 400))]
+        other = list(base)
+        for at in r.sample(range(4, len(base) - 4, 4), max(1, len(base) // 40)):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1], 4), shingles(rows[-1][1], 4)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            want.add((2 * i, 2 * i + 1))
+    groups = {k: c for k, _, c in got(frame(spark, rows), 4)}
+    assert len(want) > 150 and sum(groups[a] == groups[b] for a, b in want) >= 0.99 * len(want)
+
+
 def test_empty(spark):
     assert got(frame(spark, [(1, None)]).limit(0), 4) == []
     assert got(frame(spark, [(1, None), (2, None), (3, "")]), 4) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]

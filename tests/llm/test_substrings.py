@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberline.llm import substrings as S
-from emberline.llm import suffixes, winnow
+from emberline.llm import common, suffixes, winnow
 
 
 def brute(rows, length):
@@ -114,7 +114,7 @@ def test_matches_brute_force(spark, monkeypatch):
     assert got(df, length=100, gram=32) == brute(rows, 100)
     # groups split into parts, merged by search; heavy keys joined by broadcast
     monkeypatch.setattr(S, "PART", 5)
-    monkeypatch.setattr(S, "HEAVY", 3)
+    monkeypatch.setattr(common, "HEAVY", 3)
     assert got(df, length=100, gram=32, words=12, word_gram=4) == brute(rows, 100)
     assert got(df.limit(0)) == []
 
