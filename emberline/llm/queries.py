@@ -18,20 +18,23 @@ from .quality import quality_rules
 from .secrets import secret_scan
 from .substrings import remove_repeats
 from .tokens import token_counts
-from .urls import filter_urls
+from .urls import filter_urls, known_labels
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of them."""
     return mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and digests of secrets in all documents; a repository is a source's documents of one language."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     docs = docs.withColumn("repo", F.concat_ws("/", "source", "lang"))
     return secret_scan(docs, repo="repo", keep=["doc_id"]).drop("secrets")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
     return token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -40,35 +43,39 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs, by listed rules, then by rules mined from labels known of hosts and listed rules."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", bad.alias("block"))
-    return filter_urls(pages, labelled, URL_RULES)
+    return filter_urls(pages, known_labels(pages, URL_RULES), URL_RULES)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, on shingles of four words."""
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
     return pack_sequences(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, with groups of near ones."""
     # read several times to link them, so written once
     return linked_prints(cut(edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of all documents as repeated bytes, and the passages they share."""
     return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed", "passages")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdicts of the quality rules for all documents."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs, keep=["doc_id"])
 

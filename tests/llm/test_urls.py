@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 from itertools import combinations
 
+import pyarrow.parquet as pq
 import pytest
 
 from emberline.llm import urls
@@ -79,9 +81,40 @@ def test_rules_of_long_urls_equal_brute_force(spark):
     assert {x: c for x, c in got.items() if set(x) <= set(names) and len(x) < 4} == pytest.approx(want)
 
 
-def test_query_matches_brute_force(spark):
-    got = op4_url_filters(spark, "/root/testdata/sf0.001")
-    urls_by_id = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()}
-    for r in got.collect():
-        host, path, rule, verdict = brute(urls_by_id[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == ("block" if rule is None and r.mined else verdict)
+def brute_rules(data, least, need, confidence):
+    """Token sets of up to three with enough blocked rows and confidence, shorter ones first."""
+    blocked = Counter(x for t, b in data if b for k in (1, 2, 3) for x in combinations(sorted(t), k))
+    blocked = {x: c for x, c in blocked.items() if c >= (least if len(x) == 1 else need)}
+    freq = Counter(x for t, _ in data for k in (1, 2, 3) for x in combinations(sorted(t), k) if x in blocked)
+    good = {x: c / freq[x] for x, c in blocked.items() if c / freq[x] >= confidence}
+    return {x: c for x, c in good.items() if len(x) == 1 or not any(set(y) < set(x) and d >= c for y, d in good.items())}
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_query_matches_brute_force(spark, scale):
+    """Labels, rules, and verdicts without the operator's own ``mined``."""
+    rows = pq.read_table(f"/root/testdata/sf{scale}/pages.parquet", columns=["page_id", "url"]).to_pylist()
+    seen = spark.createDataFrame([(r["page_id"], r["url"]) for r in rows], "page_id long, url string")
+    seen = seen.withColumn("h", urls.url_host(seen.url)).withColumn("p", urls.url_path(seen.url))
+    tokens = {r.page_id: set(r.t) for r in seen.select("page_id", urls.url_tokens(seen.url, seen.h, seen.p).alias("t")).collect()}
+    known = {r["page_id"]: bool(set(re.split("[.-]", brute(r["url"])[0])) & set(urls.UNWANTED)) or (brute(r["url"])[2] is not None and brute(r["url"])[3] == "block") for r in rows}
+    need = max(20, -(-len(rows) * 5 // 1000))
+    rules = brute_rules([(tokens[k], b) for k, b in known.items()], 20, need, 0.8)
+    found = {r.page_id: r for r in op4_url_filters(spark, f"/root/testdata/sf{scale}").collect()}
+    assert len(found) == len(rows) and rules
+    for r in rows:
+        host, path, rule, verdict = brute(r["url"])
+        mined = any(set(x) <= tokens[r["page_id"]] for x in rules)
+        got = found[r["page_id"]]
+        assert (got.host, got.path, got.rule, got.mined) == (host, path, rule, mined)
+        assert got.verdict == (verdict if rule else "block" if mined else "allow")
+    assert any(g.mined for g in found.values()) and (scale == "0.01" or any(g.mined and g.rule is None for g in found.values()))
+
+
+def test_many_listed_rules_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(4, URLS[4], "x")], "page_id long, url string, rule string")
+    none = spark.createDataFrame([], "url string, block boolean")
+    more = URL_RULES + [("block", f"h{i}.info", f"/{i}") for i in range(2100)]
+    assert len(more) > urls.LITERAL_RULES
+    got = urls.filter_urls(pages, none, more).collect()
+    assert len(got) == len(URLS) + 1 and all((r.host, r.path, r.rule, r.verdict) == brute(URLS[r.page_id]) for r in got)
