@@ -94,6 +94,13 @@ def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_s", spot).mapInArrow(run, kinds)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

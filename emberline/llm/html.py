@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, unused
 
 #: Lines in a block.
 WINDOW = 3
@@ -45,6 +45,8 @@ DROP = frozenset("nav footer aside form menu dialog head".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# What such a word is combined with where it still names the element.
+CARRIERS = frozenset("area bar block body bottom box btn button buttons card cards container content entry footer form group header heading holder icon icons inner item items left link links list main mobile module outer overlay page panel post posts primary right row secondary section site slot text thread title top unit wrap wrapper".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # What holds articles of others: an article tag inside does not make it content.
 CARDS = frozenset("comment comments disqus promo promoted related replies respond sponsor sponsored".split())
@@ -54,6 +56,16 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 WORDS = re.compile(r"[a-z]+")
 
 
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id among ``value`` is one of ``words``, alone or with carriers:
+    ``related-posts`` is, ``related-work`` is not."""
+    for token in value.split():
+        parts = set(WORDS.findall(token))
+        if parts & words and parts <= DROP_WORDS | CARRIERS:
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROP or tag == "header" and not inside:
         return True
@@ -61,7 +73,7 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not DROP_WORDS.isdisjoint(WORDS.findall(value)):
+        if name in ("class", "id") and _named(value, DROP_WORDS):
             return True
         if name == "role" and value.strip() in DROP_ROLES or name == "hidden" and not m[2] and tag != "p":
             return True
@@ -73,7 +85,7 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
 def _cards(tag: str, attributes: str) -> bool:
     """Whether an element holds articles of others: comments, teasers, links."""
     words = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
-    return tag in CARD_TAGS or any(not CARDS.isdisjoint(WORDS.findall(w.lower())) for w in words)
+    return tag in CARD_TAGS or any(_named(w.lower(), CARDS) for w in words)
 
 
 def _closed(html: str) -> set[int]:
@@ -241,7 +253,7 @@ def extract_main_text(df: DataFrame, html: str = "html", keep: list[str] | None
     """``keep`` columns (all but ``html`` by default) with ``text`` and ``n_chars``.
 
     Null, empty and text-free pages give an empty text; repeated rows each get
-    theirs; an empty table gives an empty result.
+    theirs; of stretches that tie, each is judged by itself; an empty table gives an empty result.
     """
     keep = [c for c in df.columns if c not in (html, "text", "n_chars")] if keep is None else keep
     if clash := {"text", "n_chars"} & set(keep):
@@ -253,4 +265,5 @@ def extract_main_text(df: DataFrame, html: str = "html", keep: list[str] | None
         texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
-    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(html).alias("_html")), "_html", work, schema)
+    name = unused(keep, "_html")
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(html).alias(name)), name, work, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_batches, text_buffer
+from .common import map_batches, text_buffer, unused
 
 #: Largest share of a text's word characters inside n-grams that occur again, by n.
 GRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -125,13 +125,14 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), RESULT])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = measure(batch.column(batch.schema.get_field_index("_text")), **limits)
+        got = measure(batch.column(batch.num_columns - 1), **limits)
         shares = got["gram_shares"]
         got["gram_shares"] = pa.ListArray.from_arrays(np.arange(len(shares) + 1, dtype=np.int32) * shares.shape[1], shares.ravel())
         got = {k: v if isinstance(v, pa.Array) else pa.array(v, pa.bool_() if v.dtype == bool else pa.float64() if v.dtype == float else pa.int64()) for k, v in got.items()}
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *got.values()], [*keep, *got])
 
-    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text")), "_text", work, schema)
+    name = unused(keep, "_text")
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(name)), name, work, schema)
 
 
 def keep_good(df: DataFrame, text: str = "text", **limits) -> DataFrame:

@@ -2,8 +2,9 @@
 
 One pass over the texts finds credential spans.  Each candidate's hash is then
 counted by distinct repository and distinct owner over the whole corpus: a
-value that many owners hold is a widely copied example, one that only its
-owner's documents hold, and that looks random, is taken for live.  Base spans
+value that many owners hold, or many repositories, is a widely copied example,
+one that only its owner's documents hold in few repositories, and that looks
+random, is taken for live.  Base spans
 are always reported; of the wider patterns only live-looking ones are added.
 Candidates are few against the text, so only they are shuffled.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, text_buffer
+from .common import cut, map_batches, text_buffer, unused
 
 # The base patterns.
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -113,10 +114,10 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.concatenate(hits), side="right") - 1)
 
 
-def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, base figures and ``found``, the candidate spans."""
+def scan(df: DataFrame, text: str, keep: list[str], to: str) -> DataFrame:
+    """``keep`` columns, base figures and ``to``, the candidate spans."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"n_assign long, n_access long, n_hex long, base_sha256 string, `{to}` array<{SPAN}>"])
     nothing = hashlib.sha256(b"").hexdigest()
     kind = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("kind", pa.string()), ("end", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())]))
 
@@ -132,9 +133,10 @@ def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 counts[x[1], i] += 1
             digests[i] = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e, *_ in base).encode()).hexdigest()
             found[i] = [dict(zip(("start", "ord", "kind", "end", "hash", "random"), x, strict=True)) for x in spans]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *map(pa.array, counts), pa.array(digests), pa.array(found, kind)], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *map(pa.array, counts), pa.array(digests), pa.array(found, kind)], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", to])
 
-    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text")), "_text", work, schema)
+    name = unused(keep, "_text")
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(name)), name, work, schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -147,34 +149,37 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
-def secret_scan(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "source", keep: list[str] | None = None, most_owners: int = 2) -> DataFrame:
+def secret_scan(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "source", keep: list[str] | None = None, most_owners: int = 2, most_repos: int = 3) -> DataFrame:
     """``keep`` columns (all but ``text`` by default) with ``n_assign, n_access,
     n_hex, base_sha256, spans, n_live, n_examples, secrets``.
 
     ``spans`` is ``kind:start:end`` of every base span and of every added one
     (code points, end exclusive), by start, then kind as listed; ``secrets``
     has the same spans with hash, repositories, owners and verdict.  A
-    candidate is live if at most ``most_owners`` owners hold its value and the
-    value looks random.  Null texts are empty; empty texts and tables give no
-    spans; repeated rows each get their own; null owners count as one owner.
+    candidate is live if at most ``most_owners`` owners and ``most_repos``
+    repositories (of any owner) hold its value and the value looks random.  Null
+    texts are empty; empty texts and tables give no
+    spans; repeated rows each get their own; null owners count as one owner, null repositories as one of each owner.  Spans
+    that start at one place go by kind as listed.
     """
     names = {"n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_examples", "secrets"}
     keep = [c for c in df.columns if c != text and c not in names] if keep is None else keep
     if clash := names & set(keep):
         raise ValueError(f"columns clash with results: {sorted(clash)}")
-    own = df.withColumns({"_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")), "_repo": F.col(repo).cast("string")})
-    scanned = cut(scan(own, text, [*keep, "_owner", "_repo"])).withColumn("_row", F.monotonically_increasing_id())
-    each = scanned.where(F.size("found") > 0).select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode("found").alias("s"))
+    mine, at, row, of, found = (unused(df.columns, c) for c in ("_owner", "_repo", "_row", "_of", "_found"))
+    own = df.withColumns({mine: F.coalesce(F.col(owner).cast("string"), F.lit("")), at: F.col(repo).cast("string")})
+    scanned = cut(scan(own, text, [*keep, mine, at], found)).withColumn(row, F.monotonically_increasing_id())
+    each = scanned.where(F.size(found) > 0).select(F.col(row).alias(of), F.col(mine).alias("owner"), F.col(at).alias("repo"), F.explode(found).alias("s"))
     held = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
-    live = (F.col("owners") <= most_owners) & F.col("s.random")
+    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos) & F.col("s.random")
     judged = each.withColumn("hash", F.col("s.hash")).join(held, "hash").withColumn("live", live).where((F.col("s.ord") < 3) | F.col("live"))
-    per_row = judged.groupBy("_row").agg(
+    per_row = judged.groupBy(of).agg(
         F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "hash", "repos", "owners", "live"))).alias("secrets"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_examples"),
     )
     zero = F.lit(0).cast("long")
-    return scanned.join(per_row, "_row", "left").select(
+    return scanned.join(per_row, F.col(row) == F.col(of), "left").select(
         *(F.col(f"`{c}`") for c in keep), "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.concat_ws(",", F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))), F.lit("")).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_examples", zero).alias("n_examples"), "secrets",

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_batches, text_buffer
+from .common import map_batches, text_buffer, unused
 
 #: Distinct chunks remembered per Python worker before it starts anew.
 MOST_REMEMBERED = 400_000
@@ -134,7 +134,8 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
         size = np.diff(text_buffer(texts)[1])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text")), "_text", work, schema)
+    name = unused(keep, "_text")
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(name)), name, work, schema)
 
 
 class ByteIds:

@@ -63,3 +63,23 @@ def test_widely_copied_values_are_examples(spark):
     both = df.join(out.select("doc_id", "secrets"), "doc_id")
     assert {r.doc_id: r.text for r in redact(both, "text", "secrets").collect()}[9] == "é <vendor> end"
     assert np.all([r.text == f"see {VENDOR} here" for r in redact(both, "text", "secrets").collect() if r.doc_id < 5])
+
+
+def test_many_repositories_make_an_example(spark):
+    """One owner's value in many repositories is copied, in few of them it is live."""
+    few, many = ("ghp_" + x * 3 for x in ("Qq1Ww2Ee3Rr4", "Tt5Yy6Uu7Ii8"))
+    rows = [(i, f"see {many}", "s", f"r{i}") for i in range(4)] + [(10 + i, f"see {few}", "s", f"r{i % 3}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r.n_live for r in secret_scan(df, repo="repo", keep=["doc_id"]).collect()}
+    assert got == {i: 0 for i in range(4)} | {10 + i: 1 for i in range(9)}
+    assert sum(r.n_live for r in secret_scan(df, repo="repo", keep=["doc_id"], most_repos=4).collect()) == 13
+    assert sum(r.n_live for r in secret_scan(df, repo="repo", keep=["doc_id"], most_owners=0).collect()) == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(2, TEXTS[2], "s", "a", "b", 1, 2, "c", "d"), (2, TEXTS[2], "s", "a", "b", 1, 2, "c", "d"), (None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _text string, _owner string, _row long, _of long, found string, hash string")
+    for some in (df, df.limit(0)):
+        got = secret_scan(some)
+        assert got.columns[:8] == [c for c in df.columns if c != "text"]
+        assert sorted((r.n_assign + r.n_hex for r in got.collect()), reverse=True) == ([2, 2, 0] if some is df else [])

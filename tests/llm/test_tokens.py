@@ -36,3 +36,12 @@ def test_frame(spark):
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df).collect())
     assert got == [(1, 4, 2, False), (1, 4, 2, False), (2, 0, 0, False), (3, 4098, 2049, True)]
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    from emberline.llm.tokens import token_counts
+
+    df = spark.createDataFrame([(1, "one two", "x", 5), (1, "one two", "x", 5), (None, None, None, None), (2, "", "y", 6)], "doc_id long, text string, _text string, words long")
+    got = sorted(((r.doc_id or 0, r._text, r.n_bytes) for r in token_counts(df).collect()), key=str)
+    assert got == sorted([(1, "x", 7), (1, "x", 7), (0, None, 0), (2, "y", 0)], key=str)
+    assert token_counts(df.limit(0)).count() == 0
