@@ -147,7 +147,7 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     spark = df.sparkSession
     count, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
-    n = pieces(count, PIECE_ROWS, least=4 * shuffle_partitions(spark))
+    n = pieces(count, PIECE_ROWS, least=16 * shuffle_partitions(spark))
     keys = df.agg(F.percentile_approx(key, [i / n for i in range(n)], 20 * n), F.min(key), F.max(key)).first()
     bounds = sorted({keys[1], *(keys[0] or [])} - {None}) or [0]
     table = F.transform(F.split(F.lit(",".join(map(str, bounds))), ","), lambda x: x.cast("long"))
@@ -200,7 +200,7 @@ def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         waiting = None  # the last row, whose next one is not known yet
         done = None  # the piece whose row ahead has been used
         for batch in batches:
-            for part in slices(batch, "text", 6_000_000):
+            for part in slices(batch, "text", 3_000_000):
                 rows, following = [], []
                 for piece, ahead, k, t in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
                     t = t or ""
@@ -220,15 +220,29 @@ def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return with_next(df, key, text).mapInArrow(run, f"{key} long, {RESULT}")
 
 
-def bit_bands(fingerprint: F.Column, bands: int = 24, width: int = 24, seed: int = 9) -> F.Column:
-    """Band keys of a hexadecimal fingerprint: each band samples ``width`` bits."""
+def bit_bands(prints: np.ndarray, bands: int = 24, width: int = 24, seed: int = 9) -> np.ndarray:
+    """Band keys of packed fingerprints: each band samples ``width`` bits, which the
+    key holds beside the band's number."""
     rng = np.random.default_rng(seed)
-    keys = []
-    for b in range(bands):
-        picks = rng.choice(BITS, width, replace=False).tolist()
-        bit = lambda p: F.shiftright(F.conv(F.substring(fingerprint, p // 4 + 1, 1), 16, 10).cast("int"), 3 - p % 4).bitwiseAND(F.lit(1)).cast("string")
-        keys.append(F.xxhash64(F.lit(b), F.concat(*map(bit, picks))))
-    return F.array(*keys)
+    bits = np.unpackbits(prints, axis=1)
+    place = 1 << np.arange(width, dtype=np.int64)
+    return np.stack([(b << width) + bits[:, rng.choice(BITS, width, replace=False)] @ place for b in range(bands)], axis=1)
+
+
+def print_keys(df: DataFrame) -> DataFrame:
+    """``node, least_key, sig, bands`` of ``df(node, least_key, fingerprint)``."""
+    kind = df.schema["least_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            prints = np.frombuffer(bytes.fromhex("".join(batch.column(2).to_pylist())), np.uint8).reshape(n, BITS // 8)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.ascontiguousarray(prints).view(np.int64)), lists(bit_bands(prints))], ["node", "least_key", "sig", "bands"])
+
+    return df.select("node", "least_key", "fingerprint").mapInArrow(run, f"node long, least_key {kind}, sig array<long>, bands array<long>")
 
 
 def near_prints(a: F.Column, b: F.Column) -> F.Column:
@@ -275,12 +289,9 @@ def linked_prints(rows: DataFrame, key: str = "doc_id", least: float = 0.9) -> D
     """
     need = int(np.ceil((least + 1.0) / 2.0 * BITS))
     rows = rows.withColumn("node", F.when(F.col("n_chars") > 0, F.xxhash64("fingerprint")))
-    same = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("least_key"), F.min("fingerprint").alias("fingerprint"))
-    unhex = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.substring(F.col("fingerprint"), i * 16 + 1, F.lit(16)))
-    # two halves of 32 bits, as 16 hexadecimal digits take a long's sign
-    half = lambda h, a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
-    nodes = cut(same.withColumn("hex", unhex).select("node", "least_key", "fingerprint", F.transform("hex", lambda h: F.shiftleft(half(h, 1), 32).bitwiseOR(half(h, 9))).alias("sig")))
-    each = nodes.select("node", F.explode(bit_bands(F.col("fingerprint"))).alias("bucket"))
+    same = rows.where("node is not null").groupBy("node", "fingerprint").agg(F.min(key).alias("least_key"))
+    nodes = cut(print_keys(same))
+    each = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cut(each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
     members = cut(spread_join(each, shared, "bucket", "members"))
     a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
