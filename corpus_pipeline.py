@@ -8,12 +8,10 @@ handled as each operator says; rows of one key are told apart by their text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import checkpoint_folder, read_table
+from emberline.llm.common import Folder, cut, read_table
 from emberline.llm.mixing import mix_sources
 from emberline.llm.neardup import near_duplicates
 from emberline.llm.packing import pack_sequences
@@ -30,11 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, on shingles of five words."""
-    kept = near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias(KEY)).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(KEY)), "left_semi")
+    groups = cut(near_duplicates(docs, width=5).where("kept").groupBy(F.col("doc_id").alias(KEY)).agg(F.count("*").alias("rows")))
+    out = docs.join(groups.select(KEY), F.col("doc_id").eqNullSafe(F.col(KEY)), "left_semi")
     # rows that repeat both key and text are one document
-    again = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    return out.dropDuplicates(["doc_id", "text"]) if groups.where("rows > 1").limit(1).count() else out
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +69,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
+    before = None
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(f"{folder}/{number}-{name}")
+            folder = Folder(spark)
+            docs = folder.stored(docs)
+            if before is not None:
+                before.remove()
+            before = folder
     return docs
