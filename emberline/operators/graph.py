@@ -3,47 +3,79 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a private one is made only for
+    a local master whose session names none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberline-"))
+    return named or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, or to a
-    private one where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """The state of an iteration, a table a round.  A checkpoint would keep the
+    estimated size of its plan, which joins multiply round by round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.number = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def next(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        df.write.parquet(f"{self.path}/{self.number}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}")
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``df``, kept without the rounds' tables."""
+        out = checkpointed(df)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
 def families(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, family``: the least node that links reach, by least labels and
-    pointer jumping; a checkpoint a round keeps plans short."""
+    pointer jumping; a table a round keeps plans short."""
+    rounds_ = Rounds(edges.sparkSession)
     both = checkpointed(symmetric(edges))
     now = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("family")))
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("dst"), "family"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("family").alias("near"))
         low = now.join(near, "node").select("node", F.least("family", "near").alias("low"), F.col("family").alias("old"))
-        then = checkpointed(low.join(now.select(F.col("node").alias("low"), F.col("family").alias("up")), "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("family"), "old"))
+        then = rounds_.next(low.join(now.select(F.col("node").alias("low"), F.col("family").alias("up")), "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("family"), "old"))
         settled = then.where("family <> old").limit(1).count() == 0
         now = then.select("node", "family")
         if settled:
-            return now
+            return rounds_.last(now)
     raise RuntimeError("families did not settle")
 
 
 def reachable(start: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """All nodes that links reach from ``start(node)``, themselves included."""
+    rounds_ = Rounds(edges.sparkSession)
     both = checkpointed(symmetric(edges))
-    seen = front = checkpointed(start.select("node").distinct())
+    seen = front = rounds_.next(start.select("node").distinct())
     for _ in range(rounds):
-        front = checkpointed(both.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        front = rounds_.next(both.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if not front.limit(1).count():
-            return seen
-        seen = checkpointed(seen.union(front))
+            return rounds_.last(seen)
+        seen = rounds_.next(seen.union(front))
     raise RuntimeError("the closure did not settle")

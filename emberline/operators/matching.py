@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
@@ -10,6 +10,13 @@ from .graph import checkpointed
 # How a match is accepted.
 COMMON = 100
 ANCHORS, HASHES, BINS, FRACTION = 6, 8, 3, 0.25
+#: Rows of references or pairs that are sent to all tasks, at most (40 bytes each).
+HELD = 500_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has at most :data:`HELD` rows."""
+    return F.broadcast(df) if df.limit(HELD + 1).count() <= HELD else df
 
 
 def fan_out(peaks: DataFrame, item: str = "item", frame: str = "frame", low: int = 3, high: int = 60, most: int = 8) -> DataFrame:
@@ -34,39 +41,59 @@ def common_tokens_off(postings: DataFrame, token: str = "token", most: int = COM
     return postings.join(rare, token)
 
 
+def near_tokens(tokens: Column) -> Column:
+    """Tokens and those whose last nine bits are one off, each once."""
+    low = lambda t: t.bitwiseAND(F.lit(511))
+    each = F.transform(tokens, lambda t: F.filter(F.array(t - 1, t, t + 1), lambda u: F.shiftright(u, 9) == F.shiftright(t, 9)))
+    return F.array_distinct(F.flatten(each))
+
+
 def index_match(query: DataFrame, postings: DataFrame, slack: bool = True) -> DataFrame:
-    """Query tokens joined to postings of equal tokens, or with the last nine bits
-    one off: ``query, reference, token, anchor, at``.  With ``slack`` each hit is
-    there once, however many query tokens lead to it."""
-    near = query
-    if slack:
-        moved = F.filter(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.col("token").bitwiseAND(F.lit(511)) + d >= 0) & (F.col("token").bitwiseAND(F.lit(511)) + d < 512))
-        near = query.withColumn("_d", F.explode(moved)).withColumn("token", F.col("token") + F.col("_d")).drop("_d")
-    found = near.select("query", "token", F.col("frame").alias("anchor")).join(postings.select("reference", "token", F.col("frame").alias("at")), "token")
-    return found.distinct() if slack else found
+    """Query tokens joined to postings of equal tokens or, with ``slack``, of tokens
+    with the last nine bits one off: ``query, reference, token, anchor, at``, each hit once.
+
+    ``query`` has ``query, frame`` and either a ``token`` or, one row a frame,
+    ``tokens``.  Postings that are few are sent to the queries, so that query
+    tokens without a posting are never shuffled; with ``tokens`` nothing is.
+    """
+    whole = "tokens" in query.columns
+    own = F.col("tokens") if whole else F.array("token")
+    each = query.select("query", F.col("frame").alias("anchor"), F.explode(near_tokens(own) if slack else F.array_distinct(own)).alias("token"))
+    found = each.join(held(postings.select("reference", "token", F.col("frame").alias("at")).distinct()), "token").select("query", "reference", "token", "anchor", "at")
+    return found if whole else found.distinct()
+
+
+def offset_counts(matches: DataFrame) -> DataFrame:
+    """Hits of each pair's rounded offsets (thirds, half to even)."""
+    return matches.groupBy("query", "reference", F.rint((F.col("anchor") - F.col("at")) / 3.0).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def offset_modes(matches: DataFrame, most: int = 3) -> DataFrame:
-    """The commonest rounded offsets (thirds, half to even) of each pair."""
-    counted = matches.groupBy("query", "reference", F.rint((F.col("anchor") - F.col("at")) / 3.0).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("hits"))
+    """The commonest rounded offsets of each pair."""
     w = Window.partitionBy("query", "reference").orderBy(F.col("hits").desc(), "bucket")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return offset_counts(matches).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def accept(matches: DataFrame, references: DataFrame, rate: float = 100.0) -> DataFrame:
-    """Each pair's best offset: enough distinct anchors, tokens and bins, and a
-    large enough part of the reference; most anchors win, then more hits.
-
-    ``references(reference, anchors, duration_s)``.
+    """Each pair's best offset: the hits at most three frames off it must have
+    enough distinct reference frames, tokens and bins, a large enough part of the
+    reference's frames and span; most frames win, then more hits.
+
+    ``matches`` is read twice, ``references(reference, anchors, duration_s)``.
+    Such hits lie in three neighbouring buckets, so a pair whose fullest bucket
+    holds less than a third of what is needed is left out at once; only the
+    hits of the others are gathered.
     """
-    # read twice, so written once
-    matches = checkpointed(matches)
-    modes = offset_modes(matches)
-    near = matches.withColumn("offset", F.col("anchor") - F.col("at")).join(modes, ["query", "reference"]).where(F.abs(F.rint(F.col("offset") / 3.0) - F.col("bucket")) <= 1)
+    least = F.greatest(F.lit(max(ANCHORS, HASHES)), F.ceil(FRACTION * F.col("anchors")))
+    known = held(references)
+    able = offset_counts(matches).where(3 * F.col("hits") >= max(ANCHORS, HASHES)).join(known, "reference").where(3 * F.col("hits") >= least)
+    pairs = checkpointed(able.select("query", "reference").distinct())
+    some = checkpointed(matches.join(held(pairs), ["query", "reference"]))
+    near = some.withColumn("offset", F.col("anchor") - F.col("at")).join(offset_modes(some), ["query", "reference"]).where(F.abs(F.col("offset") - 3 * F.col("bucket")) <= 3)
     found = near.groupBy("query", "reference", "bucket", "hits").agg(
-        F.count_distinct("anchor").alias("anchors_hit"), F.count_distinct("token").alias("tokens_hit"), F.count_distinct(F.shiftright("token", 18)).alias("bins_hit"),
-        (F.max("anchor") - F.min("anchor")).alias("span"), F.percentile("offset", F.lit(0.5)).alias("offset"),
-    ).join(references, "reference").withColumn("fraction", F.col("anchors_hit") / F.col("anchors"))
+        F.count_distinct("at").alias("anchors_hit"), F.count_distinct("token").alias("tokens_hit"), F.count_distinct(F.shiftright("token", 18)).alias("bins_hit"),
+        (F.max("at") - F.min("at")).alias("span"), F.percentile("offset", F.lit(0.5)).alias("offset"),
+    ).join(known, "reference").withColumn("fraction", F.col("anchors_hit") / F.col("anchors"))
     fine = found.where(
         (F.col("anchors_hit") >= ANCHORS) & (F.col("tokens_hit") >= HASHES) & (F.col("bins_hit") >= BINS) & (F.col("fraction") >= FRACTION)
         & (F.col("span") / rate >= F.least(F.lit(0.15), 0.3 * F.col("duration_s")))
@@ -87,16 +114,21 @@ def match_summary(queries: DataFrame, matches: DataFrame, label: str = "label")
     return queries.join(hit, "query", "left").groupBy(label).agg(F.count(F.lit(1)).alias("queries"), F.sum(F.coalesce("_hit", F.lit(0))).alias("matched"))
 
 
-def word_postings(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFrame:
-    """``key, token, frame``: landmarks of texts, pairs of words up to ``gap`` apart
-    as packed tokens with the first word's place.
+def word_landmarks(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFrame:
+    """``key, frame, tokens``: landmarks of texts, pairs of words up to ``gap`` apart
+    as packed tokens with the first word's place, each once.
 
-    Words become rows of nine-bit codes first, and the words that follow come
-    from one window over each text, so no Python and no nested lambdas run.
+    Words become nine-bit codes first, and the words that follow come from one
+    window over each text, so no Python and no nested lambdas run.
     """
     words = F.filter(F.split(F.col(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = df.select(key, F.posexplode(words).alias("frame", "w")).select(key, "frame", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(511)).alias("c"))
     w = Window.partitionBy(key).orderBy("frame")
     ahead = rows.select(key, "frame", "c", *(F.lead("c", k).over(w).alias(f"c{k}") for k in range(1, gap + 1)))
     pair = lambda k: F.shiftleft("c", 18).bitwiseOR(F.shiftleft(f"c{k}", 9)).bitwiseOR(F.lit(k // 2).cast("long"))
-    return ahead.select(key, "frame", F.explode(F.array(*(pair(k) for k in range(1, gap + 1)))).alias("token")).where("token is not null")
+    return ahead.select(key, "frame", F.array_distinct(F.array_compact(F.array(*(pair(k) for k in range(1, gap + 1))))).alias("tokens"))
+
+
+def word_postings(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFrame:
+    """``key, token, frame``: :func:`word_landmarks`, a row each."""
+    return word_landmarks(df, key, text, gap).select(key, F.explode("tokens").alias("token"), "frame")

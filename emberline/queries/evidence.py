@@ -11,6 +11,7 @@ from emberline.operators import graph as G
 from emberline.operators import matching as J
 from emberline.operators import metrics as Q
 from emberline.operators import pooling as A
+from emberline.operators.graph import checkpointed
 from emberline.sources.tables import clips, media, table, windows
 
 from .common import CLIPS, MEDIA, TIER, WINDOWS, Registry, r
@@ -132,7 +133,7 @@ def tokens_sql(name: str, key: str, source: str) -> str:
     return f"""{name}_w AS (SELECT {key} AS item, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {source}),
   {name}_c AS (SELECT item, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM {name}_w),
   {name}_d AS (SELECT item, i, ('0x' || substr(md5(w), 1, 8))::BIGINT % 512 AS c FROM {name}_c),
-  {name} AS (SELECT a.item, (a.c << 18) | (b.c << 9) | ((b.i - a.i) // 2) AS token, a.i AS frame FROM {name}_d a JOIN {name}_d b ON a.item = b.item AND b.i - a.i BETWEEN 1 AND 8)"""
+  {name} AS (SELECT DISTINCT a.item, (a.c << 18) | (b.c << 9) | ((b.i - a.i) // 2) AS token, a.i AS frame FROM {name}_d a JOIN {name}_d b ON a.item = b.item AND b.i - a.i BETWEEN 1 AND 8)"""
 
 
 def postings(spark: SparkSession, sf: str, name: str, key: str, to: str) -> DataFrame:
@@ -150,12 +151,13 @@ def landmark_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 _MATCH = f"""{_LAND}, {tokens_sql('qs', 'doc_id', 'documents')},
   rare AS (SELECT * FROM refs WHERE token IN (SELECT token FROM refs GROUP BY token HAVING count(*) <= 100)),
-  hits AS (SELECT q.item AS query, rr.item AS reference, rr.token AS token, q.frame AS anchor, rr.frame AS spot FROM qs q JOIN rare rr ON q.token = rr.token)"""
+  near AS (SELECT DISTINCT item, frame, token + d AS token FROM qs, (VALUES (-1), (0), (1)) AS steps(d) WHERE (token & 511) + d BETWEEN 0 AND 511),
+  hits AS (SELECT q.item AS query, rr.item AS reference, rr.token AS token, q.frame AS anchor, rr.frame AS spot FROM near q JOIN rare rr ON q.token = rr.token)"""
 
 
-def hits(spark: SparkSession, sf: str, slack: bool = False) -> DataFrame:
-    refs = J.common_tokens_off(postings(spark, sf, "benchmark", "item_id", "reference"))
-    return J.index_match(postings(spark, sf, "documents", "doc_id", "query"), refs, slack=slack)
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    refs = checkpointed(J.common_tokens_off(postings(spark, sf, "benchmark", "item_id", "reference")))
+    return J.index_match(J.word_landmarks(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc_id", "query"), refs)
 
 
 @query(f"WITH {_MATCH} SELECT query, reference, count(*) AS hits, count(DISTINCT token) AS tokens FROM hits GROUP BY query, reference")
@@ -173,27 +175,24 @@ def offset_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_MODES}, info AS (SELECT item AS reference, count(DISTINCT frame) AS anchors FROM refs GROUP BY item),
-  near AS (SELECT h.*, m.bucket, m.hits, h.anchor - h.spot AS o FROM hits h JOIN modes m ON h.query = m.query AND h.reference = m.reference WHERE abs(round_even((h.anchor - h.spot) / 3.0, 0) - m.bucket) <= 1),
-  f AS (SELECT near.query, near.reference, bucket, hits, count(DISTINCT anchor) AS anchors_hit, count(DISTINCT token) AS tokens_hit, count(DISTINCT token >> 18) AS bins_hit, max(anchor) - min(anchor) AS span, quantile_cont(o::DOUBLE, 0.5) AS o, any_value(anchors) AS anchors
-    FROM near JOIN info ON near.reference = info.reference GROUP BY 1, 2, 3, 4),
+  close AS (SELECT h.*, m.bucket, m.hits, h.anchor - h.spot AS o FROM hits h JOIN modes m ON h.query = m.query AND h.reference = m.reference WHERE abs(h.anchor - h.spot - 3 * m.bucket) <= 3),
+  f AS (SELECT close.query, close.reference, bucket, hits, count(DISTINCT spot) AS anchors_hit, count(DISTINCT token) AS tokens_hit, count(DISTINCT token >> 18) AS bins_hit, max(spot) - min(spot) AS span, quantile_cont(o::DOUBLE, 0.5) AS o, any_value(anchors) AS anchors
+    FROM close JOIN info ON close.reference = info.reference GROUP BY 1, 2, 3, 4),
   ok AS (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY anchors_hit DESC, hits DESC, bucket) AS rn FROM f WHERE anchors_hit >= 6 AND tokens_hit >= 8 AND bins_hit >= 3 AND anchors_hit::DOUBLE / anchors >= 0.25 AND span / 100.0 >= least(0.15, 0.3 * anchors / 100.0))
   SELECT query, reference, bucket, anchors_hit, tokens_hit, bins_hit, {r('o', 'offset')}, {r('anchors_hit::DOUBLE / anchors', 'fraction')} FROM ok WHERE rn = 1""")
 def match_accept(spark: SparkSession, sf: str) -> DataFrame:
-    return accepted(spark, sf, hits(spark, sf))
-
-
-def accepted(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     refs = postings(spark, sf, "benchmark", "item_id", "reference").groupBy("reference").agg(F.count_distinct("frame").alias("anchors")).withColumn("duration_s", F.col("anchors") / 100.0)
-    out = J.accept(found, refs)
+    out = J.accept(hits(spark, sf), refs)
     return out.select("query", "reference", "bucket", "anchors_hit", "tokens_hit", "bins_hit", r6("offset").alias("offset"), r6("fraction").alias("fraction"))
 
 
-@query("""WITH q AS (SELECT doc_id AS query, sha256(text) AS d FROM documents WHERE length(source) = 5), f AS (SELECT doc_id AS reference, sha256(text) AS d FROM documents WHERE length(source) = 4), e AS (SELECT query, reference FROM q JOIN f ON q.d = f.d)
+@query("""WITH q AS (SELECT doc_id AS query, sha256(text) AS d FROM documents WHERE source IS NULL OR NOT regexp_full_match(source, 'src[0-9]')), f AS (SELECT doc_id AS reference, sha256(text) AS d FROM documents WHERE regexp_full_match(source, 'src[0-9]')), e AS (SELECT query, reference FROM q JOIN f ON q.d = f.d)
   SELECT query, reference FROM e UNION ALL SELECT query, -1 FROM q WHERE query NOT IN (SELECT query FROM e)""")
 def exact_shortcut(spark: SparkSession, sf: str) -> DataFrame:
-    """Later threads' contents against those of the first ten."""
+    """All other threads' contents, and those without one, against those of the first ten."""
+    first = F.coalesce(F.col("source").rlike("^src[0-9]$"), F.lit(False))
     docs = table(spark, sf, "documents", "doc_id", "text", "source").withColumn("digest", F.sha2("text", 256)).drop("text")
-    exact, rest = J.exact_shortcut(docs.where("length(source) = 5").withColumnRenamed("doc_id", "query"), docs.where("length(source) = 4").withColumnRenamed("doc_id", "reference"))
+    exact, rest = J.exact_shortcut(docs.where(~first).withColumnRenamed("doc_id", "query"), docs.where(first).withColumnRenamed("doc_id", "reference"))
     return exact.unionByName(rest.select("query", F.lit(-1).cast("long").alias("reference")))
 
 
@@ -203,30 +202,6 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     return J.match_summary(queries, hits(spark, sf))
 
 
-# the same with time gaps one step off, as the reference looks tokens up; the SQL above joins equal tokens only
-
-
-@query()
-def near_index_match(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(spark, sf, slack=True).groupBy("query", "reference").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("token").alias("tokens"))
-
-
-@query()
-def near_offset_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return J.offset_modes(hits(spark, sf, slack=True)).select("query", "reference", "bucket", "hits", "rank")
-
-
-@query()
-def near_match_accept(spark: SparkSession, sf: str) -> DataFrame:
-    return accepted(spark, sf, hits(spark, sf, slack=True))
-
-
-@query()
-def near_match_summary(spark: SparkSession, sf: str) -> DataFrame:
-    queries = table(spark, sf, "documents", "doc_id", "lang").select(F.col("doc_id").alias("query"), F.col("lang").alias("label"))
-    return J.match_summary(queries, hits(spark, sf, slack=True))
-
-
 @query("""WITH p AS (SELECT user_id AS item, event_id % 500 AS frame, event_type AS bin, value AS loud FROM events), k AS (SELECT a.item, a.frame, a.bin, a.loud, b.frame AS frame2, b.bin AS bin2,
     row_number() OVER (PARTITION BY a.item, a.frame, a.bin ORDER BY b.loud DESC, b.frame, b.bin) AS rank FROM p a JOIN p b ON a.item = b.item AND b.frame - a.frame BETWEEN 3 AND 60)
   SELECT item, count(*) AS pairs, sum(frame2 - frame)::BIGINT AS gaps FROM k WHERE rank <= 8 GROUP BY item""")
