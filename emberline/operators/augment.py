@@ -15,14 +15,15 @@ EVALUATION_PROFILES = ["evaluation-a", "evaluation-b", "evaluation-c"]
 def plan(clips: DataFrame, backgrounds: DataFrame, positives: int = 12, others: int = 2, mixes: int = 4, seed: int = 1) -> DataFrame:
     """One row per record to make: ``key, clip, kind, split, variant, profile, gain_db, background``.
 
-    Each clip gives its original, training views (more for positives) and
-    evaluation views, which never train; each positive is mixed with seeded
+    Each clip gives its original, each labelled one also training views (more for
+    positives) and evaluation views, which never train; each positive is mixed with seeded
     picks among ``backgrounds(number, background)``, numbered from 0.
     """
     n = F.when(F.col("label") == "positive", positives).otherwise(others)
     base = clips.select("clip", "label", F.lit("real").alias("kind"), F.lit("base").alias("split"), F.lit(0).alias("variant"), F.lit("original").alias("profile"))
-    train = clips.withColumn("variant", F.explode(F.sequence(F.lit(1), n))).select("clip", "label", F.lit("real").alias("kind"), F.lit("train").alias("split"), "variant", F.element_at(F.array(*map(F.lit, TRAIN_PROFILES)), (F.col("variant") - 1) % len(TRAIN_PROFILES) + 1).alias("profile"))
-    held = clips.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(len(EVALUATION_PROFILES))))).select("clip", "label", F.lit("real").alias("kind"), F.lit("evaluation").alias("split"), "variant", F.element_at(F.array(*map(F.lit, EVALUATION_PROFILES)), F.col("variant")).alias("profile"))
+    labelled = clips.where("label IN ('positive', 'negative')")
+    train = labelled.withColumn("variant", F.explode(F.sequence(F.lit(1), n))).select("clip", "label", F.lit("real").alias("kind"), F.lit("train").alias("split"), "variant", F.element_at(F.array(*map(F.lit, TRAIN_PROFILES)), (F.col("variant") - 1) % len(TRAIN_PROFILES) + 1).alias("profile"))
+    held = labelled.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(len(EVALUATION_PROFILES))))).select("clip", "label", F.lit("real").alias("kind"), F.lit("evaluation").alias("split"), "variant", F.element_at(F.array(*map(F.lit, EVALUATION_PROFILES)), F.col("variant")).alias("profile"))
     mixed = clips.where("label = 'positive'").withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(mixes)))).select("clip", "label", F.lit("synthetic").alias("kind"), F.lit("train").alias("split"), "variant", F.lit("mix").alias("profile"))
     rows = base.unionByName(train).unionByName(held).unionByName(mixed)
     many = F.broadcast(backgrounds.agg(F.count(F.lit(1)).alias("_many")))

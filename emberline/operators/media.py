@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # File endings that count as video, and the snapshot schema.
 VIDEO = (".mp4", ".webm", ".m4v", ".mov", ".ogv")
-FILE = "path string, file string, md5 string, media_md5 string, size long, size_bytes long, source_bytes long, api_size_kib long, duration double, duration_s double, source_duration_s double, status string"
+FILE = "path string, file string, md5 string, media_md5 string, size long, size_bytes long, source_bytes long, api_size_kib long, duration_s double, duration_secs double, api_duration_s double, status string"
 THREADS = f"struct<threads:array<struct<posts:array<struct<files:array<struct<{', '.join(':'.join(x.split()) for x in FILE.split(', '))}>>>>>>>"
 
 
@@ -41,10 +41,10 @@ def thread_of_url(path: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(path, pattern, k), F.lit("")) for k in (1, 2))
 
 
-def thread_key(path: Column) -> Column:
-    """The thread of a stored file, ``/board/src/thread/file``; else ``unknown``."""
+def thread_key(path: Column, other: str = "unknown") -> Column:
+    """The thread of a stored file, ``/board/src/thread/file``; else ``other``."""
     part = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.when((F.get(part, F.lit(1)) == "src") & (F.size(part) >= 4), F.get(part, F.lit(2))).otherwise("unknown")
+    return F.when((F.get(part, F.lit(1)) == "src") & (F.size(part) >= 4), F.get(part, F.lit(2))).otherwise(other)
 
 
 def is_video(path: Column) -> Column:
@@ -56,10 +56,10 @@ def normalize_media(df: DataFrame) -> DataFrame:
     path = canonical_path(F.col("path"))
     part = F.split(F.regexp_replace(path, "^/", ""), "/")
     return df.where(is_video(F.col("path"))).select(
-        path.alias("path"), or_else(F.col("file"), F.element_at(part, -1)).alias("file"), F.get(part, F.lit(0)).alias("board"), thread_key(path).alias("thread"),
+        path.alias("path"), or_else(F.col("file"), F.element_at(part, -1)).alias("file"), F.get(part, F.lit(0)).alias("board"), thread_key(path, "").alias("thread"),
         or_else(F.col("md5"), F.col("media_md5")).alias("media_md5"),
         or_else(F.col("size_bytes"), F.col("source_bytes"), F.col("size") * 1024, F.col("api_size_kib") * 1024).alias("source_bytes"),
-        or_else(F.col("duration_s"), F.col("source_duration_s"), F.col("duration")).alias("source_duration_s"),
+        or_else(F.col("duration_s"), F.col("duration_secs"), F.col("api_duration_s")).alias("source_duration_s"),
         F.coalesce(or_else(F.col("status")), F.lit("ok")).alias("status"),
     )
 

@@ -42,15 +42,16 @@ def source_weights(df: DataFrame, kind_mass: dict[str, float], kind: str = "kind
     return df.join(counts, [kind, label, source]).withColumn("weight", mass / 2.0 / F.col("_sources") / F.col("_copies")).drop("_copies", "_sources")
 
 
-def donor_weights(df: DataFrame, real: str = "real", label: str = "label", donor: str = "donor", share: float = 0.8) -> DataFrame:
-    """Real rows weigh ``share``; each class of synthetic rows gets the same part of
-    the rest, split over donors, then copies; null weights where a class is missing."""
-    totals = df.agg(F.sum(F.col(real).cast("double")).alias("_real"), F.count_distinct(F.when(~F.col(real), F.col(label))).alias("_classes"))
+def donor_weights(df: DataFrame, own: str = "own", real: str = "real", label: str = "label", donor: str = "donor", share: float = 0.8) -> DataFrame:
+    """Real rows keep ``share`` of their own weight; each class of synthetic rows gets
+    the same part of the rest of the real rows' sum, split over donors, then copies;
+    null weights where a class is missing."""
+    totals = df.agg(F.sum(F.when(F.col(real), F.col(own).cast("double"))).alias("_real"), F.count_distinct(F.when(~F.col(real), F.col(label))).alias("_classes"))
     copies = df.where(~F.col(real)).groupBy(label, donor).agg(F.count(F.lit(1)).alias("_copies"))
     copies = copies.withColumn("_donors", F.count(F.lit(1)).over(Window.partitionBy(label)))
     held = df.join(copies, [label, donor], "left").crossJoin(F.broadcast(totals))
     synthetic = F.col("_real") * (1.0 - share) / 2.0 / F.col("_donors") / F.col("_copies")
-    return held.withColumn("weight", F.when(F.col("_classes") < 2, F.lit(None)).when(F.col(real), F.lit(share)).otherwise(synthetic)).drop("_real", "_classes", "_copies", "_donors")
+    return held.withColumn("weight", F.when(F.col("_classes") < 2, F.lit(None)).when(F.col(real), share * F.col(own)).otherwise(synthetic)).drop("_real", "_classes", "_copies", "_donors")
 
 
 def hard_negative_weights(df: DataFrame, mass: float, k: int, clip: str = "clip", p: str = "p", order: str = "frame") -> DataFrame:

@@ -29,16 +29,38 @@ def high_shelf(cut: float, gain_db: float, rate: float = RATE) -> np.ndarray:
     return np.array([a * ((a + 1) + (a - 1) * c + r), -2 * a * ((a - 1) + (a + 1) * c), a * ((a + 1) + (a - 1) * c - r), 2 * ((a - 1) - (a + 1) * c), (a + 1) - (a - 1) * c - r]) / norm
 
 
-def filter_section(x: np.ndarray, section: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One section over ``(channels, samples)``; the state goes from block to block."""
+def _steps(section: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` samples of a section at once: outputs from inputs and from the state, and
+    the state after from inputs and the state before."""
     b0, b1, b2, a1, a2 = section
+    step, enters = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(n):
+        powers.append(powers[-1] @ step)
+    after = np.stack([p @ enters for p in powers[:n]])
+    response = np.concatenate([[b0], after[:-1, 0]])
+    lag = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0), np.stack([p[0] for p in powers[:n]]), after[::-1].T, powers[n]
+
+
+def filter_section(x: np.ndarray, section: np.ndarray, state: np.ndarray | None = None, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """One section over ``(channels, samples)``; the state (2, channels) goes from block
+    to block.  ``size`` samples are a matrix product, and only the state goes on from
+    one such piece to the next."""
     z = np.zeros((2, len(x))) if state is None else state.copy()
-    y = np.empty_like(x, dtype=float)
-    for i in range(x.shape[1]):
-        v = x[:, i]
-        y[:, i] = out = b0 * v + z[0]
-        z[0] = b1 * v - a1 * out + z[1]
-        z[1] = b2 * v - a2 * out
+    y = np.empty(x.shape)
+    whole = x.shape[1] // size * size
+    for first, last, n in ((0, whole, size), (whole, x.shape[1], x.shape[1] - whole)):
+        if last == first:
+            continue
+        own, from_state, to_state, on = _steps(section, n)
+        part = x[:, first:last].reshape(len(x), -1, n).astype(float)
+        fed = part @ to_state.T
+        states = np.empty((len(x), part.shape[1], 2))
+        for k in range(part.shape[1]):
+            states[:, k] = z.T
+            z = on @ z + fed[:, k].T
+        y[:, first:last] = (part @ own.T + states @ from_state.T).reshape(len(x), -1)
     return y, z
 
 
@@ -60,7 +82,7 @@ def frame_shares(x: np.ndarray, size: int = 800, bins: int = 1024) -> np.ndarray
     n = x.shape[1] // size
     if n == 0:
         return np.full((1, bins // 2 + 1), 1.0 / (bins // 2 + 1))
-    frames = x[:, : n * size].reshape(len(x), n, size) * np.hanning(size + 1)[:-1]
+    frames = x[:, : n * size].reshape(len(x), n, size) * np.hanning(size)
     power = (np.abs(np.fft.rfft(frames, bins, axis=2)) ** 2).mean(axis=0) + 1e-12
     return power / power.sum(axis=1, keepdims=True)
 
@@ -81,19 +103,6 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(x) * gain))
 
 
-def roughness(x: np.ndarray, rate: float = RATE, low: float = 30.0, high: float = 150.0) -> tuple[float | None, float | None]:
-    """Share of the envelope's 4-200 Hz power that lies in 30-150 Hz, and its depth;
-    null under 0.2 s, 0 for silence."""
-    if len(x) < 0.2 * rate:
-        return None, None
-    e = envelope(x)
-    if e.mean() < 1e-7:
-        return 0.0, 0.0
-    power, at = np.abs(np.fft.rfft(e - e.mean())) ** 2, np.fft.rfftfreq(len(e), 1 / rate)
-    whole = power[(at >= 4) & (at <= 200)].sum()
-    return float(power[(at >= low) & (at <= high)].sum() / max(whole, 1e-12)), float(e.std() / e.mean())
-
-
 def delay(x: np.ndarray, y: np.ndarray, expected: int, slack: int) -> int:
     """The lag of ``y`` behind ``x`` with the greatest correlation near ``expected``."""
     n = 1 << (len(x) + len(y)).bit_length()
@@ -183,87 +192,6 @@ def spectral_summary(values: np.ndarray, size: int = 16) -> pd.DataFrame:
     return pd.DataFrame({"block": np.arange(len(s)), "centroid": s @ np.arange(s.shape[1]), "flatness": np.exp(np.log(s).mean(axis=1)) / s.mean(axis=1), "flux": flux(s)})
 
 
-def attack_ms(fine: np.ndarray, onset: int, step_ms: float = 10.0, quiet: float = -30.0) -> float:
-    """From the last quiet row before the peak of the next second to within 3 dB of
-    it; 2000 where there is no quiet row."""
-    ahead = fine[onset : onset + 100]
-    if not len(ahead):
-        return 2000.0
-    peak = onset + int(np.argmax(ahead))
-    low = np.flatnonzero(fine[max(0, peak - 100) : peak] <= quiet)
-    if not len(low):
-        return 2000.0
-    start = max(0, peak - 100) + int(low[-1])
-    return float((start + int(np.argmax(fine[start : peak + 1] >= fine[peak] - 3)) - start) * step_ms)
-
-
-def relative_attack_ms(fine: np.ndarray, onset: int, step_ms: float = 10.0) -> float:
-    """From 20 to 80 % of the rise in power over the median before; a gain changes nothing."""
-    before, ahead = fine[max(0, onset - 100) : onset], fine[onset : onset + 100]
-    if not len(before) or not len(ahead):
-        return 0.0
-    floor = 10 ** (float(np.median(before)) / 10)
-    peak = int(np.argmax(ahead))
-    part = np.concatenate([before, ahead[: peak + 1]])
-    rise = np.maximum(10 ** (part / 10) - floor, 0) / max(10 ** (float(ahead[peak]) / 10) - floor, 1e-12)
-    above = np.flatnonzero(rise >= 0.8)
-    if not len(above):
-        return 0.0
-    first = int(above[0])
-    low = np.flatnonzero(rise[: first + 1] < 0.2)
-    return float((first - (int(low[-1]) if len(low) else 0)) * step_ms)
-
-
-def burst(fine: np.ndarray, onset: int) -> dict[str, float]:
-    """Moving-mean peaks, and how long the level stays near and above its background."""
-    power = 10 ** (fine / 10)
-    ahead = slice(onset, min(len(fine), onset + 200))
-    background = float(np.median(fine[max(0, onset - 100) : onset])) if onset else -90.0
-    out = {}
-    for k in (5, 10, 20):
-        means = np.convolve(power[ahead], np.ones(k) / k, "valid") if len(power[ahead]) >= k else np.array([1e-9])
-        out[f"peak_{k}"] = float(10 * np.log10(max(means.max(), 1e-9)))
-    peak = onset + int(np.argmax(fine[ahead])) if len(fine[ahead]) else onset
-    for name, floor in (("within_6", fine[peak] - 6), ("above_10", background + 10)):
-        left = right = peak
-        while left > max(0, peak - 10) and fine[left - 1] >= floor:
-            left -= 1
-        while right + 1 < min(len(fine), peak + 200) and fine[right + 1] >= floor:
-            right += 1
-        out[f"{name}_left"], out[f"{name}_right"] = float(peak - left), float(right - peak)
-    out["rise"] = float(fine[peak] - background)
-    out["attack_ms"], out["relative_attack_ms"] = attack_ms(fine, onset), relative_attack_ms(fine, onset)
-    return out
-
-
-def rhythm(fine: np.ndarray, onset: int, least: int = 60) -> float | None:
-    """Largest normalised autocorrelation of onsets over lags of 0.2 to 1.5 s in the
-    eight seconds before; null with too few rows."""
-    own = np.maximum(np.diff(fine[max(0, onset - 800) : onset]), 0)
-    n = len(own)
-    if n < least:
-        return None
-    d = own - own.mean()
-    energy = max(float(d @ d), 1e-12)
-    return float(max(d[:-k] @ d[k:] for k in range(20, min(150, n // 2 - 1) + 1)) / energy)
-
-
-def band_changes(x: np.ndarray, onset: int, rate: int = RATE, edges: tuple[int, ...] = (60, 200, 500, 1000, 2000, 4000, 8000)) -> list[float | None]:
-    """For each band the upper level during the event over the median before it."""
-    size, hop = 512, 160
-    before, during = x[: max(0, onset - rate // 20)], x[onset : onset + int(0.3 * rate)]
-    if len(before) < size or len(during) < size:
-        return [None] * (len(edges) - 1)
-
-    def levels(part: np.ndarray) -> np.ndarray:
-        frames = np.lib.stride_tricks.sliding_window_view(part, size)[::hop] * np.hanning(size)
-        power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-        at = np.fft.rfftfreq(size, 1 / rate)
-        return 10 * np.log10(np.maximum(np.stack([power[:, (at >= a) & (at < b)].sum(axis=1) for a, b in zip(edges, edges[1:], strict=False)], axis=1), 1e-9))
-
-    return (np.percentile(levels(during), 90, axis=0) - np.percentile(levels(before), 50, axis=0)).tolist()
-
-
 def local_peaks(loud: np.ndarray, time: int = 15, bins: int = 9, low: int = 7, high: int = 480) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins that are greatest of their neighbourhood, within 30 dB of the
     frame's loudest and not below -100 dB."""

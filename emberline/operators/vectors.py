@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.scalars import cosine_distance, norm
+from emberline.functions.scalars import cosine_distance, logistic, norm
+
+
+# Groups of which what is new, and what stays, are features.
+INTRODUCED, PERSISTENT = ("vocal_alarm", "noise"), ("music", "singing")
 
 
 def neighbours(df: DataFrame, group: str, order: str, vector: str) -> DataFrame:
@@ -29,6 +33,32 @@ def context_distances(df: DataFrame, event: str, before: str, after: str) -> Dat
     return df.select("*", cosine_distance(e, b).alias("from_before"), cosine_distance(e, a).alias("from_after"), cosine_distance(b, a).alias("around"), ratio(e, b).alias("rise"), ratio(e, a).alias("fall"))
 
 
+def context_features(df: DataFrame, head: Sequence[Sequence[float]], bias: Sequence[float], groups: dict[str, Sequence[int]], opening: int = 20, step_s: float = 0.05) -> DataFrame:
+    """The 32 ``ctx_`` features of ``event``, ``before`` and ``after`` vectors and
+    ``position_s``: whether the event opens the clip, distances and norms, and of each
+    group of categories the greatest score at the event, its rise and its fall, for
+    some groups also what is new or what stays.  ``head`` has a row of weights for
+    each category, over a vector's first entries."""
+    e, b, a = F.col("event"), F.col("before"), F.col("after")
+    middle = F.zip_with(b, a, lambda x, y: (x + y) / 2.0)
+    ratio = lambda x, y: F.ln((norm(x) + 1e-6) / (norm(y) + 1e-6))
+    out = {
+        "ctx_boundary_opening": (F.rint(F.col("position_s") / step_s) <= opening).cast("double"),
+        "ctx_embedding_before_event_distance": cosine_distance(b, e), "ctx_embedding_event_after_distance": cosine_distance(e, a),
+        "ctx_embedding_before_after_distance": cosine_distance(b, a), "ctx_embedding_context_event_distance": cosine_distance(middle, e),
+        "ctx_embedding_event_before_log_norm": ratio(e, b), "ctx_embedding_event_after_log_norm": ratio(e, a),
+    }
+    score = lambda v, k: logistic(sum((F.get(v, F.lit(j)) * w for j, w in enumerate(head[k])), F.lit(float(bias[k]))))
+    best = lambda v, own: F.greatest(*(score(v, k) for k in own)) if len(own) > 1 else score(v, own[0])
+    scored = df.select("*", *(best(v, own).alias(f"_{name}_{at}") for name, own in groups.items() for at, v in (("e", e), ("b", b), ("a", a))))
+    at = lambda name, where: F.col(f"_{name}_{where}")
+    for name in groups:
+        out |= {f"ctx_semantic_{name}_event": at(name, "e"), f"ctx_semantic_{name}_rise": at(name, "e") - at(name, "b"), f"ctx_semantic_{name}_fall": at(name, "e") - at(name, "a")}
+    out |= {f"ctx_semantic_{name}_introduced": at(name, "e") * (1.0 - at(name, "b")) for name in INTRODUCED if name in groups}
+    out |= {f"ctx_semantic_{name}_persistent": F.least(at(name, "b"), at(name, "e")) for name in PERSISTENT if name in groups}
+    return scored.select("*", *(out[n].alias(n) for n in sorted(out))).drop(*(f"_{name}_{w}" for name in groups for w in "eba"))
+
+
 def group_means(vector: Column, groups: Sequence[Sequence[int]]) -> Column:
     """Mean of the entries of each index group."""
     return F.array(*(sum((F.get(vector, F.lit(i)).cast("double") for i in g), F.lit(0.0)) / len(g) for g in groups))

@@ -44,8 +44,8 @@ _RAW = """raw AS (SELECT doc_id, '/' || lang || CASE WHEN doc_id % 2 = 0 THEN '/
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE md5(text) END AS md5, md5(text) AS media_md5, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE n_chars END AS size_bytes, doc_id % 7 AS size FROM documents)"""
 
 
-@query(f"""WITH {_RAW} SELECT path, split_part(path, '/', -1) AS file, split_part(path, '/', 2) AS board, CASE WHEN split_part(path, '/', 3) = 'src' THEN split_part(path, '/', 4) ELSE 'unknown' END AS thread,
-  coalesce(nullif(md5, ''), media_md5) AS media_md5, coalesce(nullif(size_bytes, 0), nullif(size * 1024, 0), -1)::BIGINT AS source_bytes, NULL::DOUBLE AS source_duration_s, 'ok' AS status FROM raw WHERE NOT ends_with(path, '.jpg')""")
+@query(f"""WITH {_RAW} SELECT path, split_part(path, '/', -1) AS file, split_part(path, '/', 2) AS board, CASE WHEN split_part(path, '/', 3) = 'src' THEN split_part(path, '/', 4) ELSE '' END AS thread,
+  coalesce(nullif(md5, ''), media_md5) AS media_md5, coalesce(nullif(size_bytes, 0), nullif(size * 1024, 0), -1)::BIGINT AS source_bytes, CASE WHEN doc_id % 3 = 0 THEN 1.5::DOUBLE WHEN doc_id % 3 = 1 THEN 2.5::DOUBLE END AS source_duration_s, 'ok' AS status FROM raw WHERE NOT ends_with(path, '.jpg')""")
 def media_normalize(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "lang", "source", "text", "n_chars")
     end = F.when(F.col("doc_id") % 5 == 0, ".jpg").when(F.col("doc_id") % 5 == 1, ".WEBM").otherwise(".mp4")
@@ -54,7 +54,7 @@ def media_normalize(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("/"), "lang", F.when(F.col("doc_id") % 2 == 0, "/src/").otherwise("/x/"), "source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"), none("string").alias("file"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.md5("text")).alias("md5"), F.md5("text").alias("media_md5"),
         F.when(F.col("doc_id") % 4 == 0, 0).otherwise(F.col("n_chars")).cast("long").alias("size_bytes"), none("long").alias("source_bytes"), (F.col("doc_id") % 7).alias("size"), none("long").alias("api_size_kib"),
-        none("double").alias("duration_s"), none("double").alias("source_duration_s"), none("double").alias("duration"), F.lit("").alias("status"),
+        F.when(F.col("doc_id") % 3 == 0, 1.5).alias("duration_s"), F.when(F.col("doc_id") % 3 == 1, 2.5).otherwise(0.0).alias("duration_secs"), none("double").alias("api_duration_s"), F.lit("").alias("status"),
     )
     return M.normalize_media(raw).withColumn("source_bytes", F.coalesce("source_bytes", F.lit(-1)))
 

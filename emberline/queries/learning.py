@@ -183,8 +183,8 @@ def robust_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {CLIPS}, back AS (SELECT row_number() OVER (ORDER BY clip) - 1 AS number, clip AS background FROM clips WHERE label = 'negative'), many AS (SELECT count(*) AS many FROM back),
   plan AS (SELECT clip, label, 'real' AS kind, 'base' AS split, 0 AS variant, 'original' AS profile FROM clips
-    UNION ALL SELECT clip, label, 'real', 'train', v, 'train-' || lpad(((v - 1) % 12)::VARCHAR, 2, '0') FROM clips, range(1, 13) g(v) WHERE v <= CASE WHEN label = 'positive' THEN 12 ELSE 2 END
-    UNION ALL SELECT clip, label, 'real', 'evaluation', v, 'evaluation-' || substr('abc', v::INT, 1) FROM clips, range(1, 4) g(v) UNION ALL SELECT clip, label, 'synthetic', 'train', v, 'mix' FROM clips, range(1, 5) g(v) WHERE label = 'positive')
+    UNION ALL SELECT clip, label, 'real', 'train', v, 'train-' || lpad(((v - 1) % 12)::VARCHAR, 2, '0') FROM clips, range(1, 13) g(v) WHERE label <> 'unlabeled' AND v <= CASE WHEN label = 'positive' THEN 12 ELSE 2 END
+    UNION ALL SELECT clip, label, 'real', 'evaluation', v, 'evaluation-' || substr('abc', v::INT, 1) FROM clips, range(1, 4) g(v) WHERE label <> 'unlabeled' UNION ALL SELECT clip, label, 'synthetic', 'train', v, 'mix' FROM clips, range(1, 5) g(v) WHERE label = 'positive')
   SELECT clip || ':' || kind || ':' || split || ':' || variant AS key, profile, CASE WHEN profile = 'original' THEN 0.0::DOUBLE ELSE round(-12.0::DOUBLE + 18.0::DOUBLE * (('0x' || substr(md5('gain1:' || clip || ':' || kind || ':' || split || ':' || variant), 1, 8))::BIGINT / 4294967296.0::DOUBLE), 3) END + 0.0::DOUBLE AS gain_db,
     coalesce(background, -1) AS background FROM plan, many LEFT JOIN back ON kind = 'synthetic' AND number = ('0x' || substr(md5('1:' || clip || ':' || variant), 1, 8))::BIGINT % many""")
 def augmentation_plan(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.scalars import db_power, r6, risk_tier
+from emberline.functions.scalars import r6, risk_tier
 from emberline.operators import frames as W
 from emberline.operators import pooling as A
 from emberline.operators import selection as T
@@ -51,13 +51,15 @@ def trailing_mad(spark: SparkSession, sf: str) -> DataFrame:
     return W.trailing_mad(W.trailing_baseline(frames(spark, sf))).where(W.scored()).select("clip", "frame", r6("mad").alias("mad"))
 
 
-_H = ", ".join(f"quantile_cont(level, 0.5) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN {h + 2} PRECEDING AND 3 PRECEDING) AS b{h}" for h in (10, 20, 60, 120))
+_H = ", ".join(f"coalesce(quantile_cont(level, 0.5) OVER h{h}, -90.0) AS b{h}, list(level) OVER h{h} AS l{h}" for h in (10, 20, 60, 120))
+_HW = ", ".join(f"h{h} AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN {h + 2} PRECEDING AND 3 PRECEDING)" for h in (10, 20, 60, 120))
 
 
-@query(f"WITH {FRAMES}, h AS (SELECT *, {_H} FROM frames) SELECT clip, frame, " + ", ".join(f"{r(f'b{h}', f'baseline_{h}')}, {r(f'level - b{h}', f'jump_{h}')}" for h in (10, 20, 60, 120)) + " FROM h WHERE frame >= 22")
+@query(f"WITH {FRAMES}, h AS (SELECT *, quantile_cont(level, 0.25) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS event, {_H} FROM frames WINDOW {_HW}) SELECT clip, frame, " + ", ".join(
+    f"{r(f'b{h}', f'baseline_{h}')}, round(coalesce(list_aggregate(list_transform(l{h}, lambda x: abs(x - b{h})), 'quantile_cont', 0.5), 0.0), 6) + 0.0::DOUBLE AS mad_{h}, {r(f'event - b{h}', f'jump_{h}')}" for h in (10, 20, 60, 120)) + " FROM h")
 def multi_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    out = W.horizons(frames(spark, sf)).where("frame >= 22")
-    return out.select("clip", "frame", *(r6(c).alias(c) for h in (10, 20, 60, 120) for c in (f"baseline_{h}", f"jump_{h}")))
+    out = W.horizons(W.forward_quartile(frames(spark, sf), (6,)), "p25_6")
+    return out.select("clip", "frame", *(r6(c).alias(c) for h in (10, 20, 60, 120) for c in (f"baseline_{h}", f"mad_{h}", f"jump_{h}")))
 
 
 _P = ", ".join(f"quantile_cont(level, 0.25) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS p25_{k}" for k in (2, 6, 12, 20))
@@ -85,19 +87,19 @@ def selection_score(spark: SparkSession, sf: str) -> DataFrame:
     return selected(spark, sf).select("clip", "frame", r6("score").alias("score"))
 
 
-_W60 = "(PARTITION BY clip ORDER BY frame ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+_L60, _C59 = (f"(PARTITION BY clip ORDER BY frame ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (60, 59))
 
 
 @query(f"""WITH {FRAMES}, d AS (SELECT *, level - lag(level) OVER (PARTITION BY clip ORDER BY frame) AS change FROM frames)
-  SELECT clip, frame, {r('change', 'change')}, sum(CASE WHEN change >= 8 THEN 1 ELSE 0 END) OVER {_W60}::BIGINT AS rises,
-  {r(f'quantile_cont(change, 0.75) OVER {_W60} - quantile_cont(change, 0.25) OVER {_W60}', 'spread')} FROM d""")
+  SELECT clip, frame, coalesce(sum(CASE WHEN change >= 8 THEN 1 ELSE 0 END) OVER {_C59}, 0)::BIGINT AS rises,
+  {r(f'coalesce(quantile_cont(level, 0.75) OVER {_L60} - quantile_cont(level, 0.25) OVER {_L60}, 0.0)', 'spread')}, {r(f'coalesce(quantile_cont(abs(change), 0.5) OVER {_C59}, 0.0)', 'derivative')} FROM d""")
 def first_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return W.differences(frames(spark, sf)).select("clip", "frame", r6("change").alias("change"), "rises", r6("spread").alias("spread"))
+    return W.differences(frames(spark, sf)).select("clip", "frame", F.col("rises").cast("long").alias("rises"), r6("spread").alias("spread"), r6("derivative").alias("derivative"))
 
 
 @query(f"""WITH {BASED}, h AS (SELECT *, list(level) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS a,
   list(level) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) AS b FROM jumped)
-  SELECT clip, frame, {r("list_avg(list_transform(a, lambda x: CASE WHEN x - baseline >= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))", 'held')},
+  SELECT clip, frame, {r("list_avg(list_transform(a, lambda x: CASE WHEN x >= greatest(-13.0::DOUBLE, baseline + 9.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))", 'held')},
   {r("list_avg(list_transform(b, lambda x: greatest(x - baseline, 0.0::DOUBLE)))", 'excess')} FROM h WHERE frame >= 22 AND frame < n - 5""")
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
     return W.persistence(W.trailing_baseline(frames(spark, sf))).where(W.scored()).select("clip", "frame", r6("held").alias("held"), r6("excess").alias("excess"))
@@ -110,12 +112,21 @@ def moving_power(spark: SparkSession, sf: str) -> DataFrame:
     return W.moving_power(frames(spark, sf)).where("frame > 0").select("clip", "frame", r6("rise_db").alias("rise_db"))
 
 
-_M = ", ".join(f"CASE WHEN frame >= {k - 1} THEN avg(pow(10, level / 10)) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END AS m{k}" for k in (5, 10, 20))
+POINTS = BASED + """, points AS (SELECT clip, frame AS point FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY jump DESC, frame) AS rn FROM jumped WHERE frame >= 22 AND frame < n - 5) WHERE rn = 1)"""
 
 
-@query(f"WITH {FRAMES}, m AS (SELECT clip, {_M} FROM frames) SELECT clip, " + ", ".join(r(f"10 * log10(greatest(max(m{k}), 1e-12))", f"peak_{k}") for k in (5, 10, 20)) + " FROM m GROUP BY clip")
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """Each clip's frame with the greatest jump."""
+    based = W.trailing_baseline(frames(spark, sf)).where(W.scored())
+    return W.first_best(based.select("clip", "frame", "jump"), "jump", ["clip"]).select("clip", F.col("frame").alias("point"))
+
+
+_M = ", ".join(f"CASE WHEN row_number() OVER w >= {k} THEN avg(p) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END AS m{k}" for k in (5, 10, 20))
+
+
+@query(f"WITH {POINTS}, s AS (SELECT f.clip, frame, point, pow(10, level / 10) AS p FROM frames f JOIN points ON f.clip = points.clip WHERE frame >= point - 5 AND frame < point + 40), m AS (SELECT clip, point, p, {_M} FROM s WINDOW w AS (PARTITION BY clip ORDER BY frame)) SELECT clip, point, " + ", ".join(r(f"10 * log10(greatest(coalesce(max(m{k}), max(p)), 1e-9))", f"peak_{k}") for k in (5, 10, 20)) + " FROM m GROUP BY clip, point")
 def moving_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return W.moving_peaks(frames(spark, sf)).select("clip", *(r6(f"peak_{k}").alias(f"peak_{k}") for k in (5, 10, 20)))
+    return W.moving_peaks(frames(spark, sf), points(spark, sf)).select("clip", "point", *(r6(f"peak_{k}").alias(f"peak_{k}") for k in (5, 10, 20)))
 
 
 @query(f"""WITH {FRAMES}, f AS (SELECT *, {_P} FROM frames), k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY p25_6 DESC, frame) AS rn FROM f WHERE frame < 21)
@@ -141,22 +152,27 @@ def run_length(spark: SparkSession, sf: str) -> DataFrame:
     return W.run_length(based, F.col("baseline") + 3).where(W.scored()).select("clip", "frame", r6("run_s").alias("run_s"))
 
 
-@query(f"""WITH {FRAMES}, b AS (SELECT clip, frame AS pf, level AS peak FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY level DESC, frame) AS rn FROM frames) WHERE rn = 1)
-  SELECT f.clip, pf AS peak_frame, {r('peak', 'peak')},
-    least(10, coalesce(min(CASE WHEN level < peak - 6 AND frame < pf THEN pf - frame END) - 1, max(greatest(pf - frame, 0))))::BIGINT AS left_run,
-    least(200, coalesce(min(CASE WHEN level < peak - 6 AND frame > pf THEN frame - pf END) - 1, max(greatest(frame - pf, 0))))::BIGINT AS right_run
-  FROM frames f JOIN b ON f.clip = b.clip GROUP BY f.clip, pf, peak""")
+@query(f"""WITH {POINTS}, s AS (SELECT f.clip, frame, level, point FROM frames f JOIN points ON f.clip = points.clip WHERE frame >= point - 300 AND frame < point + 200),
+  b AS (SELECT clip, point, coalesce(quantile_cont(level, 0.5) FILTER (frame < point - 5), -90.0::DOUBLE) AS baseline, max(frame) AS last FROM s GROUP BY clip, point),
+  k AS (SELECT s.clip, s.point, baseline, last, frame AS pf, level AS peak, row_number() OVER (PARTITION BY s.clip ORDER BY level DESC, frame) AS rn FROM s JOIN b ON s.clip = b.clip WHERE frame >= s.point AND frame < s.point + 30),
+  t AS (SELECT *, greatest(baseline + 6, peak - 10) AS least_level FROM k WHERE rn = 1)
+  SELECT t.clip, t.point, pf AS peak_frame, {r('peak', 'peak')}, {r('baseline', 'baseline')},
+    (pf - coalesce(max(CASE WHEN level < least_level AND frame < pf AND frame >= t.point - 10 THEN frame END) + 1, greatest(0, t.point - 10)))::BIGINT AS left_run,
+    (coalesce(min(CASE WHEN level < least_level AND frame > pf THEN frame END), last + 1) - pf - 1)::BIGINT AS right_run
+  FROM s JOIN t ON s.clip = t.clip GROUP BY t.clip, t.point, pf, peak, baseline, last""")
 def peak_run(spark: SparkSession, sf: str) -> DataFrame:
-    return W.peak_run(frames(spark, sf)).select("clip", "peak_frame", r6("peak").alias("peak"), F.col("left").cast("long").alias("left_run"), F.col("right").cast("long").alias("right_run"))
+    out = W.peak_run(frames(spark, sf), points(spark, sf))
+    return out.select("clip", "point", "peak_frame", r6("peak").alias("peak"), r6("baseline").alias("baseline"), F.col("left").cast("long").alias("left_run"), F.col("right").cast("long").alias("right_run"))
 
 
-@query(f"""WITH {FRAMES}, o AS (SELECT clip, frame, greatest(coalesce(level - lag(level) OVER (PARTITION BY clip ORDER BY frame), 0.0), 0.0) AS onset FROM frames),
-  d AS (SELECT clip, frame, onset - avg(onset) OVER (PARTITION BY clip) AS d FROM o),
-  e AS (SELECT clip, sum(d * d) AS energy, count(*) AS k FROM d GROUP BY clip),
-  l AS (SELECT a.clip, g.lag, sum(a.d * b.d) AS s FROM d a CROSS JOIN range(5, 21) g(lag) JOIN d b ON a.clip = b.clip AND b.frame = a.frame + g.lag GROUP BY 1, 2)
-  SELECT e.clip, round(CASE WHEN k >= 40 THEN max(s) / greatest(energy, 1e-12) END, 6) + 0.0::DOUBLE AS rhythm FROM e JOIN l ON e.clip = l.clip GROUP BY e.clip, k, energy""")
+@query(f"""WITH {FRAMES}, o AS (SELECT clip, frame, greatest(level - lag(level) OVER (PARTITION BY clip ORDER BY frame), 0.0) / (1.0::DOUBLE + exp(-greatest(-30.0, least(30.0, (level - 40.0 + 25.0) / 6.0)))) AS d FROM frames),
+  c AS (SELECT clip, count(*) AS k FROM o WHERE frame > 0 GROUP BY clip),
+  l AS (SELECT a.clip, g.lag, sum(a.d * b.d) AS ab, sqrt(sum(a.d * a.d)) * sqrt(sum(b.d * b.d)) AS norms FROM o a CROSS JOIN range(5, 21) g(lag) JOIN o b ON a.clip = b.clip AND b.frame = a.frame + g.lag JOIN c ON a.clip = c.clip WHERE a.frame > 0 AND g.lag < k // 2 GROUP BY 1, 2)
+  SELECT c.clip, round(CASE WHEN k >= 40 THEN greatest(0.0, coalesce(max(CASE WHEN norms > 1e-8 THEN ab / norms END), 0.0)) END, 6) + 0.0::DOUBLE AS rhythm FROM c LEFT JOIN l ON c.clip = l.clip GROUP BY c.clip, k""")
 def autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
-    return W.autocorrelation(frames(spark, sf)).select("clip", r6("rhythm").alias("rhythm"))
+    """Levels 40 dB lower, as clips' are; lags and rises of the fewer rows that clips have here."""
+    quiet = frames(spark, sf).withColumn("level", F.col("level") - 40.0)
+    return W.autocorrelation(quiet, 5, 20, 40).select("clip", r6("rhythm").alias("rhythm"))
 
 
 _NMS = """, g1 AS (SELECT clip, frame, score FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, frame) AS rn FROM {t}) WHERE rn = 1),
@@ -228,14 +244,14 @@ def source_weights(spark: SparkSession, sf: str) -> DataFrame:
     return A.source_weights(docs, {"real": 1.0, "synthetic": 0.2}).select("doc_id", "kind", "label", "source", r6("weight").alias("weight"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, doc_id % 5 <> 0 AS real, CASE WHEN doc_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS label, source AS donor FROM documents),
+@query(f"""WITH k AS (SELECT doc_id, doc_id % 5 <> 0 AS real, CASE WHEN doc_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS label, source AS donor, 1.0::DOUBLE + doc_id % 4 AS own FROM documents),
   c AS (SELECT label, donor, count(*) AS copies FROM k WHERE NOT real GROUP BY 1, 2), d AS (SELECT label, count(*) AS donors FROM c GROUP BY 1)
-  SELECT doc_id, real, k.label, k.donor, {r("CASE WHEN real THEN 0.8::DOUBLE ELSE (SELECT count(*) FROM k WHERE real) * (1.0::DOUBLE - 0.8::DOUBLE) / 2.0 / donors / copies END", 'weight')}
+  SELECT doc_id, real, k.label, k.donor, {r("CASE WHEN real THEN 0.8::DOUBLE * own ELSE (SELECT sum(own) FROM k WHERE real) * (1.0::DOUBLE - 0.8::DOUBLE) / 2.0 / donors / copies END", 'weight')}
   FROM k LEFT JOIN c ON k.label = c.label AND k.donor = c.donor LEFT JOIN d ON k.label = d.label""")
 def donor_weights(spark: SparkSession, sf: str) -> DataFrame:
     from emberline.sources.tables import table
 
-    docs = table(spark, sf, "documents", "doc_id", "source").select("doc_id", (F.col("doc_id") % 5 != 0).alias("real"), F.when(F.col("doc_id") % 3 == 0, "positive").otherwise("negative").alias("label"), F.col("source").alias("donor"))
+    docs = table(spark, sf, "documents", "doc_id", "source").select("doc_id", (F.col("doc_id") % 5 != 0).alias("real"), F.when(F.col("doc_id") % 3 == 0, "positive").otherwise("negative").alias("label"), F.col("source").alias("donor"), (1.0 + F.col("doc_id") % 4).alias("own"))
     return A.donor_weights(docs).select("doc_id", "real", "label", "donor", r6("weight").alias("weight"))
 
 
@@ -251,14 +267,18 @@ def conservative_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return A.conservative_threshold(pooled).select(F.round("threshold", 9).alias("threshold"))
 
 
-@query(f"""WITH {FRAMES}, prof AS (SELECT clip, frame, pow(10, level / 10) AS p FROM frames), pairs AS (SELECT a.clip, a.frame, abs(sqrt(a.p) - sqrt(b.p)) AS d FROM prof a JOIN prof b ON a.clip = b.clip
-  AND a.frame - b.frame BETWEEN 10 AND 160 AND (a.frame - b.frame) % 5 = 0) SELECT clip, frame, {r('min(d)', 'recurrence')} FROM pairs GROUP BY clip, frame""")
+_PROFILE = "list_transform([value, event_id % 97 + 1.0::DOUBLE, 500.0::DOUBLE - value], lambda x: x / (event_id % 97 + 501.0::DOUBLE))"
+
+
+@query(f"""WITH {FRAMES}, prof AS (SELECT clip, frame, {_PROFILE} AS p, lead({_PROFILE}) OVER (PARTITION BY clip ORDER BY frame) AS q FROM frames),
+  ev AS (SELECT clip, frame, CASE WHEN q IS NULL THEN p ELSE [(p[1] + q[1]) / 2, (p[2] + q[2]) / 2, (p[3] + q[3]) / 2] END AS e FROM prof),
+  pairs AS (SELECT a.clip, a.frame, sqrt((pow(sqrt(e[1]) - sqrt(p[1]), 2) + pow(sqrt(e[2]) - sqrt(p[2]), 2) + pow(sqrt(e[3]) - sqrt(p[3]), 2)) / 2) AS d FROM ev a JOIN prof b ON a.clip = b.clip
+    AND a.frame - b.frame BETWEEN 11 AND 160 AND (b.frame - greatest(0, a.frame - 160)) % 5 = 0) SELECT clip, frame, {r('min(d)', 'recurrence')} FROM pairs GROUP BY clip, frame""")
 def recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of each frame's power to the nearest of every fifth earlier one."""
-    w = W.span(-160, -10)
-    held = frames(spark, sf).withColumn("p", F.sqrt(db_power(F.col("level")))).withColumn("h", F.collect_list(F.struct("frame", "p")).over(w))
-    near = F.transform(F.filter("h", lambda x: (F.col("frame") - x["frame"]) % 5 == 0), lambda x: F.abs(F.col("p") - x["p"]))
-    return held.withColumn("recurrence", F.array_min(near)).where("recurrence is not null").select("clip", "frame", r6("recurrence").alias("recurrence"))
+    """Distance of each frame's profile to the nearest of every fifth earlier one."""
+    rest = F.col("event_id") % 97
+    profile = F.transform(F.array(F.col("value"), (rest + 1.0).cast("double"), 500.0 - F.col("value")), lambda x: x / (rest + 501.0))
+    return W.recurrence(frames(spark, sf).withColumn("profile", profile)).where("recurrence is not null").select("clip", "frame", r6("recurrence").alias("recurrence"))
 
 
 @query(f"""WITH {WINDOWS}, w AS (SELECT clip, frame, p AS score FROM windows)""" + _NMS.format(t="w") + f""", pooled AS (SELECT clip, sum(p * p) / greatest(sum(p), 1e-12) AS score FROM windows GROUP BY clip)

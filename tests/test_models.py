@@ -47,21 +47,9 @@ def test_audit_stress_and_ablation(spark):
 
 
 def test_recording_kernels():
-    fine = np.full(200, -50.0)
-    fine[100:111] = np.linspace(-50, -5, 11)
-    fine[111:129] = -5
-    ramp = signal.relative_attack_ms(fine, 100)
-    assert ramp == signal.relative_attack_ms(fine + 6, 100) > 0
-    found = signal.burst(fine, 100)
-    assert found["rise"] == 45 and found["within_6_right"] > 10 and signal.attack_ms(fine, 100) >= 0
-    assert signal.rhythm(fine[:40], 40) is None
-    beat = np.tile(np.concatenate([np.full(5, -10.0), np.full(45, -40.0)]), 20)
-    assert signal.rhythm(beat, 900) > 0.8
     r = np.random.default_rng(2)
     x = r.normal(size=16000) * 0.01
     x[8000:12800] += np.sin(2 * np.pi * 1500 * np.arange(4800) / 16000)
-    changes = signal.band_changes(x, 8000)
-    assert int(np.argmax(changes)) == 3 and changes[3] > 20 and signal.band_changes(x, 100) == [None] * 6
     whole = signal.landmarks(x)
     assert whole == signal.landmarks(x, chunk=17) and len(whole) > 50
     shifted = {t for t, _ in signal.landmarks(np.concatenate([np.zeros(1600), x]))}

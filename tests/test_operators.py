@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from emberline.functions import scalars as S
-from emberline.operators import folds, graph, labels, learn, matching, media, metrics, pooling, selection, signal, vectors
+from emberline.operators import features, folds, graph, labels, learn, matching, media, metrics, pooling, selection, signal, vectors
 
 
 def one(spark, *columns):
@@ -80,7 +80,7 @@ def test_source_and_donor_weights(spark):
     rows = [("real", "positive", "a"), ("real", "positive", "a"), ("real", "positive", "b"), ("real", "negative", "c"), ("synthetic", "positive", "a"), ("synthetic", "negative", "d")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, label string, source string")
     assert [round(r.weight, 9) for r in pooling.source_weights(df, {"real": 1.0, "synthetic": 0.2}).orderBy("i").collect()] == [0.125, 0.125, 0.25, 0.5, 0.1, 0.1]
-    donors = spark.createDataFrame([(True, "positive", "x")] * 10 + [(False, "positive", "a"), (False, "positive", "a"), (False, "positive", "b"), (False, "negative", "c")], "real boolean, label string, donor string")
+    donors = spark.createDataFrame([(True, "positive", "x", 0.5 + k % 2) for k in range(10)] + [(False, "positive", "a", 9.0), (False, "positive", "a", 9.0), (False, "positive", "b", 9.0), (False, "negative", "c", 9.0)], "real boolean, label string, donor string, own double")
     sums = {(r.real, r.label): r.s for r in pooling.donor_weights(donors).groupBy("real", "label").agg(F.sum("weight").alias("s")).collect()}
     assert abs(sums[True, "positive"] - 8) < 1e-9 and abs(sums[False, "positive"] - 1) < 1e-9 and abs(sums[False, "negative"] - 1) < 1e-9
     assert pooling.donor_weights(donors.where("real or label = 'positive'")).where("weight is not null").count() == 0
@@ -183,8 +183,8 @@ def test_signal_kernels():
     whole, blocks = signal.weighted(x, block=10**6), signal.weighted(x, block=700)
     assert np.abs(whole - blocks).max() < 1e-12
     t = np.arange(16000) / 16000
-    share, depth = signal.roughness((1 + np.sin(2 * np.pi * 70 * t)) * np.sin(2 * np.pi * 1000 * t))
-    assert share > 0.9 and depth > 0.5 and signal.roughness(np.zeros(100)) == (None, None) and signal.roughness(np.zeros(16000)) == (0.0, 0.0)
+    share, depth = features.modulation(((1 + np.sin(2 * np.pi * 70 * t)) * np.sin(2 * np.pi * 1000 * t))[:, None])
+    assert share > 0.9 and depth > 0.5 and np.isnan(features.modulation(np.zeros((100, 1)))).all() and features.modulation(np.zeros((16000, 1))) == (0.0, 0.0)
     y = np.concatenate([np.zeros(37), x[0]])
     assert signal.delay(x[0].astype(float), y, 40, 10) == 37
     trimmed, n = signal.canonical(np.concatenate([np.zeros((2, 50), np.float32), x], axis=1), 10)
