@@ -50,18 +50,30 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def bag_objective(x: np.ndarray, owners: np.ndarray, labels: np.ndarray, known: np.ndarray, targets: np.ndarray, penalty: float, power: float | None = None, window_share: float = 0.25):
-    """Class-balanced bag cross entropy of pooled window probabilities, plus a part
-    of known windows' own, plus a penalty that takes in the intercept.
-
-    ``power=None`` pools by linear softmax, a number by that power.  Returns
-    ``f(theta) -> (value, gradient)`` for weights and then the intercept.
+def bag_objective(
+    x: np.ndarray, owners: np.ndarray, labels: np.ndarray, known: np.ndarray, targets: np.ndarray, penalty: float | None = None, power: float | None = None, window_share: float = 0.25,
+    window_weights: np.ndarray | None = None, bag_weights: np.ndarray | None = None, pairs: np.ndarray | None = None, consistency: float = 0.0,
+    synthetic: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None,
+):
+    """Bag cross entropy of pooled window probabilities, plus a part of known windows'
+    own, plus a penalty that takes in the intercept.
+
+    ``power=None`` pools by linear softmax, a number by that power.  Bags are balanced
+    by class unless weighted, known windows too; ``penalty`` is 20 over the bags
+    unless given.  ``consistency`` times the weighted squares of the bags' distances
+    from their pair's mean are added, and cross entropy of the ``synthetic`` windows
+    ``(x, targets, weights, strength)`` whose weights are brought to that strength.
+    Returns ``f(theta) -> (value, gradient)`` for weights and then the intercept.
     """
     n_bags = len(labels)
-    balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    penalty = 20.0 / n_bags if penalty is None else penalty
+    even = lambda y: np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    balance = even(labels) if bag_weights is None else bag_weights
     at = np.flatnonzero(known)
     kept = targets[at]
-    share = np.where(kept == 1, 0.5 / max(1, (kept == 1).sum()), 0.5 / max(1, (kept == 0).sum())) if len(at) else np.zeros(0)
+    share = np.zeros(0) if not len(at) else even(kept) if window_weights is None else window_weights[at] / window_weights[at].sum()
+    if consistency:
+        in_pair = np.maximum(np.bincount(pairs, balance), 1e-20)
 
     def f(theta: np.ndarray) -> tuple[float, np.ndarray]:
         z = x @ theta[:-1] + theta[-1]
@@ -73,18 +85,30 @@ def bag_objective(x: np.ndarray, owners: np.ndarray, labels: np.ndarray, known:
         bag = np.clip(up / low, 1e-12, 1 - 1e-12)
         value = -(balance * (labels * np.log(bag) + (1 - labels) * np.log1p(-bag))).sum()
         d_bag = balance * ((1 - labels) / (1 - bag) - labels / bag)
+        if consistency:
+            off = bag - (np.bincount(pairs, balance * bag) / in_pair)[pairs]
+            value += consistency * (balance * off**2).sum()
+            d_bag = d_bag + 2 * consistency * balance * off
         d_p = (d_bag / low)[owners] * (k * p ** (k - 1) - bag[owners] * (k - 1) * p ** (k - 2))
         d_z = d_p * p * (1 - p)
         if len(at):
             value += window_share * (share * (np.logaddexp(0, z[at]) - kept * z[at])).sum()
             d_z[at] += window_share * share * (p[at] - kept)
         value += 0.5 * penalty * (theta @ theta)
-        return float(value), np.append(x.T @ d_z, d_z.sum()) + penalty * theta
+        slope = np.append(x.T @ d_z, d_z.sum()) + penalty * theta
+        if synthetic is not None:
+            own, wanted, weights, strength = synthetic
+            z = own @ theta[:-1] + theta[-1]
+            weights = strength * weights / weights.sum()
+            value += (weights * (np.logaddexp(0, z) - wanted * z)).sum()
+            d_z = weights * (1.0 / (1.0 + np.exp(-z)) - wanted)
+            slope += np.append(own.T @ d_z, d_z.sum())
+        return float(value), slope
 
     return f
 
 
-def fit_bags(pdf: pd.DataFrame, features: list[str], clip: str = "clip", label: str = "positive", target: str = "target", penalty: float = 0.01, power: float | None = None) -> np.ndarray:
+def fit_bags(pdf: pd.DataFrame, features: list[str], clip: str = "clip", label: str = "positive", target: str = "target", penalty: float | None = None, power: float | None = None) -> np.ndarray:
     """Weights and intercept for windows of labelled bags."""
     owners, names = pd.factorize(pdf[clip], sort=True)
     labels = pdf.groupby(owners)[label].first().to_numpy(float)
@@ -103,12 +127,13 @@ def fit_by_fold(df: DataFrame, fold: str, features: list[str], **how) -> DataFra
     return df.groupBy(fold).applyInPandas(run, f"{fold} {df.schema[fold].dataType.simpleString()}, name string, weight double")
 
 
-def instance_supervision(df: DataFrame, mass: float = 0.75, k: int = 3, known_negative: float = 0.1, clip: str = "clip", p: str = "p", target: str = "target", positive: str = "positive", order: str = "frame") -> DataFrame:
-    """Targets and weights of single windows from bags, each bag a unit.
+def instance_supervision(df: DataFrame, mass: float = 0.75, k: int = 3, known_negative: float = 0.1, clip: str = "clip", p: str = "p", target: str = "target", positive: str = "positive", order: str = "frame", bag_weight: str | None = None) -> DataFrame:
+    """Targets and weights of single windows from bags, each of its weight or one.
 
     A negative bag spreads ``1 - mass`` evenly and ``mass`` on its ``k`` highest
-    windows.  A positive bag's unit goes to its known positive windows and its
-    highest window not known negative; its known negatives share a part of it.
+    windows.  A positive bag's weight goes to its known positive windows and its
+    highest window not known negative; its known negatives share a part of it.  A
+    positive bag of known negatives only fails the job.
     """
     own = Window.partitionBy(clip)
     rank = F.row_number().over(own.orderBy(F.col(p).desc(), order))
@@ -122,7 +147,10 @@ def instance_supervision(df: DataFrame, mass: float = 0.75, k: int = 3, known_ne
         F.when(~F.col(positive), (1.0 - mass) / F.col("_n") + F.when(F.col("_rank") <= k, mass / F.least(F.col("_n"), F.lit(k))).otherwise(0.0))
         .when(F.col("y") == 1, 1.0 / ones).when(F.col("y") == 0, known_negative / zeros).otherwise(0.0)
     )
-    return out.withColumn("weight", weight).drop("_n", "_rank", "_best")
+    # only where a positive bag's best window is a known negative are all of them
+    empty = F.col(positive) & F.col("_best") & (F.col(target) == 0)
+    checked = F.when(empty, F.raise_error("a positive bag has known negative windows only").cast("double")).otherwise(weight * (F.lit(1.0) if bag_weight is None else F.col(bag_weight)))
+    return out.withColumn("weight", checked).drop("_n", "_rank", "_best")
 
 
 def reweight_hard(weight: Column, p: Column, positive: Column, by: Window) -> Column:

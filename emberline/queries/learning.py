@@ -148,10 +148,10 @@ def mil_linear_softmax_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {WINDOWS}, {CLIPS}, b AS (SELECT w.clip, frame, target, p, label = 'positive' AS positive FROM windows w JOIN clips c ON w.clip = c.clip WHERE label <> 'unlabeled'),
   k AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip ORDER BY p DESC, frame) AS rk, row_number() OVER (PARTITION BY clip ORDER BY CASE WHEN target = 0 THEN 1 ELSE 0 END, p DESC, frame) AS bk FROM b),
   y AS (SELECT *, CASE WHEN NOT positive THEN 0 WHEN target = 1 OR (bk = 1 AND target <> 0) THEN 1 WHEN target = 0 THEN 0 ELSE -1 END AS y FROM k)
-  SELECT clip, frame, y, round(CASE WHEN NOT positive THEN 0.25::DOUBLE / n + CASE WHEN rk <= 3 THEN 0.75::DOUBLE / least(n, 3) ELSE 0 END WHEN y = 1 THEN 1.0::DOUBLE / sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY clip)
-    WHEN y = 0 THEN 0.1::DOUBLE / sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY clip) ELSE 0 END, 6) + 0.0::DOUBLE AS weight FROM y""")
+  SELECT clip, frame, y, round((CASE WHEN NOT positive THEN 0.25::DOUBLE / n + CASE WHEN rk <= 3 THEN 0.75::DOUBLE / least(n, 3) ELSE 0 END WHEN y = 1 THEN 1.0::DOUBLE / sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY clip)
+    WHEN y = 0 THEN 0.1::DOUBLE / sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY clip) ELSE 0 END) * (1.0::DOUBLE + clip % 3), 6) + 0.0::DOUBLE AS weight FROM y""")
 def hard_negative_supervision(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.instance_supervision(bags(spark, sf)).select("clip", "frame", "y", r6("weight").alias("weight"))
+    return learn.instance_supervision(bags(spark, sf).withColumn("own", 1.0 + F.col("clip") % 3), bag_weight="own").select("clip", "frame", "y", r6("weight").alias("weight"))
 
 
 _GRID = [0.5 + 0.05 * i for i in range(10)]

@@ -145,6 +145,36 @@ def test_gradients():
         assert f(learn.minimise(f, np.zeros(6)))[0] < f(np.zeros(6))[0]
 
 
+def test_gradients_of_the_further_terms():
+    r = np.random.default_rng(6)
+    x, owners = r.normal(size=(14, 4)), np.repeat([0, 1, 2, 3, 4], [3, 3, 3, 3, 2])
+    labels_, known, targets = np.array([1.0, 1, 0, 0, 1]), r.random(14) < 0.6, (r.random(14) < 0.5).astype(float)
+    weights, pairs = r.random(5) + 0.1, np.array([0, 0, 1, 1, 2])
+    plain = learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, window_weights=r.random(14), bag_weights=weights)
+    made = (r.normal(size=(6, 4)), (r.random(6) < 0.5).astype(float), r.random(6), 0.2)
+    theta = r.normal(size=5) * 0.4
+    for how in ({"pairs": pairs, "consistency": 0.7}, {"synthetic": made}, {"pairs": pairs, "consistency": 0.7, "synthetic": made}):
+        f = learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, bag_weights=weights, **how)
+        value, slope = f(theta)
+        for i in range(5):
+            e = np.eye(5)[i] * 1e-6
+            assert abs((f(theta + e)[0] - f(theta - e)[0]) / 2e-6 - slope[i]) < 1e-5
+    # by hand: the pooled bags, their pairs' means, and the penalty's default
+    p = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
+    bag = np.array([(p[owners == k] ** 4).sum() / (p[owners == k] ** 3).sum() for k in range(5)])
+    off = [bag[k] - sum(weights[j] * bag[j] for j in range(5) if pairs[j] == pairs[k]) / sum(weights[j] for j in range(5) if pairs[j] == pairs[k]) for k in range(5)]
+    with_, without = (learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, bag_weights=weights, pairs=pairs, consistency=c)(theta)[0] for c in (0.7, 0.0))
+    assert with_ - without == pytest.approx(0.7 * sum(w * d * d for w, d in zip(weights, off, strict=True)))
+    stiff = learn.bag_objective(x, owners, labels_, known, targets, 1 / (0.05 * 5), 4.0, bag_weights=weights)(theta)[0]
+    assert without == pytest.approx(stiff) and np.isfinite(plain(theta)[0])
+
+
+def test_a_positive_bag_needs_a_candidate(spark):
+    df = spark.createDataFrame([(0, 0, 0.9, 0, True), (0, 1, 0.1, 0, True)], "clip int, frame int, p double, target int, positive boolean")
+    with pytest.raises(PySparkException, match="known negative"):
+        learn.instance_supervision(df).collect()
+
+
 def test_supervision_of_a_positive_bag(spark):
     df = spark.createDataFrame([(0, i, p, t, True) for i, (p, t) in enumerate(zip((0.99, 0.7, 0.2, 0.1), (0, -1, 1, -1), strict=True))], "clip int, frame int, p double, target int, positive boolean")
     got = learn.instance_supervision(df, known_negative=0.1).orderBy("frame").collect()
