@@ -13,6 +13,7 @@ from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
 from .neardup import near_duplicates
+from .neardup_sql import NEAR_SQL
 from .packing import pack_sequences
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -96,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Whole-table SQL, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": MIXING_SQL,
+    "op5_minhash": NEAR_SQL,
 }
