@@ -12,6 +12,10 @@ SLACK = 1e-9
 NEAR_S = 0.25
 
 
+#: Prefix rules that go along with every row; more are joined.
+FEW_RULES = 10_000
+
+
 def label_policy(ambiguous: Column, positive: Column, visual_only: Column, negative: Column, prefix_listed: Column, provisional_excluded: Column, extra_provisional: Column, batch_excluded: Column) -> Column:
     """The review label by strict priority.  The last four are null where no such
     rule covers the path; unknown is never negative."""
@@ -28,15 +32,23 @@ def label_policy(ambiguous: Column, positive: Column, visual_only: Column, negat
 def prefix_rules(df: DataFrame, rules: DataFrame, path: str = "path", key: str = "path") -> DataFrame:
     """The first rule in order whose prefix begins the path, or null.
 
-    ``rules(rule_order, prefix, ...)`` is a small table kept by hand; it is
-    turned into an array on one row, so nothing is compared pair by pair in a
-    join.  Raises above 10,000 rules.
+    ``rules(rule_order, prefix, ...)`` is mostly a small table kept by hand; up to
+    :data:`FEW_RULES` are turned into an array on one row, so nothing is compared
+    pair by pair in a join.  More are joined by equality to the paths' beginnings
+    of the lengths that prefixes have.
     """
-    names = [c for c in rules.columns]
-    found = rules.select(F.struct("rule_order", *(c for c in names if c != "rule_order")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("_rules"))
-    found = found.where(F.assert_true(F.size("_rules") <= 10_000, F.lit("too many prefix rules")).isNull())
-    fit = F.get(F.filter("_rules", lambda r: F.startswith(F.col(path), r["prefix"])), F.lit(0))
-    return df.crossJoin(F.broadcast(found)).withColumn("rule", fit).drop("_rules")
+    rest = [c for c in rules.columns if c != "rule_order"]
+    rule = F.struct("rule_order", *rest)
+    if rules.limit(FEW_RULES + 1).count() <= FEW_RULES:
+        found = rules.select(rule.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("_rules"))
+        fit = F.get(F.filter("_rules", lambda r: F.startswith(F.col(path), r["prefix"])), F.lit(0))
+        return df.crossJoin(F.broadcast(found)).withColumn("rule", fit).drop("_rules")
+    # as many lengths as the longest prefix has characters, at most
+    lengths = sorted(r.n for r in rules.select(F.length("prefix").alias("n")).distinct().collect())
+    each = df.select(F.col(path).alias("_path")).distinct().withColumn("_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.length("_path") >= F.col("_n"))
+    hit = each.select("_path", F.expr("substring(_path, 1, _n)").alias("_begin")).join(rules.select(F.col("prefix").alias("_begin"), rule.alias("r")), "_begin")
+    first = hit.groupBy("_path").agg(F.min("r").alias("rule"))
+    return df.join(first, F.col(path) == F.col("_path"), "left").drop("_path")
 
 
 def valid_intervals(intervals: Column, duration: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalars import ALERT, MAYBE, hash_number, tier_rank
 
+from .graph import checkpointed
+
 
 def _count(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0))
@@ -29,10 +31,17 @@ def detection_metrics(df: DataFrame, groups: list[str] | None = None, label: str
 
 def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """Positives and negatives at each distinct score, with running sums from the
-    top.  Scores are added up first, so the running sums go over distinct values."""
+    top.  Scores are added up first, so the running sums go over distinct values,
+    each range of them in a task of its own."""
     counts = df.groupBy(F.col(score).alias("s")).agg(_count(F.col(label)).alias("tp"), _count(~F.col(label)).alias("fp"))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("cum_tp", F.sum("tp").over(w)).withColumn("cum_fp", F.sum("fp").over(w))
+    # score ranges are summed by themselves; what lies above each comes from one row a range
+    ranged = checkpointed(counts.repartitionByRange(F.col("s").desc()).withColumn("_range", F.spark_partition_id()))
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
+    before = sums.select("_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_tp", "_fp")))
+    w = Window.partitionBy("_range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.join(F.broadcast(before), "_range")
+    return held.select("s", "tp", "fp", (F.sum("tp").over(w) + F.col("_tp_above")).alias("cum_tp"), (F.sum("fp").over(w) + F.col("_fp_above")).alias("cum_fp"))
 
 
 def average_precision(df: DataFrame, label: str = "positive", score: str = "score") -> DataFrame:

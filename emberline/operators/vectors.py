@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,22 +118,28 @@ def project(vector: Column, mean: Sequence[float], components: Sequence[Sequence
 def fit_components(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float]]:
     """Mean, leading components (largest entry positive) and their variances.
 
-    The second moments are summed in Spark, so only a square of the vector's
-    length reaches the driver.
+    Each task adds up its vectors' products as one matrix; the matrices are added
+    in Spark, so only a square of the vector's length reaches the driver.
     """
-    import numpy as np
-
     d = df.select(F.size(vector).alias("d")).first().d
-    moments = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("_v")).select("i", F.posexplode("_v").alias("j", "y"), "x").where("j >= i").groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("s"))
-    n = df.count()
-    square = np.zeros((d, d))
-    for r in moments.collect():
-        square[r.i, r.j] = square[r.j, r.i] = r.s / n
-    means = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
-    mean = np.zeros(d)
-    for r in means:
-        mean[r.i] = r.m
-    values, vectors = np.linalg.eigh(square - np.outer(mean, mean))
+    # a row of ones beside the vectors gives their sums and number as well
+    size = d + 1
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((size, size))
+        for batch in batches:
+            x = np.ones((batch.num_rows, size))
+            x[:, :d] = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, d)
+            whole += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(whole.ravel())], ["i", "s"])
+
+    vectors_ = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    sums = np.zeros(size * size)
+    for r in vectors_.mapInArrow(products, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        sums[r.i] = r.s
+    sums = sums.reshape(size, size)
+    mean = sums[d, :d] / sums[d, d]
+    values, vectors = np.linalg.eigh(sums[:d, :d] / sums[d, d] - np.outer(mean, mean))
     lead = vectors[:, ::-1][:, :k].T
     lead *= np.sign(lead[np.arange(k), np.abs(lead).argmax(axis=1)])[:, None]
     return mean.tolist(), lead.tolist(), values[::-1][:k].tolist()

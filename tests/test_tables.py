@@ -39,3 +39,14 @@ def test_names(spark):
 def test_points_of_a_recording(spark):
     got = spark.range(1).select(T.proposal_points([F.lit(40 / 79), F.lit(None).cast("double"), F.lit(None).cast("double")], F.lit(0.0), F.lit(64_000)).alias("p")).first().p
     assert [tuple(x) for x in got] == [(0, 40), (3, 0)]
+
+
+def test_many_prefix_rules_are_joined(spark, monkeypatch):
+    from emberline.operators import labels
+
+    rules = spark.createDataFrame([(3, "/a"), (1, "/a/b"), (2, "/a/b"), (9, ""), (4, "/é")], "rule_order int, prefix string")
+    df = spark.createDataFrame([("/a/x",), ("/a/b/c",), ("/é1",), ("/a",), ("q",), (None,), ("/a/x",)], "path string")
+    want = sorted((str(r.path), r.rule and r.rule.rule_order) for r in labels.prefix_rules(df, rules).collect())
+    monkeypatch.setattr(labels, "FEW_RULES", 2)
+    assert sorted((str(r.path), r.rule and r.rule.rule_order) for r in labels.prefix_rules(df, rules).collect()) == want
+    assert dict(want) == {"/a/x": 3, "/a/b/c": 1, "/é1": 4, "/a": 3, "q": 9, "None": None}
