@@ -123,3 +123,38 @@ def test_given_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(df) == brute(rows, 400)
+
+
+def test_passages_about_the_length(spark):
+    """Passages of 399, 400 and 401 bytes in two documents each: the first stays."""
+    r = random.Random(9)
+    letters = lambda n, alphabet: "".join(r.choice(alphabet) for _ in range(n))
+    rows, want = [], {}
+    for k, n in enumerate((399, 400, 401)):
+        passage = letters(n, "abcdefgh ")
+        for j in range(2):
+            # what surrounds the passage differs from its other place
+            rows.append((2 * k + j, letters(300, "ABCD") + "xy"[j] + passage + "zw"[j] + letters(300, "EFGH")))
+            want[2 * k + j] = n if n >= 400 else 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in S.remove_repeats(df).collect()} == want
+    assert got(df) == brute(rows, 400)
+
+
+def test_a_core_with_more_segments_than_a_part(spark):
+    """3,000 documents share 350 bytes; some of them share 400 and more."""
+    r = random.Random(10)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    common = letters(350)
+    rows = [(i, letters(60) + common + letters(60)) for i in range(3000)]
+    rows += [(3000 + i, letters(30) + rows[70 * i][1][20 + i : 440] + letters(20)) for i in range(40)]
+    assert len(rows) > S.PART
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows, 400)
+
+
+def test_passages_spaced_otherwise(spark):
+    """Fifty words count however they are spaced, forty-nine do not, copies count whole."""
+    words = [f"w{i}" for i in range(50)]
+    rows = [(0, "a " + " ".join(words) + " b"), (1, "c\n" + "\t ".join(words)), (2, " ".join(words[:49]) + " d " * 60), (3, "e " * 55), (4, "e " * 55), (5, "f " * 200)]
+    found = {x.doc_id: (x.n_passages, x.n_passage_words, [(p.low, p.high) for p in x.passages]) for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: (1, 50, [(1, 51)]), 1: (1, 50, [(1, 51)]), 2: (0, 0, []), 3: (1, 55, [(0, 55)]), 4: (1, 55, [(0, 55)]), 5: (0, 0, [])}
