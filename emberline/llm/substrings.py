@@ -354,6 +354,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     touched = among(long, spans, "content").join(spans, "content").select("content", "text", "spans")
     stripped = cut(touched.mapInArrow(strip, "content long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low:long,high:long>>"))
+    # the tables of bytes go before those of words come
+    folder.remove()
+    folder = Folder(df.sparkSession)
     # shorter texts have fewer words than a passage
     told = cut(passages(texts.where(F.col("n_bytes") >= 2 * words - 1).select("content", "text"), several, folder, words, word_gram))
     folder.remove()
