@@ -56,11 +56,11 @@ def one_media(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2)
-  SELECT lang, count(*) AS sources, arg_min(doc_id, source) AS first, max(CASE WHEN source = 'src7' THEN doc_id END) AS seven FROM u GROUP BY lang""")
+  SELECT lang, count(*) AS sources, arg_min(doc_id, source) AS first, coalesce(max(CASE WHEN source = 'src7' THEN doc_id END), -1) AS seven FROM u GROUP BY lang""")
 def view_map(spark: SparkSession, sf: str) -> DataFrame:
     one = table(spark, sf, "documents", "doc_id", "lang", "source").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
     out = T.view_map(one, "lang", "source", "doc_id")
-    return out.select("lang", F.size("records").cast("long").alias("sources"), F.map_values("records")[0].alias("first"), F.try_element_at("records", F.lit("src7")).alias("seven"))
+    return out.select("lang", F.size("records").cast("long").alias("sources"), F.map_values("records")[0].alias("first"), F.coalesce(F.try_element_at("records", F.lit("src7")), F.lit(-1)).alias("seven"))
 
 
 @query(f"""WITH m AS (SELECT *, sum(l_tax * l_discount) OVER (PARTITION BY l_partkey) / greatest(sum(l_tax) OVER (PARTITION BY l_partkey), 1e-20) AS mean FROM lineitem)
