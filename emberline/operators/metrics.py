@@ -76,7 +76,7 @@ def worst_view(df: DataFrame, clip: str = "clip", label: str = "label", score: s
     return df.groupBy(clip, label).agg(F.min(score).alias("_low"), F.max(score).alias("_high")).select(clip, label, F.when(F.col(label) == "positive", F.col("_low")).otherwise(F.col("_high")).alias("score"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 500, seed: int = 1, label: str = "label", before: str = "before", after: str = "after") -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 10_000, seed: int = 1, label: str = "label", before: str = "before", after: str = "after") -> DataFrame:
     """Percentile interval of the changes in recall and false alerts per 1000 when
     whole clusters are drawn with replacement.
 

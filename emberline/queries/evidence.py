@@ -116,12 +116,12 @@ def three_views(spark: SparkSession, sf: str) -> DataFrame:
     sum(CASE WHEN label = 'positive' AND before >= 0.8 THEN 1 ELSE 0 END) AS pb, sum(CASE WHEN label = 'positive' AND after >= 0.8 THEN 1 ELSE 0 END) AS pa,
     sum(CASE WHEN label = 'negative' AND before >= 0.8 THEN 1 ELSE 0 END) AS nb, sum(CASE WHEN label = 'negative' AND after >= 0.8 THEN 1 ELSE 0 END) AS na FROM scored GROUP BY thread),
   m AS (SELECT *, row_number() OVER (ORDER BY thread) - 1 AS number, count(*) OVER () AS many FROM k),
-  picks AS (SELECT d.draw, ('0x' || substr(md5('1:' || d.draw || ':' || q.place), 1, 8))::BIGINT % (SELECT max(many) FROM m) AS number FROM range(200) d(draw), range((SELECT count(*) FROM k)) q(place)),
+  picks AS (SELECT d.draw, ('0x' || substr(md5('1:' || d.draw || ':' || q.place), 1, 8))::BIGINT % (SELECT max(many) FROM m) AS number FROM range(10000) d(draw), range((SELECT count(*) FROM k)) q(place)),
   s AS (SELECT draw, sum(p) AS p, sum(n) AS n, sum(pb) AS pb, sum(pa) AS pa, sum(nb) AS nb, sum(na) AS na FROM picks JOIN m ON picks.number = m.number GROUP BY draw HAVING sum(p) > 0 AND sum(n) > 0),
   e AS (SELECT (pa - pb)::DOUBLE / p AS recall, 1000.0::DOUBLE * (na - nb) / n AS f FROM s)
   SELECT count(*) AS draws, {r('quantile_cont(recall, 0.025)', 'recall_low')}, {r('quantile_cont(recall, 0.975)', 'recall_high')}, {r('quantile_cont(f, 0.025)', 'false_low')}, {r('quantile_cont(f, 0.975)', 'false_high')} FROM e""")
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    out = Q.cluster_bootstrap(scored(spark, sf), "thread", draws=200)
+    out = Q.cluster_bootstrap(scored(spark, sf), "thread", draws=10_000)
     return out.select("draws", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
