@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_digests, bpe_round_trip
 from .common import cut, read_table
 from .fingerprints import edit_fingerprints, linked_prints
 from .html import extract_main_text
@@ -16,10 +17,12 @@ from .neardup import near_duplicates
 from .neardup_sql import NEAR_SQL
 from .packing import pack_sequences
 from .quality import quality_rules
+from .rolling import ROLLING_SQL, rolling_users
 from .secrets import secret_scan
 from .substrings import remove_repeats
 from .tokens import token_counts
 from .urls import filter_urls, known_labels
+from .variants import spelling_variants
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +84,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep=["doc_id"])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with their near words and forms."""
+    return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: Names and minutes of the trailing windows; users with 5 clicks or more of the longest.
+WINDOWS, HOT = {"users_short": 10, "users_middle": 60, "users_long": 720}, ("hot_users", 5, 720)
+
+
+def op12_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of trailing windows at every minute with a click, by kind."""
+    return rolling_users(read_table(spark, sf_dir, "clicks", "click_id", "ts", "client_id", "kind"), WINDOWS, HOT)
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the texts that they decode to."""
+    return bpe_digests(bpe_round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"]), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -92,10 +114,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_arrays": op9_suffix_arrays,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_rolling_users": op12_rolling_users,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 #: Whole-table SQL, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": MIXING_SQL,
     "op5_minhash": NEAR_SQL,
+    "op12_rolling_users": ROLLING_SQL,
 }
