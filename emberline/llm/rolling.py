@@ -23,7 +23,7 @@ from .common import pieces
 from .persistent import PersistentForest
 
 #: Minutes of a block, rows that a shard of a block should hold, and shards of each at least.
-BLOCK, SHARD_ROWS, LEAST_SHARDS = 5760, 20_000, 4
+BLOCK, SHARD_ROWS, LEAST_SHARDS = 5760, 20_000, 16
 #: Rows whose trees are built together.
 TOGETHER = 100_000
 
