@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_buffer, unused
 from .tokens import _BYTE_LEVEL, per_worker
 
-#: Chunks remembered per Python worker before it starts anew, and the longest of them.
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 200
+#: Chunks, and pre-tokens, remembered per Python worker before it starts anew, and the longest of them.
+MOST_CHUNKS, LONGEST_CHUNK = 450_000, 200
 BYTE_CHARACTERS = str.maketrans({chr(b): c for b, c in _BYTE_LEVEL.items()})
 #: No pair: above every rank and place.
 NO_PAIR = 1 << 62
@@ -184,6 +184,7 @@ class Codec:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
 
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a text without special strings, in the characters of the vocabulary."""
@@ -224,14 +225,26 @@ class Codec:
         return out
 
     def add(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (as 32-bit bytes) and decoded text of each chunk."""
+        """Ids (as 32-bit bytes) and decoded text of each chunk; pre-tokens that were met before are not merged again."""
         pieces = {c: self.pieces(c) for c in chunks}
-        distinct = list({p for ps in pieces.values() for p in ps})
-        known = dict(zip(distinct, self.merge(distinct), strict=True)) if distinct else {}
+        distinct = {p for ps in pieces.values() for p in ps}
+        if len(self.known) + len(distinct) > MOST_CHUNKS:
+            self.known.clear()
+        known, fresh = self.known, list(distinct.difference(self.known))
+        if fresh:
+            names = self.names
+            long = {}
+            for piece, ids in zip(fresh, self.merge(fresh), strict=True):
+                (known if len(piece) <= LONGEST_CHUNK else long)[piece] = array("i", ids).tobytes(), " ".join([names[i] for i in ids])
+            if long:
+                known = known | long
         out = {}
         for chunk, ps in pieces.items():
-            ids = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
-            out[chunk] = array("i", ids).tobytes(), self.decode(ids)
+            if len(ps) == 1:
+                out[chunk] = known[ps[0]]
+            else:
+                got = [known[p] for p in ps]
+                out[chunk] = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
