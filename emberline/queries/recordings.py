@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators import extract
 from emberline.operators import features as E
 from emberline.operators import vectors
 from emberline.sources.tables import frames, table
@@ -105,3 +106,40 @@ def context_features(spark: SparkSession, sf: str) -> DataFrame:
     three = df.join(beside(-1, "before"), "vec_id").join(beside(1, "after"), "vec_id").withColumn("position_s", F.col("vec_id") * 0.05)
     out = vectors.context_features(three, HEAD, [0.0] * 8, GROUPS)
     return rounded(out, tuple(c for c in out.columns if c.startswith("ctx_")), "vec_id")
+
+
+def sounds(spark: SparkSession, sf: str) -> DataFrame:
+    """``recording, part, samples``: the bytes of 500 documents' texts of one source, in order, stand in for a recording of 8 bits a sample."""
+    name = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 500).cast("string"))
+    return table(spark, sf, "documents", "doc_id", "text", "source").select(name.alias("recording"), F.col("doc_id").alias("part"), F.encode("text", "UTF-8").alias("samples"))
+
+
+def six(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else f.name for f in df.schema.fields))
+
+
+@query()
+def robust_features(spark: SparkSession, sf: str) -> DataFrame:
+    return six(extract.robust_features(sounds(spark, sf), "recording", "part"))
+
+
+@query()
+def short_features(spark: SparkSession, sf: str) -> DataFrame:
+    return six(extract.short_features(sounds(spark, sf), "recording", "part"))
+
+
+@query()
+def clip_features(spark: SparkSession, sf: str) -> DataFrame:
+    return six(extract.clip_features(sounds(spark, sf), "recording", "part"))
+
+
+#: A made model: mean, scale and weight of some features; its intercept and the power of its pooling.
+MODEL, INTERCEPT, POWER = {"jump_db": (1.0, 3.0, 1.5), "burst_peak_jump_db": (4.0, 4.0, 0.8), "duration_s": (0.5, 1.0, 0.5), "rhythm_onset_periodicity": (0.4, 0.2, -0.7)}, -0.5, 4.0
+
+
+@query()
+def robust_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings scored by their proposed points: silence rule, pooled score, tier, the five likeliest windows."""
+    out = extract.detector(extract.robust_features(sounds(spark, sf), "recording", "part"), MODEL, INTERCEPT, POWER, "recording")
+    events = F.transform("events", lambda e: F.struct(F.round(e["start_s"], 6).alias("start_s"), F.round(e["end_s"], 6).alias("end_s"), F.round(e["score"], 6).alias("score")))
+    return out.select("recording", F.round("score", 6).alias("score"), "risk_tier", "silent", "analyzed_events", F.to_json(events).alias("events"))
