@@ -50,71 +50,115 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def bag_objective(
-    x: np.ndarray, owners: np.ndarray, labels: np.ndarray, known: np.ndarray, targets: np.ndarray, penalty: float | None = None, power: float | None = None, window_share: float = 0.25,
-    window_weights: np.ndarray | None = None, bag_weights: np.ndarray | None = None, pairs: np.ndarray | None = None, consistency: float = 0.0,
-    synthetic: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None,
-):
-    """Bag cross entropy of pooled window probabilities, plus a part of known windows'
-    own, plus a penalty that takes in the intercept.
-
-    ``power=None`` pools by linear softmax, a number by that power.  Bags are balanced
-    by class unless weighted, known windows too; ``penalty`` is 20 over the bags
-    unless given.  ``consistency`` times the weighted squares of the bags' distances
-    from their pair's mean are added, and cross entropy of the ``synthetic`` windows
-    ``(x, targets, weights, strength)`` whose weights are brought to that strength.
-    Returns ``f(theta) -> (value, gradient)`` for weights and then the intercept.
+Loss = Callable[[np.ndarray], tuple[float, np.ndarray]]
+
+
+def halves(positive: np.ndarray) -> np.ndarray:
+    """Weights that give each of two classes half of the mass, evenly within it."""
+    members = np.bincount(positive.astype(int), minlength=2)
+    return 0.5 / np.maximum(1, members)[positive.astype(int)]
+
+
+def bag_entropy(positive: np.ndarray, weight: np.ndarray) -> Loss:
+    """Weighted cross entropy of bags' probabilities."""
+
+    def loss(q: np.ndarray) -> tuple[float, np.ndarray]:
+        q = np.clip(q, 1e-12, 1 - 1e-12)
+        right = np.where(positive > 0, q, 1 - q)
+        return -float(weight @ np.log(right)), np.where(positive > 0, -weight, weight) / right
+
+    return loss
+
+
+def pair_spread(pair: np.ndarray, weight: np.ndarray, strength: float) -> Loss:
+    """Weighted squares of the bags' distances from the weighted mean of their pair."""
+    mass = np.maximum(np.bincount(pair, weight), 1e-20)
+
+    def loss(q: np.ndarray) -> tuple[float, np.ndarray]:
+        off = q - (np.bincount(pair, weight * q) / mass)[pair]
+        return strength * float(weight @ (off * off)), 2 * strength * weight * off
+
+    return loss
+
+
+def window_entropy(wanted: np.ndarray, weight: np.ndarray) -> Loss:
+    """Weighted cross entropy of windows, from their logits; weightless ones may want anything."""
+
+    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
+        return float(weight @ (np.logaddexp(0, z) - wanted * z)), weight * (0.5 * (1 + np.tanh(z / 2)) - wanted)
+
+    return loss
+
+
+def pooled(bag: np.ndarray, bags: int, power: float, *losses: Loss) -> Loss:
+    """Losses of bags as a loss of windows' logits: a bag's probability is the sum of its
+    windows' probabilities to ``power`` over that to ``power - 1``."""
+
+    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
+        p = np.maximum(0.5 * (1 + np.tanh(z / 2)), 1e-15)
+        lower = p ** (power - 1)
+        below = np.maximum(np.bincount(bag, lower, bags), 1e-300)
+        q = np.bincount(bag, p * lower, bags) / below
+        parts = [each(q) for each in losses]
+        pull = (sum(slope for _, slope in parts) / below)[bag]
+        # of p**power and p**(power - 1), each times p (1 - p)
+        return sum(value for value, _ in parts), pull * lower * (1 - p) * (power * p - (power - 1) * q[bag])
+
+    return loss
+
+
+def linear(x: np.ndarray, *losses: Loss) -> Loss:
+    """Losses of logits as a loss of the weights and, last, the intercept that give them."""
+    wide = np.column_stack([x, np.ones(len(x))])
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = [each(wide @ theta) for each in losses]
+        return sum(value for value, _ in parts), wide.T @ sum(slope for _, slope in parts)
+
+    return loss
+
+
+def together(*losses: Loss) -> Loss:
+    return lambda theta: tuple(map(sum, zip(*(each(theta) for each in losses), strict=True)))
+
+
+def ridge(strength: float) -> Loss:
+    """A penalty on all weights, the intercept too."""
+    return lambda theta: (0.5 * strength * float(theta @ theta), strength * theta)
+
+
+def bag_loss(
+    x: np.ndarray, bag: np.ndarray, positive: np.ndarray, wanted: np.ndarray, stiffness: float | None = None, power: float = 2.0, share: float = 0.25, mass: np.ndarray | None = None, trust: np.ndarray | None = None,
+    pair: np.ndarray | None = None, agree: float = 0.0, extra: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None,
+) -> Loss:
+    """The loss of a linear model over windows in bags.
+
+    Cross entropy of the pooled bags, and ``share`` of that of windows whose state is
+    ``wanted`` (-1: unknown), each class of either with half the mass unless bags have
+    ``mass`` and windows ``trust``; a penalty, 20 over the bags unless ``stiffness``
+    says; ``agree`` times the spread within each ``pair`` of bags; and windows of
+    their own ``extra``: ``(x, wanted, weights, strength)``, weights brought to that strength.
+    A power of 2 pools by linear softmax.
     """
-    n_bags = len(labels)
-    penalty = 20.0 / n_bags if penalty is None else penalty
-    even = lambda y: np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    balance = even(labels) if bag_weights is None else bag_weights
-    at = np.flatnonzero(known)
-    kept = targets[at]
-    share = np.zeros(0) if not len(at) else even(kept) if window_weights is None else window_weights[at] / window_weights[at].sum()
-    if consistency:
-        in_pair = np.maximum(np.bincount(pairs, balance), 1e-20)
-
-    def f(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x @ theta[:-1] + theta[-1]
-        p = 1.0 / (1.0 + np.exp(-z))
-        k = 2.0 if power is None else power
-        p = np.maximum(p, 1e-15)
-        up = np.bincount(owners, p**k, n_bags)
-        low = np.maximum(np.bincount(owners, p ** (k - 1), n_bags), 1e-300)
-        bag = np.clip(up / low, 1e-12, 1 - 1e-12)
-        value = -(balance * (labels * np.log(bag) + (1 - labels) * np.log1p(-bag))).sum()
-        d_bag = balance * ((1 - labels) / (1 - bag) - labels / bag)
-        if consistency:
-            off = bag - (np.bincount(pairs, balance * bag) / in_pair)[pairs]
-            value += consistency * (balance * off**2).sum()
-            d_bag = d_bag + 2 * consistency * balance * off
-        d_p = (d_bag / low)[owners] * (k * p ** (k - 1) - bag[owners] * (k - 1) * p ** (k - 2))
-        d_z = d_p * p * (1 - p)
-        if len(at):
-            value += window_share * (share * (np.logaddexp(0, z[at]) - kept * z[at])).sum()
-            d_z[at] += window_share * share * (p[at] - kept)
-        value += 0.5 * penalty * (theta @ theta)
-        slope = np.append(x.T @ d_z, d_z.sum()) + penalty * theta
-        if synthetic is not None:
-            own, wanted, weights, strength = synthetic
-            z = own @ theta[:-1] + theta[-1]
-            weights = strength * weights / weights.sum()
-            value += (weights * (np.logaddexp(0, z) - wanted * z)).sum()
-            d_z = weights * (1.0 / (1.0 + np.exp(-z)) - wanted)
-            slope += np.append(own.T @ d_z, d_z.sum())
-        return float(value), slope
-
-    return f
-
-
-def fit_bags(pdf: pd.DataFrame, features: list[str], clip: str = "clip", label: str = "positive", target: str = "target", penalty: float | None = None, power: float | None = None) -> np.ndarray:
+    mass = halves(positive > 0) if mass is None else mass
+    known = wanted >= 0
+    held = np.zeros(len(wanted))
+    if known.any():
+        held[known] = halves(wanted[known] > 0) if trust is None else trust[known] / trust[known].sum()
+    of_bags = [bag_entropy(positive, mass)] + ([pair_spread(pair, mass, agree)] if agree else [])
+    terms = [linear(x, pooled(bag, len(positive), power, *of_bags), window_entropy(np.maximum(wanted, 0), share * held)), ridge(20.0 / len(positive) if stiffness is None else stiffness)]
+    if extra is not None:
+        own, state, weight, strength = extra
+        terms.append(linear(own, window_entropy(state, strength * weight / weight.sum())))
+    return together(*terms)
+
+
+def fit_bags(pdf: pd.DataFrame, features: list[str], clip: str = "clip", label: str = "positive", target: str = "target", penalty: float | None = None, power: float = 2.0) -> np.ndarray:
     """Weights and intercept for windows of labelled bags."""
-    owners, names = pd.factorize(pdf[clip], sort=True)
-    labels = pdf.groupby(owners)[label].first().to_numpy(float)
-    targets = pdf[target].to_numpy()
-    f = bag_objective(pdf[features].to_numpy(float), owners, labels, targets >= 0, targets.astype(float), penalty, power)
-    return minimise(f, np.zeros(len(features) + 1))
+    bag, names = pd.factorize(pdf[clip], sort=True)
+    positive = pdf.groupby(bag)[label].first().to_numpy(float)
+    loss = bag_loss(pdf[features].to_numpy(float), bag, positive, pdf[target].to_numpy(float), penalty, power)
+    return minimise(loss, np.zeros(len(features) + 1))
 
 
 def fit_by_fold(df: DataFrame, fold: str, features: list[str], **how) -> DataFrame:

@@ -130,43 +130,45 @@ def test_index_match_slack_stays_in_its_bits(spark):
     assert got == {(0, 1), (0, 2), (5, 3), (5, 4)}
 
 
+def slopes_agree(loss, theta):
+    value, slope = loss(theta)
+    for e in np.eye(len(theta)) * 1e-6:
+        assert abs((loss(theta + e)[0] - loss(theta - e)[0]) / 2e-6 - slope[e > 0][0]) < 1e-5
+    assert np.isfinite(value)
+
+
 def test_gradients():
     r = np.random.default_rng(0)
-    x, owners = r.normal(size=(12, 5)), np.array([0, 0, 0, 1, 1, 2, 2, 2, 3, 3, 3, 3])
-    labels_, known, targets = np.array([1.0, 0, 1, 0]), r.random(12) < 0.5, (r.random(12) < 0.5).astype(float)
-    for power in (None, 8.0):
-        f = learn.bag_objective(x, owners, labels_, known, targets, 0.1, power)
-        theta = r.normal(size=6) * 0.3
-        value, slope = f(theta)
-        step = 1e-6
-        for i in range(6):
-            e = np.eye(6)[i] * step
-            assert abs((f(theta + e)[0] - f(theta - e)[0]) / (2 * step) - slope[i]) < 1e-5
-        assert f(learn.minimise(f, np.zeros(6)))[0] < f(np.zeros(6))[0]
+    x, bag = r.normal(size=(12, 5)), np.array([0, 0, 0, 1, 1, 2, 2, 2, 3, 3, 3, 3])
+    positive, wanted = np.array([1.0, 0, 1, 0]), r.integers(-1, 2, 12).astype(float)
+    for power in (2.0, 8.0):
+        loss = learn.bag_loss(x, bag, positive, wanted, 0.1, power)
+        slopes_agree(loss, r.normal(size=6) * 0.3)
+        assert loss(learn.minimise(loss, np.zeros(6)))[0] < loss(np.zeros(6))[0]
 
 
 def test_gradients_of_the_further_terms():
     r = np.random.default_rng(6)
-    x, owners = r.normal(size=(14, 4)), np.repeat([0, 1, 2, 3, 4], [3, 3, 3, 3, 2])
-    labels_, known, targets = np.array([1.0, 1, 0, 0, 1]), r.random(14) < 0.6, (r.random(14) < 0.5).astype(float)
-    weights, pairs = r.random(5) + 0.1, np.array([0, 0, 1, 1, 2])
-    plain = learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, window_weights=r.random(14), bag_weights=weights)
+    x, bag = r.normal(size=(14, 4)), np.repeat([0, 1, 2, 3, 4], [3, 3, 3, 3, 2])
+    positive, wanted = np.array([1.0, 1, 0, 0, 1]), r.integers(-1, 2, 14).astype(float)
+    mass, pair, trust = r.random(5) + 0.1, np.array([0, 0, 1, 1, 2]), r.random(14)
     made = (r.normal(size=(6, 4)), (r.random(6) < 0.5).astype(float), r.random(6), 0.2)
     theta = r.normal(size=5) * 0.4
-    for how in ({"pairs": pairs, "consistency": 0.7}, {"synthetic": made}, {"pairs": pairs, "consistency": 0.7, "synthetic": made}):
-        f = learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, bag_weights=weights, **how)
-        value, slope = f(theta)
-        for i in range(5):
-            e = np.eye(5)[i] * 1e-6
-            assert abs((f(theta + e)[0] - f(theta - e)[0]) / 2e-6 - slope[i]) < 1e-5
-    # by hand: the pooled bags, their pairs' means, and the penalty's default
-    p = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
-    bag = np.array([(p[owners == k] ** 4).sum() / (p[owners == k] ** 3).sum() for k in range(5)])
-    off = [bag[k] - sum(weights[j] * bag[j] for j in range(5) if pairs[j] == pairs[k]) / sum(weights[j] for j in range(5) if pairs[j] == pairs[k]) for k in range(5)]
-    with_, without = (learn.bag_objective(x, owners, labels_, known, targets, None, 4.0, bag_weights=weights, pairs=pairs, consistency=c)(theta)[0] for c in (0.7, 0.0))
-    assert with_ - without == pytest.approx(0.7 * sum(w * d * d for w, d in zip(weights, off, strict=True)))
-    stiff = learn.bag_objective(x, owners, labels_, known, targets, 1 / (0.05 * 5), 4.0, bag_weights=weights)(theta)[0]
-    assert without == pytest.approx(stiff) and np.isfinite(plain(theta)[0])
+    for how in ({"trust": trust}, {"pair": pair, "agree": 0.7}, {"extra": made}, {"pair": pair, "agree": 0.7, "extra": made}):
+        slopes_agree(learn.bag_loss(x, bag, positive, wanted, None, 4.0, mass=mass, **how), theta)
+    # by hand: the pooled bags, their entropy, known windows, pairs' means, and the penalty's default
+    z = x @ theta[:-1] + theta[-1]
+    p = 1 / (1 + np.exp(-z))
+    q = np.array([(p[bag == k] ** 4).sum() / (p[bag == k] ** 3).sum() for k in range(5)])
+    value = -sum(m * np.log(v if y else 1 - v) for m, v, y in zip(mass, q, positive, strict=True)) + 0.5 * (20 / 5) * (theta @ theta)
+    value -= 0.25 * sum(0.5 / (wanted == w).sum() * np.log(v if w else 1 - v) for v, w in zip(p, wanted, strict=True) if w >= 0)
+    assert learn.bag_loss(x, bag, positive, wanted, None, 4.0, mass=mass)(theta)[0] == pytest.approx(value)
+    off = [q[k] - sum(mass[j] * q[j] for j in range(5) if pair[j] == pair[k]) / sum(mass[j] for j in range(5) if pair[j] == pair[k]) for k in range(5)]
+    value += 0.7 * sum(w * d * d for w, d in zip(mass, off, strict=True))
+    own, state, weight, strength = made
+    other = own @ theta[:-1] + theta[-1]
+    value += strength * sum(w / weight.sum() * np.log1p(np.exp(-o if s else o)) for o, s, w in zip(other, state, weight, strict=True))
+    assert learn.bag_loss(x, bag, positive, wanted, None, 4.0, mass=mass, pair=pair, agree=0.7, extra=made)(theta)[0] == pytest.approx(value)
 
 
 def test_a_positive_bag_needs_a_candidate(spark):
