@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import Rounds
 
 # How a match is accepted.
 COMMON = 100
@@ -79,16 +79,21 @@ def accept(matches: DataFrame, references: DataFrame, rate: float = 100.0) -> Da
     enough distinct reference frames, tokens and bins, a large enough part of the
     reference's frames and span; most frames win, then more hits.
 
-    ``matches`` is read twice, ``references(reference, anchors, duration_s)``.
-    Such hits lie in three neighbouring buckets, so a pair whose fullest bucket
-    holds less than a third of what is needed is left out at once; only the
-    hits of the others are gathered.
+    ``references(reference, anchors, duration_s)``.  Such hits lie in three
+    neighbouring buckets, so a pair is left out whose fullest bucket holds less
+    than a third of what is needed, then one whose fullest three in a row hold
+    less; only the hits of the others are gathered.  The hits are written once,
+    as they are counted and then gathered.
     """
     least = F.greatest(F.lit(max(ANCHORS, HASHES)), F.ceil(FRACTION * F.col("anchors")))
-    known = held(references)
-    able = offset_counts(matches).where(3 * F.col("hits") >= max(ANCHORS, HASHES)).join(known, "reference").where(3 * F.col("hits") >= least)
-    pairs = checkpointed(able.select("query", "reference").distinct())
-    some = checkpointed(matches.join(held(pairs), ["query", "reference"]))
+    known, rounds = held(references), Rounds(matches.sparkSession)
+    hits = rounds.next(matches)
+    counts = rounds.next(offset_counts(hits))
+    third = counts.where(3 * F.col("hits") >= max(ANCHORS, HASHES)).join(known, "reference").where(3 * F.col("hits") >= least).select("query", "reference").distinct()
+    rows = counts.join(third, ["query", "reference"], "left_semi").select("query", "reference", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("b"), "hits")
+    three = rows.groupBy("query", "reference", "b").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= max(ANCHORS, HASHES)).join(known, "reference").where(F.col("hits") >= least)
+    pairs = rounds.next(three.select("query", "reference").distinct())
+    some = rounds.next(hits.join(held(pairs), ["query", "reference"]))
     near = some.withColumn("offset", F.col("anchor") - F.col("at")).join(offset_modes(some), ["query", "reference"]).where(F.abs(F.col("offset") - 3 * F.col("bucket")) <= 3)
     found = near.groupBy("query", "reference", "bucket", "hits").agg(
         F.count_distinct("at").alias("anchors_hit"), F.count_distinct("token").alias("tokens_hit"), F.count_distinct(F.shiftright("token", 18)).alias("bins_hit"),
@@ -99,7 +104,7 @@ def accept(matches: DataFrame, references: DataFrame, rate: float = 100.0) -> Da
         & (F.col("span") / rate >= F.least(F.lit(0.15), 0.3 * F.col("duration_s")))
     )
     w = Window.partitionBy("query", "reference").orderBy(F.col("anchors_hit").desc(), F.col("hits").desc(), "bucket")
-    return fine.withColumn("best", F.row_number().over(w)).where("best = 1").drop("best")
+    return rounds.last(fine.withColumn("best", F.row_number().over(w)).where("best = 1").drop("best"))
 
 
 def exact_shortcut(queries: DataFrame, references: DataFrame, digest: str = "digest") -> tuple[DataFrame, DataFrame]:
