@@ -12,6 +12,7 @@ from emberline.operators import matching as J
 from emberline.operators import metrics as Q
 from emberline.operators import pooling as A
 from emberline.operators.graph import checkpointed
+from emberline.sources.index import ReferenceIndex, chosen_references
 from emberline.sources.tables import clips, media, table, windows
 
 from .common import CLIPS, MEDIA, TIER, WINDOWS, Registry, r
@@ -202,6 +203,36 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     return J.match_summary(queries, hits(spark, sf))
 
 
+_SPANS = f"""{MEDIA}, wd AS (SELECT doc_id, sha256(text) AS digest, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+  pos AS (SELECT digest, min(doc_id) AS doc_id FROM media WHERE label = 'positive' GROUP BY digest), own AS (SELECT pos.digest, pos.doc_id, m.path, w, len(w) AS n FROM pos JOIN media m ON pos.doc_id = m.doc_id JOIN wd ON pos.doc_id = wd.doc_id),
+  spans AS (SELECT *, 'whole-positive-clip' AS scope, 0 AS place, 0 AS s, n AS e FROM own WHERE doc_id % 4 <> 0 OR n < 60
+    UNION ALL SELECT *, 'user-annotated-event', 0, 5, 25 FROM own WHERE doc_id % 4 = 0 AND n >= 60 UNION ALL SELECT *, 'user-annotated-event', 1, 30, 60 FROM own WHERE doc_id % 4 = 0 AND n >= 60),
+  cut AS (SELECT digest || ':' || place AS item_id, array_to_string(w[s + 1:e], ' ') AS text FROM spans)"""
+
+
+@query(f"""WITH {_SPANS}, {tokens_sql('refs', 'item_id', 'cut')}, k AS (SELECT item, count(DISTINCT frame) AS anchors, count(*) AS pairs FROM refs GROUP BY item)
+  SELECT digest, path, scope, place::INTEGER AS place, (e - s)::DOUBLE AS duration, coalesce(anchors, 0)::BIGINT AS anchors, coalesce(pairs, 0)::BIGINT AS pairs FROM spans LEFT JOIN k ON digest || ':' || place = k.item""")
+def reference_build(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of positive contents, by two annotated stretches of words or whole, built in two appends."""
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    texts = table(spark, sf, "documents", "doc_id", "text").select("doc_id", words.alias("w"))
+    items = media(spark, sf).join(texts, "doc_id").select("path", "digest", "label", F.col("doc_id").alias("position"), F.size("w").cast("double").alias("duration"), "w")
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((5.0, 25.0), (30.0, 60.0))))
+    events = items.where("position % 4 = 0 and duration >= 60").join(items.where("label = 'positive'").groupBy("digest").agg(F.min("position").alias("position")), ["digest", "position"]).select("path", "digest", spans.alias("intervals"))
+    chosen = chosen_references(items, events)
+
+    def landmarks(refs: DataFrame) -> DataFrame:
+        cut = refs.join(items.select("path", "w"), "path").select("digest", "place", F.array_join(F.slice("w", F.col("start").cast("int") + 1, F.col("duration").cast("int")), " ").alias("text"))
+        rows = J.word_landmarks(cut.select(F.struct("digest", "place").alias("r"), "text"), "r", "text")
+        return rows.select("r.digest", "r.place", "frame", F.explode("tokens").alias("token"))
+
+    rounds = G.Rounds(spark)
+    index = ReferenceIndex(spark, f"{rounds.path}/index")
+    for half in ("digest < '8'", "true"):
+        index.append(chosen.where(half), landmarks)
+    return rounds.last(index.references().select("digest", "path", "scope", "place", "duration", "anchors", "pairs"))
+
+
 @query("""WITH p AS (SELECT user_id AS item, event_id % 500 AS frame, event_type AS bin, value AS loud FROM events), k AS (SELECT a.item, a.frame, a.bin, a.loud, b.frame AS frame2, b.bin AS bin2,
     row_number() OVER (PARTITION BY a.item, a.frame, a.bin ORDER BY b.loud DESC, b.frame, b.bin) AS rank FROM p a JOIN p b ON a.item = b.item AND b.frame - a.frame BETWEEN 3 AND 60)
   SELECT item, count(*) AS pairs, sum(frame2 - frame)::BIGINT AS gaps FROM k WHERE rank <= 8 GROUP BY item""")
