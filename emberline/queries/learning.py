@@ -221,3 +221,29 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def mean_levels(spark: SparkSession, sf: str) -> DataFrame:
     e = frames(spark, sf).groupBy("clip").agg(F.avg(db_power(F.col("level"))).alias("power"), F.max("level").alias("top"))
     return e.select("clip", F.round(10 * F.log10("power"), 6).alias("mean_db"), F.round("top", 6).alias("top"))
+
+
+def numbered_embeddings(spark: SparkSession, sf: str, entries: int) -> DataFrame:
+    """``vec_id, positive, e0 ..``: labels under 5 are positive."""
+    df = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return df.select("vec_id", (F.col("label") < 5).alias("positive"), *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(entries)))
+
+
+@query()
+def extra_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings scored by extremely randomised trees grown over all of them."""
+    from emberline.operators import forest
+
+    df = numbered_embeddings(spark, sf, 64)
+    model = forest.extra_trees(df, [f"e{k}" for k in range(64)], "positive", trees=20, depth=6, seed=7)
+    return forest.forest_scores(df, model, ["vec_id"]).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def kernel_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings scored by a logistic model over random Fourier features of their first eight entries."""
+    from emberline.operators import kernel
+
+    df = numbered_embeddings(spark, sf, 8)
+    model = kernel.fit_kernel(df, [f"e{k}" for k in range(8)], "positive", 0.1, 64, seed=7)
+    return df.select("vec_id", F.round(model.score(), 6).alias("score"))
