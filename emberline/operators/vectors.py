@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalars import cosine_distance, logistic, norm
 
+from .quantiles import exact_quantiles
 
 # Groups of which what is new, and what stays, are features.
 INTRODUCED, PERSISTENT = ("vocal_alarm", "noise"), ("music", "singing")
@@ -68,9 +69,10 @@ def group_means(vector: Column, groups: Sequence[Sequence[int]]) -> Column:
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """One row: each column's interpolated median, and weighted mean and population
-    deviation after imputing it; no spread gives scale 1."""
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in columns))
-    held = df.crossJoin(F.broadcast(medians))
+    deviation after imputing it; no spread gives scale 1.  Medians are exact, by six
+    passes of bounded counters."""
+    found = exact_quantiles(df, columns, [0.5])
+    held = df.select("*", *(F.lit(found[c][0]).cast("double").alias(f"{c}_median") for c in columns))
     w = F.col(weight) if weight else F.lit(1.0)
     filled = {c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.col(f"{c}_median")) for c in columns}
     sums = held.agg(*(F.max(f"{c}_median").alias(f"{c}_median") for c in columns), *((F.sum(w * x) / F.sum(w)).alias(f"{c}_mean") for c, x in filled.items()), *((F.sum(w * x * x) / F.sum(w)).alias(f"{c}_square") for c, x in filled.items()))

@@ -247,3 +247,14 @@ def kernel_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = numbered_embeddings(spark, sf, 8)
     model = kernel.fit_kernel(df, [f"e{k}" for k in range(8)], "positive", 0.1, 64, seed=7)
     return df.select("vec_id", F.round(model.score(), 6).alias("score"))
+
+
+@query()
+def two_part_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings' first four entries standardised, beside three components of whole embeddings."""
+    from emberline.operators import transform
+
+    df = table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", "embedding", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)))
+    model = transform.fit_two_part(df, "vec_id", [f"e{k}" for k in range(4)], "embedding", 3)
+    out = transform.two_part(df, model, "embedding", ["vec_id"])
+    return out.select("vec_id", *(F.round(n, 6).alias(n) for n in model.names()))
