@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,56 @@ def run(spark: SparkSession, steps: Sequence[Step], tables: dict[str, DataFrame]
     return tables
 
 
+class CompanionError(RuntimeError):
+    """The first failure of companions; ``name`` says whose."""
+
+    def __init__(self, name: str, cause: BaseException):
+        super().__init__(f"{name} failed: {cause}")
+        self.name = name
+
+
+def companions(spark: SparkSession, work: dict[str, Callable[[SparkSession], object]]) -> dict[str, object]:
+    """The results of all pieces of work, which run at the same time.
+
+    Each runs under a job tag of its own.  When one fails, the jobs of the others
+    and the streams that they started are stopped, and its failure is raised once
+    all have ended.  A piece that starts a job after that is stopped as well.
+    """
+    context, mark = spark.sparkContext, uuid.uuid4().hex
+    before, failed = {q.id for q in spark.streams.active}, threading.Event()
+    first: list[tuple[str, BaseException]] = []
+
+    def one(name: str, make: Callable[[SparkSession], object]) -> object:
+        context.addJobTag(f"{mark}-{name}")
+        context.setInterruptOnCancel(True)  # tasks that run are stopped, not only those to come
+        try:
+            return make(spark)
+        except BaseException as error:
+            if not failed.is_set():
+                first.append((name, error))
+                failed.set()
+            raise
+        finally:
+            context.removeJobTag(f"{mark}-{name}")
+            context.setInterruptOnCancel(False)
+
+    with ThreadPoolExecutor(len(work) or 1) as pool:
+        # each in a thread of its own on the other side too, so that tags stay apart
+        futures = {name: pool.submit(inheritable_thread_target(spark)(one), name, make) for name, make in work.items()}
+        while not all(f.done() for f in futures.values()):
+            wait(futures.values(), timeout=0.2)
+            if failed.is_set():
+                for name, future in futures.items():
+                    if not future.done():
+                        context.cancelJobsWithTag(f"{mark}-{name}")
+                for query in spark.streams.active:
+                    if query.id not in before:
+                        query.stop()
+    if first:
+        raise CompanionError(*first[0]) from first[0][1]
+    return {name: f.result() for name, f in futures.items()}
+
+
 def unfinished(wanted: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     """What is still to be made, by content key."""
     return wanted.join(done.select(key), key, "left_anti")
