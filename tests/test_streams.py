@@ -80,7 +80,10 @@ def test_companions(spark):
         return session.range(8, numPartitions=8).mapInArrow(lambda batches: (time.sleep(25) or b for b in batches), "id long").count()
 
     def broken(session):
-        session.range(10).count()
+        # the other's tasks hold all slots by now, so this one starts no job
+        end = time.time() + 20
+        while time.time() < end and not session.sparkContext.statusTracker().getActiveJobsIds():
+            time.sleep(0.1)
         raise ValueError("no")
 
     assert companions(spark, {"a": lambda s: s.range(5).count(), "b": lambda s: s.range(7).count()}) == {"a": 5, "b": 7}
