@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,24 @@ def shifted(intervals: F.Column, delay: F.Column, error: F.Column, codec: F.Colu
 def by_priority(df: DataFrame) -> DataFrame:
     """Base, then training, then evaluation records, in their own order."""
     return df.orderBy(F.when(F.col("split") == "base", 0).when(F.col("split") == "train", 1).otherwise(2), "key")
+
+
+def augmented(df: DataFrame, recipes: Sequence[tuple[str, float, float]], rate: int = 16_000, samples: str = "samples", channels: str = "channels", intervals: str = "intervals") -> DataFrame:
+    """Each recording by each of a few ``recipes`` (name, gain in dB, delay in seconds): its
+    other columns, ``recipe``, the samples made louder, then held within +-1, then set
+    back by silence, ``delay_samples``, and the intervals moved by as much.
+
+    ``samples`` are floats, channels interleaved; intervals are ``array<struct<start,end>>`` in
+    seconds.  A recording without samples, with one that is not finite, or of other
+    than one or two channels fails the job.  Values depend on the row alone.
+    """
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(10 ** (g / 20))).cast("float").alias("gain"), F.lit(round(d * rate)).cast("int").alias("back")) for n, g, d in recipes))
+    rows = df.withColumn("_r", F.explode(each))
+    own, gain, back = F.col(samples).cast("array<float>"), F.col("_r.gain"), F.col("_r.back")
+    fine = F.col(channels).isin(1, 2) & (F.size(own) > 0) & F.forall(own, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")).cast("float")))
+    one = F.lit(1.0).cast("float")
+    louder = F.transform(own, lambda x: F.greatest(-one, F.least(one, x * gain)))
+    made = F.concat(F.array_repeat(F.lit(0.0).cast("float"), back * F.col(channels)), louder)
+    checked = F.when(F.coalesce(fine, F.lit(False)), made).otherwise(F.raise_error("one or two channels of finite samples").cast("array<float>"))
+    moved = F.transform(intervals, lambda i: F.struct((i["start"] + back / float(rate)).alias("start"), (i["end"] + back / float(rate)).alias("end")))
+    return rows.withColumns({samples: checked, intervals: moved, "recipe": F.col("_r.name"), "delay_samples": back.cast("long")}).drop("_r")
