@@ -47,6 +47,10 @@ DROP_WORDS = frozenset(
 )
 # What such a word is combined with where it still names the element.
 CARRIERS = frozenset("area bar block body bottom box btn button buttons card cards container content entry footer form group header heading holder icon icons inner item items left link links list main mobile module outer overlay page panel post posts primary right row secondary section site slot text thread title top unit wrap wrapper".split())
+# Words that name the element wherever they end a class or id (`user-comments`), and words
+# before them that tell of another element (`with-footer`).
+HEADS = frozenset("advert adverts advertisement breadcrumb breadcrumbs comment comments disqus footer menu navbar navigation newsletter pagination replies".split())
+ABOUT = frozenset("above before has hide is js no non show under with without".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # What holds articles of others: an article tag inside does not make it content.
 CARDS = frozenset("comment comments disqus promo promoted related replies respond sponsor sponsored".split())
@@ -57,11 +61,13 @@ WORDS = re.compile(r"[a-z]+")
 
 
 def _named(value: str, words: frozenset[str]) -> bool:
-    """Whether a class or id among ``value`` is one of ``words``, alone or with carriers:
-    ``related-posts`` is, ``related-work`` is not."""
+    """Whether a class or id among ``value`` is one of ``words``, alone, with carriers or as
+    the last word: ``related-posts`` and ``user-comments`` are, ``related-work`` and
+    ``with-footer`` are not."""
     for token in value.split():
-        parts = set(WORDS.findall(token))
-        if parts & words and parts <= DROP_WORDS | CARRIERS:
+        found = WORDS.findall(token)
+        parts = set(found)
+        if parts & words and (parts <= DROP_WORDS | CARRIERS or found[-1] in words & HEADS and not parts & ABOUT):
             return True
     return False
 
@@ -103,18 +109,45 @@ def _closed(html: str) -> set[int]:
     return closed
 
 
+# Elements that an unclosed menu ends at, and any other unclosed element.
+AFTER_MENU = frozenset("p h1 h2 h3 section article main blockquote pre".split())
+AFTER_ANY = frozenset("article main".split())
+
+
+class _Skip:
+    """What of the page a dropped element without an end tag takes: it ends where an element
+    around it ends, or where one starts that can't lie in it."""
+
+    def __init__(self, tag: str) -> None:
+        self.after = AFTER_MENU if tag in ("nav", "menu") else AFTER_ANY
+        self.inside: dict[str, int] = {}
+
+    def over(self, tag: str, ends: bool, alone: bool) -> bool:
+        if not ends:
+            if not alone:
+                self.inside[tag] = self.inside.get(tag, 0) + 1
+            return tag in self.after
+        left = self.inside.get(tag, 0)
+        self.inside[tag] = max(0, left - 1)
+        return left == 0 and tag not in INLINE and tag not in ("p", "li", "body", "html")
+
+
 #: Kinds of lines: text, headings, dropped elements within and around an article, borders of an article.
 TEXT, HEADING, INNER, OUTER, BORDER = range(5)
 
 
-def lines(html: str) -> list[tuple[str, int, float, int]]:
+def lines(html: str, closed: set[int] | None = None) -> list[tuple[str, int, float, int]]:
     """The page's lines: text, number of the marked article around it (0: none),
-    share of link text, kind.  Only lines of kind text and heading hold text."""
+    share of link text, kind.  Only lines of kind text and heading hold text.
+
+    A page that ends within a dropped element is read once more, knowing from ``closed`` which have an end tag.
+    """
     out: list[tuple[str, int, float, int]] = []
     text: list[str] = []
     linked = article = marked = anchors = depth = start = 0
     skipped, heading, cards = "", False, False
-    closed: set[int] | None = None
+    loose: _Skip | None = None
+    again = closed is not None
 
     def close() -> None:
         nonlocal linked
@@ -138,7 +171,7 @@ def lines(html: str) -> list[tuple[str, int, float, int]]:
             opens = tag in ("article", "main") and not ends and skipped not in ("article", "main")
             if opens and cards and closed is None:
                 closed = _closed(html)
-            if opens and not (cards and start in closed):
+            if loose and loose.over(tag, ends, tag in VOID or m[4].endswith("/")) or opens and not (cards and start in closed):
                 skipped = ""  # never closed, or around the whole content
             else:
                 if tag == skipped:
@@ -167,9 +200,12 @@ def lines(html: str) -> list[tuple[str, int, float, int]]:
                     out.append(("", marked, 0.0, BORDER))
         elif not ends and tag not in VOID and not m[4].endswith("/") and _boilerplate(tag, m[4], article > 0):
             skipped, depth, start, cards = tag, 1, m.start(), _cards(tag, m[4])
+            loose = _Skip(tag) if again and start not in closed else None
             out.extend([("", marked if article else 0, 0.0, OUTER if tag in ("nav", "header", "footer", "menu", "head") else INNER)] * WINDOW)
     if not skipped:
         text.append(unescape(html[at:]))
+    elif not again:
+        return lines(html, _closed(html))
     close()
     return out
 

@@ -87,3 +87,33 @@ def test_frame(spark):
     got = sorted((r.page_id, r.n_chars, r.text) for r in extract_main_text(df).collect())
     assert got == [(1, 41, main_text(PAGE))] * 2 + [(2, 0, "")] and len(main_text(PAGE)) == 41
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+STORY = "<p>" + "Long sentence of the story with many words in it. " * 6 + "</p>"
+
+
+def test_an_element_is_named_by_its_last_word():
+    liked = "<p>" + "I liked this a lot, thanks for writing it. " * 6 + "</p>"
+    for name in ("user-comments", "reader-comments", "article_comments", "story-menu"):
+        text = main_text(f"<body><div>{STORY}{STORY}</div><div class='{name}'>{liked}</div></body>")
+        assert text.count("story") == 12 and "liked" not in text, name
+    for name in ("layout with-footer", "no-comments", "has-menu", "commentary", "menus-of-the-world"):
+        assert main_text(f"<body><div class='{name}'>{STORY}{STORY}</div></body>").count("story") == 12, name
+
+
+def test_an_unclosed_element_ends_where_it_must():
+    links = "<a href='/'>Home</a> <a href='/n'>News</a>"
+    last = "<p>" + "All rights reserved by the owners of this page. " * 5 + "</p>"
+    for page in (
+        f"<body><nav>{links}{STORY}{STORY}</body>",
+        f"<body><nav><ul><li>{links}</li></ul><h1>Title</h1>{STORY}{STORY}</body>",
+        f"<body><section><div class='menu'>{links}</section><div>{STORY}{STORY}</div></body>",
+        f"<body><div><aside><p>{links}</p></div><div>{STORY}{STORY}</div></body>",
+        f"<body><div>{STORY}{STORY}</div><footer>{last}</body>",
+        f"<body><nav>{links}{STORY}{STORY}<footer>{last}</body>",
+    ):
+        text = main_text(page)
+        assert text.count("story") == 12, page
+        assert "News" not in text and "rights" not in text, page
+    assert main_text(f"<body><nav>{links}<p>{links}</p></nav>{STORY}{STORY}</body>").count("News") == 0
+    assert main_text("<nav>" * 3000 + STORY).count("story") == 6
