@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import extract
+from emberline.functions.scalars import amplitude_db, hash_number, norm
+from emberline.operators import extract, synthesis
 from emberline.operators import features as E
 from emberline.operators import vectors
 from emberline.sources.tables import frames, table
@@ -143,3 +144,46 @@ def robust_detector(spark: SparkSession, sf: str) -> DataFrame:
     out = extract.detector(extract.robust_features(sounds(spark, sf), "recording", "part"), MODEL, INTERCEPT, POWER, "recording")
     events = F.transform("events", lambda e: F.struct(F.round(e["start_s"], 6).alias("start_s"), F.round(e["end_s"], 6).alias("end_s"), F.round(e["score"], 6).alias("score")))
     return out.select("recording", F.round("score", 6).alias("score"), "risk_tier", "silent", "analyzed_events", F.to_json(events).alias("events"))
+
+
+#: Samples a second at which twelve seconds fit into the stand-in recordings.
+_RATE = 2_000
+#: Donors are every third recording, with two intervals; the others are backgrounds.
+_SOUNDS = """sounds AS (SELECT coalesce(source, '') || '/' || (doc_id // 500) AS recording, sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS samples FROM documents GROUP BY 1),
+  roles AS (SELECT *, ('0x' || substr(md5('role:' || recording), 1, 8))::BIGINT % 3 = 0 AS donor FROM sounds)"""
+
+
+def _hashed(what: str) -> str:
+    return f"('0x' || substr(md5('{what}1:' || donor || ':' || variant), 1, 8))::BIGINT"
+
+
+def synthesis_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    samples = sounds(spark, sf).groupBy("recording").agg(F.sum(F.coalesce(F.octet_length("samples"), F.lit(0))).cast("long").alias("samples"))
+    gives = hash_number(F.lit("role"), F.col("recording")) % 3 == 0
+    span = lambda a, b: F.struct((F.col("samples") / _RATE * a).alias("start_s"), (F.col("samples") / _RATE * b).alias("end_s"))
+    donors = samples.where(gives & (F.col("samples") >= 2 * _RATE)).select(F.col("recording").alias("donor"), F.array(span(0.125, 0.375), span(0.5, 0.875)).alias("intervals"), F.lit(None).cast("double").alias("error_s"))
+    return donors, samples.where(~gives).select(F.col("recording").alias("background"), "samples")
+
+
+@query(f"""WITH {_SOUNDS}, back AS (SELECT recording AS background, samples, row_number() OVER (ORDER BY recording) - 1 AS number FROM roles WHERE NOT donor AND samples >= {12 * _RATE}), many AS (SELECT count(*) AS many FROM back),
+  given AS (SELECT recording AS donor, v AS variant, samples / {_RATE}.0::DOUBLE AS s FROM roles, range(0, 12) g(v) WHERE donor AND samples >= {2 * _RATE}),
+  spans AS (SELECT *, s * CASE WHEN variant % 2 = 0 THEN 0.125::DOUBLE ELSE 0.5::DOUBLE END + 0.05::DOUBLE AS low, s * CASE WHEN variant % 2 = 0 THEN 0.375::DOUBLE ELSE 0.875::DOUBLE END - 0.05::DOUBLE AS high FROM given),
+  lasting AS (SELECT *, least([0.35::DOUBLE, 0.75::DOUBLE, 1.5::DOUBLE][variant % 3 + 1], high - low) AS d FROM spans),
+  placed AS (SELECT *, low + {_hashed('source')} / 4294967296.0::DOUBLE * greatest(0.0::DOUBLE, high - d - low) AS begins FROM lasting)
+  SELECT donor || ':' || variant AS key, background, {_hashed('offset')} % greatest(1, samples - {12 * _RATE}) AS background_first, round_even(begins * {_RATE}, 0)::BIGINT AS source_first,
+    round_even((begins + d) * {_RATE}, 0)::BIGINT - round_even(begins * {_RATE}, 0)::BIGINT AS source_samples, round(3.0::DOUBLE + 5.0::DOUBLE * ({_hashed('onset')} / 4294967296.0::DOUBLE), 6) AS onset_s,
+    [-12.0::DOUBLE, -6.0::DOUBLE, -3.0::DOUBLE][variant % 3 + 1] AS level_db, [10.0::DOUBLE, 20.0::DOUBLE, 30.0::DOUBLE][variant // 3 % 3 + 1] AS contrast_db
+  FROM placed, many JOIN back ON number = {_hashed('background')} % many""")
+def synthetic_plan(spark: SparkSession, sf: str) -> DataFrame:
+    plan = synthesis.synthetic_plan(*synthesis_sides(spark, sf), rate=_RATE)
+    return plan.select("key", "background", "background_first", "source_first", "source_samples", F.round("onset_s", 6).alias("onset_s"), "level_db", "contrast_db")
+
+
+@query()
+def synthetic_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every planned record and its control: parents, interval, digest and level of its event."""
+    chunks = sounds(spark, sf).withColumnsRenamed({"samples": "sound"})
+    made = synthesis.synthetic_events(synthesis.synthetic_plan(*synthesis_sides(spark, sf), rate=_RATE), chunks, _RATE)
+    event = F.slice("samples", (F.bround(F.col("onset_s") * _RATE) + 1).cast("int"), F.bround((F.col("end_s") - F.col("onset_s")) * _RATE).cast("int"))
+    level = amplitude_db(norm(event) / F.sqrt(F.size(event)))
+    return made.select("key", "label", "donor", "background", F.round("onset_s", 6).alias("onset_s"), F.round("end_s", 6).alias("end_s"), F.size("samples").alias("samples"), "digest", F.round(level, 3).alias("event_db"))
