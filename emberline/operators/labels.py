@@ -110,13 +110,24 @@ def collapse_labelled(df: DataFrame, digest: str = "digest", label: str = "label
     return out
 
 
-def group_contents(df: DataFrame, digest: str = "digest", label: str = "label", path: str = "path", thread: str = "thread", timed: str = "timed") -> DataFrame:
-    """One row per content, unlabelled ones too; timed rows represent it first."""
+def group_contents(df: DataFrame, digest: str = "digest", label: str = "label", path: str = "path", thread: str = "thread", timed: str = "timed", intervals: str | None = None, strict: bool = True) -> DataFrame:
+    """One row per content, unlabelled ones too; timed rows represent it first.
+
+    Visual-only rows take no part; unlabelled ones don't contradict a label.  Two labels
+    of one content, or timed rows whose ``intervals`` differ, fail the job; unless ``strict``,
+    ``conflict`` and ``timing_conflict`` tell of them.
+    """
     known = F.when(F.col(label) != "unlabeled", F.col(label))
-    return df.groupBy(digest).agg(
+    timing = [] if intervals is None else [(F.count_distinct(F.when(F.col(timed), F.to_json(F.struct(F.col(intervals))))) > 1).alias("timing_conflict")]
+    out = df.where(F.coalesce(F.col(label) != "visual-only", F.lit(True))).groupBy(digest).agg(
         F.min_by(path, F.struct(~F.col(timed), F.col(path))).alias("path"), F.coalesce(F.min(known), F.lit("unlabeled")).alias("label"),
-        (F.count_distinct(known) > 1).alias("conflict"), F.max(timed).alias("timed"), F.min(thread).alias("fold_thread"), F.count_distinct(thread).alias("threads"),
+        (F.count_distinct(known) > 1).alias("conflict"), F.max(timed).alias("timed"), F.min(thread).alias("fold_thread"), F.count_distinct(thread).alias("threads"), *timing,
     )
+    if not strict:
+        return out
+    for column, what in (("conflict", "labels"), *((("timing_conflict", "timings"),) if timing else ())):
+        out = out.where(F.assert_true(~F.col(column), F.concat(F.lit(f"conflicting {what} of "), F.col(digest).cast("string"))).isNull()).drop(column)
+    return out
 
 
 def review_update(labels: DataFrame, snapshot: DataFrame, named: DataFrame) -> DataFrame:

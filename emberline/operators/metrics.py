@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import ALERT, MAYBE, hash_number, tier_rank
 
 from .graph import checkpointed
+from .tables import numbered
+
+#: Clusters that are sent to the draws, seven numbers each; more are joined by a shuffle.
+FEW_CLUSTERS = 500_000
+#: Picks that one task makes.
+PICKS = 10_000_000
 
 
 def _count(c: Column) -> Column:
@@ -81,15 +87,18 @@ def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 10_000, seed: in
     whole clusters are drawn with replacement.
 
     Counts are added up by cluster first; a draw picks as many clusters as
-    there are, by hashes of seed, draw and place, so reruns agree.
+    there are, by hashes of seed, draw and place, so reruns agree.  Picks are made
+    in even tasks, whatever the number of draws, and add up by draw before they are shuffled.
     """
     pos, neg = F.col(label) == "positive", F.col(label) == "negative"
     hit = lambda c: (F.col(c) >= ALERT)
     each = df.groupBy(cluster).agg(_count(pos).alias("p"), _count(neg).alias("n"), *(_count(w & hit(c)).alias(x) for x, w, c in (("pb", pos, before), ("pa", pos, after), ("nb", neg, before), ("na", neg, after))))
-    numbered = each.withColumn("number", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy()))
-    spark = df.sparkSession
-    picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(numbered.agg(F.max("many").alias("many"))), F.lit(True)).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)))
-    picks = picks.withColumn("number", F.pmod(hash_number(F.lit(str(seed)), F.col("draw"), F.col("place")), F.col("many")))
-    sums = picks.join(numbered.drop("many"), "number").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("p", "n", "pb", "pa", "nb", "na"))).where((F.col("p") > 0) & (F.col("n") > 0))
+    clusters = numbered(each, cluster)
+    many, spark = clusters.count(), df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-draws * many // PICKS))
+    picks = spark.range(0, draws * many, 1, tasks).select(F.floor(F.col("id") / max(many, 1)).alias("draw"), (F.col("id") % max(many, 1)).alias("place"))
+    picks = picks.select("draw", F.pmod(hash_number(F.lit(str(seed)), F.col("draw"), F.col("place")), F.lit(max(many, 1))).alias("number"))
+    held = F.broadcast(clusters) if many <= FEW_CLUSTERS else clusters
+    sums = picks.join(held, "number").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("p", "n", "pb", "pa", "nb", "na"))).where((F.col("p") > 0) & (F.col("n") > 0))
     deltas = sums.select(((F.col("pa") - F.col("pb")) / F.col("p")).alias("recall"), (1000.0 * (F.col("na") - F.col("nb")) / F.col("n")).alias("false"))
     return deltas.agg(F.count(F.lit(1)).alias("draws"), *(F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("recall", "false") for q, name in ((0.025, "low"), (0.975, "high"))))

@@ -19,6 +19,7 @@ from emberline.functions.scalars import hash_number, hash_uniform
 
 from .graph import checkpointed
 from .signal import RATE
+from .tables import numbered
 
 # Variants of a donor, seconds of events, their levels, how far the background lies below, seconds of background, bounds of the onset.
 VARIANTS, SECONDS, LEVELS_DB, CONTRASTS_DB = 12, (0.35, 0.75, 1.5), (-12.0, -6.0, -3.0), (10.0, 20.0, 30.0)
@@ -27,16 +28,6 @@ BACKGROUND_S, ONSET_S = 12, (3.0, 8.0)
 PEAK, FADE_S, ERROR_S = 0.98, 0.005, 0.05
 
 
-def numbered(df: DataFrame, *order: str, to: str = "number") -> DataFrame:
-    """Rows numbered from 0 in ``order``, which tells all rows apart.  Each range is numbered
-    by itself; one row a range says how many come before."""
-    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
-    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long") - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(to, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
-
-
 def _picked(values: tuple[float, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import db_power, hellinger, logistic, r6, shares, shifted_score
 from emberline.operators import augment, learn, signal, vectors
 from emberline.operators.graph import checkpointed
+from emberline.operators.tables import numbered
 from emberline.sources.tables import clips, frames, table, windows
 from emberline.streaming import files
 
@@ -188,10 +189,8 @@ def robust_selection(spark: SparkSession, sf: str) -> DataFrame:
   SELECT clip || ':' || kind || ':' || split || ':' || variant AS key, profile, CASE WHEN profile = 'original' THEN 0.0::DOUBLE ELSE round(-12.0::DOUBLE + 18.0::DOUBLE * (('0x' || substr(md5('gain1:' || clip || ':' || kind || ':' || split || ':' || variant), 1, 8))::BIGINT / 4294967296.0::DOUBLE), 3) END + 0.0::DOUBLE AS gain_db,
     coalesce(background, -1) AS background FROM plan, many LEFT JOIN back ON kind = 'synthetic' AND number = ('0x' || substr(md5('1:' || clip || ':' || variant), 1, 8))::BIGINT % many""")
 def augmentation_plan(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = clips(spark, sf)
-    back = c.where("label = 'negative'").select((F.row_number().over(Window.orderBy("clip")) - 1).alias("number"), F.col("clip").alias("background"))
+    back = numbered(c.where("label = 'negative'").select(F.col("clip").alias("background")), "background")
     return augment.plan(c, back).select("key", "profile", (F.col("gain_db") + F.lit(0.0)).alias("gain_db"), F.coalesce("background", F.lit(-1)).alias("background"))
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from emberline.operators.synthesis import cut_out, faded, numbered, overlaid, synthetic_events, synthetic_plan
+from emberline.operators.synthesis import cut_out, faded, overlaid, synthetic_events, synthetic_plan
+from emberline.operators.tables import numbered
 
 RATE = 1_000
 
