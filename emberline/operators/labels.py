@@ -98,6 +98,13 @@ def nearest_onset(starts: Column, candidates: Column) -> Column:
     return F.transform(starts, best)
 
 
+def onset_coverage(near: DataFrame, *groups: str) -> DataFrame:
+    """Starts, and those with a candidate within 250 ms, of rows with ``hit`` (null: none at
+    all), by ``groups``."""
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    return near.groupBy(*groups).agg(F.count(F.lit(1)).alias("starts"), F.count(F.when(hit, 1)).alias("covered"))
+
+
 def collapse_labelled(df: DataFrame, digest: str = "digest", label: str = "label", path: str = "path", thread: str = "thread", strict: bool = True) -> DataFrame:
     """One row per content with a positive or negative label: least path, sorted
     paths and threads, least thread as fold; two labels raise (or are flagged)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,28 @@ def word_landmarks(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFram
 def word_postings(df: DataFrame, key: str, text: str, gap: int = 8) -> DataFrame:
     """``key, token, frame``: :func:`word_landmarks`, a row each."""
     return word_landmarks(df, key, text, gap).select(key, F.explode("tokens").alias("token"), "frame")
+
+
+def evaluation(queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row on labelled queries: how many are negative, match a reference or one
+    confirmed, and how many are positive and match a reference other than themselves.
+
+    ``queries(query, label, digest)``, ``matches(query, reference_digest, confirmed)``; a match
+    with the query's own content doesn't count.
+    """
+    own = queries.select("query", "digest")
+    other = matches.join(own, "query").where(F.col("reference_digest") != F.col("digest")).groupBy("query").agg(F.max("confirmed").alias("confirmed"))
+    held_ = queries.join(other.withColumn("hit", F.lit(True)), "query", "left")
+    count = lambda *c: F.count(F.when(reduce(lambda a, b: a & b, c), 1))
+    negative, positive, hit = F.col("label") == "negative", F.col("label") == "positive", F.coalesce("hit", F.lit(False))
+    return held_.agg(
+        count(negative).alias("negative"), count(negative, hit).alias("negative_matched"), count(negative, hit, F.coalesce("confirmed", F.lit(False))).alias("negative_confirmed"),
+        count(positive).alias("positive"), count(positive, hit).alias("positive_matched"),
+    )
+
+
+def robustness(changed: DataFrame, matches: DataFrame) -> DataFrame:
+    """For each ``variant`` of references ``changed(query, variant, digest)``, how many there are
+    and how many match the reference that they were made from, ``matches(query, variant, reference_digest)``."""
+    found = matches.select("query", "variant", F.col("reference_digest").alias("digest")).distinct().withColumn("_hit", F.lit(1))
+    return changed.join(found, ["query", "variant", "digest"], "left").groupBy("variant").agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("recovered"))

@@ -86,6 +86,18 @@ def masked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.lit(0.0) for c in columns})
 
 
+def assert_unused(model, features: Sequence[str], disabled: Sequence[str]) -> None:
+    """The disabled ones among a fitted pipeline's features must have no coefficient, or
+    take part in no split."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray()
+    own = dict(zip(features, values, strict=True))
+    if missing := [n for n in disabled if n not in own]:
+        raise ValueError(f"no features: {', '.join(missing)}")
+    if used := [n for n in disabled if own[n] != 0]:
+        raise ValueError(f"disabled features are used: {', '.join(used)}")
+
+
 def audit(claimed: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Rows on one side only, with the side that has them."""
     both = [c for c in claimed.columns if c in recomputed.columns]

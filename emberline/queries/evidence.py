@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import r6
@@ -175,15 +175,23 @@ def offset_mode(spark: SparkSession, sf: str) -> DataFrame:
     return J.offset_modes(hits(spark, sf)).select("query", "reference", "bucket", "hits", "rank")
 
 
-@query(f"""WITH {_MODES}, info AS (SELECT item AS reference, count(DISTINCT frame) AS anchors FROM refs GROUP BY item),
+_ACCEPTED = f"""{_MODES}, info AS (SELECT item AS reference, count(DISTINCT frame) AS anchors FROM refs GROUP BY item),
   close AS (SELECT h.*, m.bucket, m.hits, h.anchor - h.spot AS o FROM hits h JOIN modes m ON h.query = m.query AND h.reference = m.reference WHERE abs(h.anchor - h.spot - 3 * m.bucket) <= 3),
   f AS (SELECT close.query, close.reference, bucket, hits, count(DISTINCT spot) AS anchors_hit, count(DISTINCT token) AS tokens_hit, count(DISTINCT token >> 18) AS bins_hit, max(spot) - min(spot) AS span, quantile_cont(o::DOUBLE, 0.5) AS o, any_value(anchors) AS anchors
     FROM close JOIN info ON close.reference = info.reference GROUP BY 1, 2, 3, 4),
-  ok AS (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY anchors_hit DESC, hits DESC, bucket) AS rn FROM f WHERE anchors_hit >= 6 AND tokens_hit >= 8 AND bins_hit >= 3 AND anchors_hit::DOUBLE / anchors >= 0.25 AND span / 100.0 >= least(0.15, 0.3 * anchors / 100.0))
-  SELECT query, reference, bucket, anchors_hit, tokens_hit, bins_hit, {r('o', 'offset')}, {r('anchors_hit::DOUBLE / anchors', 'fraction')} FROM ok WHERE rn = 1""")
-def match_accept(spark: SparkSession, sf: str) -> DataFrame:
+  ok AS (SELECT *, row_number() OVER (PARTITION BY query, reference ORDER BY anchors_hit DESC, hits DESC, bucket) AS rn FROM f WHERE anchors_hit >= 6 AND tokens_hit >= 8 AND bins_hit >= 3 AND anchors_hit::DOUBLE / anchors >= 0.25 AND span / 100.0 >= least(0.15, 0.3 * anchors / 100.0)),
+  accepted AS (SELECT * FROM ok WHERE rn = 1)"""
+
+
+def accepted(spark: SparkSession, sf: str) -> DataFrame:
     refs = postings(spark, sf, "benchmark", "item_id", "reference").groupBy("reference").agg(F.count_distinct("frame").alias("anchors")).withColumn("duration_s", F.col("anchors") / 100.0)
-    out = J.accept(hits(spark, sf), refs)
+    return J.accept(hits(spark, sf), refs)
+
+
+@query(f"""WITH {_ACCEPTED}
+  SELECT query, reference, bucket, anchors_hit, tokens_hit, bins_hit, {r('o', 'offset')}, {r('anchors_hit::DOUBLE / anchors', 'fraction')} FROM accepted""")
+def match_accept(spark: SparkSession, sf: str) -> DataFrame:
+    out = accepted(spark, sf)
     return out.select("query", "reference", "bucket", "anchors_hit", "tokens_hit", "bins_hit", r6("offset").alias("offset"), r6("fraction").alias("fraction"))
 
 
@@ -203,6 +211,44 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     return J.match_summary(queries, hits(spark, sf))
 
 
+# Contents of the same letters and digits stand in for matches.
+_BARE = "sha256(regexp_replace({0}, '[^a-z0-9]+', '', 'g'))"
+_COMPARED = f"""{MEDIA}, q AS (SELECT m.doc_id, m.label, m.digest, d.text, {_BARE.format('d.text')} AS bare FROM media m JOIN documents d ON m.doc_id = d.doc_id),
+  refs AS (SELECT digest, min(doc_id) AS doc_id, min(bare) AS bare, min(text) AS text FROM q WHERE label = 'positive' GROUP BY digest)"""
+
+
+def bare(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, "[^a-z0-9]+", ""), 256)
+
+
+def compared(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct contents of positive documents as references."""
+    positive = media(spark, sf).where("label = 'positive'").select("doc_id", "digest").join(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
+    return positive.withColumn("bare", bare(F.col("text"))).groupBy("digest").agg(*(F.min(c).alias(c) for c in ("doc_id", "bare", "text")))
+
+
+@query(f"""WITH {MEDIA}, {_ACCEPTED}, m AS (SELECT query, max(anchors_hit::DOUBLE / anchors >= 0.5) AS confirmed FROM accepted JOIN benchmark ON reference = item_id JOIN media ON query = doc_id WHERE digest <> sha256(text) GROUP BY 1)
+  SELECT count(*) FILTER (label = 'negative') AS negative, count(m.query) FILTER (label = 'negative') AS negative_matched, count(*) FILTER (label = 'negative' AND confirmed) AS negative_confirmed,
+    count(*) FILTER (label = 'positive') AS positive, count(m.query) FILTER (label = 'positive') AS positive_matched FROM media LEFT JOIN m ON doc_id = m.query""")
+def match_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted matches of labelled documents; half of a reference's frames confirm one."""
+    known = table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("reference"), F.sha2("text", 256).alias("reference_digest"))
+    matches = accepted(spark, sf).join(known, "reference").select("query", "reference_digest", (F.col("fraction") >= 0.5).alias("confirmed"))
+    return J.evaluation(media(spark, sf).select(F.col("doc_id").alias("query"), "label", "digest"), matches)
+
+
+@query(f"""WITH {_COMPARED}, v AS (SELECT digest, 'same' AS variant, text FROM refs UNION ALL SELECT digest, 'spaced', regexp_replace(text, ' ', '  ', 'g') FROM refs UNION ALL SELECT digest, 'half', substr(text, 1, length(text) // 2) FROM refs)
+  SELECT variant, count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM refs WHERE refs.digest = v.digest AND refs.bare = {_BARE.format('v.text')})) AS recovered FROM v GROUP BY variant""")
+def match_robustness(spark: SparkSession, sf: str) -> DataFrame:
+    """References as they are, with more spaces, and cut in half: how many still find their own."""
+    refs = compared(spark, sf)
+    text = F.col("text")
+    made = F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("text")) for n, c in (("same", text), ("spaced", F.regexp_replace(text, " ", "  ")), ("half", F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))))))
+    changed = refs.select(F.col("doc_id").alias("query"), "digest", F.explode(made).alias("v")).select("query", "digest", "v.variant", bare(F.col("v.text")).alias("bare"))
+    matches = changed.select("query", "variant", "bare").join(refs.select("bare", F.col("digest").alias("reference_digest")), "bare").drop("bare")
+    return J.robustness(changed.drop("bare"), matches)
+
+
 _SPANS = f"""{MEDIA}, wd AS (SELECT doc_id, sha256(text) AS digest, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
   pos AS (SELECT digest, min(doc_id) AS doc_id FROM media WHERE label = 'positive' GROUP BY digest), own AS (SELECT pos.digest, pos.doc_id, m.path, w, len(w) AS n FROM pos JOIN media m ON pos.doc_id = m.doc_id JOIN wd ON pos.doc_id = wd.doc_id),
   spans AS (SELECT *, 'whole-positive-clip' AS scope, 0 AS place, 0 AS s, n AS e FROM own WHERE doc_id % 4 <> 0 OR n < 60

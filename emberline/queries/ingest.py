@@ -181,6 +181,12 @@ def nearest_onset(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("clip", (F.col("k") + 1).alias("k"), F.col("x.start_s").alias("start_s"), r6(F.col("x.onset")).alias("onset"), r6(F.col("x.distance")).alias("distance"), F.col("x.hit").alias("hit"))
 
 
+@query(f"""WITH {FRAMES}, {_IV}, c AS (SELECT clip, frame * 1.0::DOUBLE + 0.2::DOUBLE AS onset FROM frames WHERE target = 0), s AS (SELECT clip, unnest(i).s AS start_s, generate_subscripts(i, 1) AS k FROM iv)
+  SELECT k, count(*) AS starts, count(*) FILTER (EXISTS (SELECT 1 FROM c WHERE c.clip = s.clip AND abs(onset - start_s) <= 0.25 + 1e-9)) AS covered FROM s WHERE clip IN (SELECT clip FROM c) GROUP BY k""")
+def onset_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return L.onset_coverage(nearest_onset(spark, sf), "k")
+
+
 @query("""WITH a AS (SELECT source, coalesce(list(DISTINCT doc_id) FILTER (doc_id % 2 = 0), []) AS x, coalesce(list(DISTINCT doc_id) FILTER (doc_id % 3 = 0), []) AS y FROM documents GROUP BY source)
   SELECT source, len(list_distinct(list_concat(x, y))) AS either, len(list_intersect(x, y)) AS both, len(list_filter(x, lambda v: NOT list_contains(y, v))) AS only_first FROM a""")
 def set_ops_review(spark: SparkSession, sf: str) -> DataFrame:
