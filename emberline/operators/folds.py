@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import families
+from .graph import checkpointed, families
 
 
 def grouped_folds(clips: DataFrame, links: DataFrame) -> DataFrame:
@@ -14,17 +14,17 @@ def grouped_folds(clips: DataFrame, links: DataFrame) -> DataFrame:
     has a clip in that thread.
 
     ``clips(clip, thread, fold_thread)`` has a row for each thread of a clip.
-    Families are joined by equality only; the one row per thread and family
-    that is barred keeps the anti join narrow.
+    The threads that bar a family lie beside it, so that the rows of each thread
+    and clip, which are the result, are made where the clip is and never shuffled.
     """
     family = families(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "clip")
-    named = clips.join(family, "clip", "left").withColumn("family", F.coalesce("family", "clip"))
-    barred = named.select("thread", "family").distinct()
-    threads = clips.select(F.col("fold_thread").alias("thread")).distinct()
+    named = checkpointed(clips.join(family, "clip", "left").withColumn("family", F.coalesce("family", "clip")))
+    barred = named.groupBy("family").agg(F.collect_set("thread").alias("barred"))
+    threads = named.select(F.col("fold_thread").alias("thread")).distinct()
     one = named.select("clip", "fold_thread", "family").distinct()
     test = one.select(F.col("fold_thread").alias("thread"), "clip", F.lit("test").alias("role"))
-    # every clip trains in every other fold, so the result itself has threads times clips rows
-    train = threads.join(one, threads["thread"] != one["fold_thread"]).join(barred, ["thread", "family"], "left_anti").select("thread", "clip", F.lit("train").alias("role"))
+    free = (F.col("thread") != F.col("fold_thread")) & ~F.array_contains("barred", F.col("thread"))
+    train = one.join(barred, "family").join(F.broadcast(threads), free).select("thread", "clip", F.lit("train").alias("role"))
     return test.unionByName(train)
 
 
