@@ -74,6 +74,11 @@ def spread_join(rows: DataFrame, keys: DataFrame, column: str, weight: str) -> D
 def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among ``keys``: all that are, and few
     others.  The filter has a fixed number of bits, so its size never grows."""
+    return split_among(df, keys, column)[0]
+
+
+def split_among(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` as :func:`among` has them, and the rest, nulls perhaps in either."""
     spot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
     # the bitmap functions count from 1
     rows = keys.select((spot + 1).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("m")).collect()
@@ -83,15 +88,18 @@ def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
         bits[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
     held = df.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            ok = (held.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
-            if ok.any():
-                yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
+    def side(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                ok = ((held.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0) == wanted
+                if ok.any():
+                    yield batch.filter(pa.array(ok)).select(range(batch.num_columns - 1))
+
+        return df.withColumn("_s", spot).mapInArrow(run, kinds)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_s", spot).mapInArrow(run, kinds)
+    return side(True), side(False)
 
 
 def unused(columns: list[str], name: str) -> str:

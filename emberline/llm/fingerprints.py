@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_likeness, cut, map_batches, pieces, shuffle_partitions, slices, spread_join
+from .common import among, bit_likeness, cut, map_batches, pieces, shuffle_partitions, slices, split_among
 from .graph import components
 from .neardup import BLOCK, _blocks, _pairs_across, in_blocks, open_buckets
 
@@ -33,6 +34,8 @@ CHUNK = 64
 TOGETHER = 24
 #: Documents that follow each other in one piece of the table, about.
 PIECE_ROWS = 2000
+#: Of Zstandard; higher ones take longer and save less than one part in a hundred.
+LEVEL = 5
 
 _RNG = np.random.default_rng(77003)
 _MOVES = _RNG.integers(0, 2, (PERIOD, 256), dtype=np.uint8)
@@ -131,11 +134,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 2.0 * same / BITS - 1.0)
 
 
-def _piece(bounds: F.Column, n: int, key: F.Column) -> F.Column:
-    """The last of ``n`` ascending bounds at or below the key, by halving; at least 0."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
-    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= n) & (F.get(bounds, i + s - 1) <= key), i + s).otherwise(i))
-    return F.greatest(F.coalesce(at, F.lit(0)) - 1, F.lit(0))
+def packed(values: pa.Array) -> pa.Array:
+    """Strings as their length in bytes and Zstandard's bytes; null stays null."""
+    codec = pa.Codec("zstd", compression_level=LEVEL)
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in values.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(values: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in values.to_pylist()], pa.binary()).cast(pa.string())
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -143,28 +150,48 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Rows lie in pieces of consecutive keys, and each piece ends with a copy of
     the row that begins the next one (the last with the first row of all),
-    marked ``ahead``.  The only shuffle moves each text once.
+    marked ``ahead``.  The only shuffle moves each text once, packed.
     """
     spark = df.sparkSession
     count, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
     n = pieces(count, PIECE_ROWS, least=16 * shuffle_partitions(spark))
     keys = df.agg(F.percentile_approx(key, [i / n for i in range(n)], 20 * n), F.min(key), F.max(key)).first()
-    bounds = sorted({keys[1], *(keys[0] or [])} - {None}) or [0]
-    table = F.transform(F.split(F.lit(",".join(map(str, bounds))), ","), lambda x: x.cast("long"))
+    bounds = np.array(sorted({keys[1], *(keys[0] or [])} - {None}) or [0], np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                null = pa.compute.is_null(part.column(0)).to_numpy(zero_copy_only=False)
+                k = pa.compute.fill_null(part.column(0), int(bounds[0])).to_numpy(zero_copy_only=False)
+                own = np.maximum(np.searchsorted(bounds, k, side="right") - 1, 0)
+                own[null] = 0
+                opens = np.flatnonzero(~null & (bounds[own] == k) & (own > 0))
+                first = np.flatnonzero(null if nulls else k == bounds[0])
+                at = np.concatenate([np.arange(len(own)), opens, first])
+                piece = np.concatenate([own, own[opens] - 1, np.full(len(first), len(bounds) - 1)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(piece, pa.int32()), pa.array(np.arange(len(at)) >= len(own)),
+                    part.column(0).take(pa.array(at)), packed(part.column(1)).take(pa.array(at)),
+                ], ["piece", "ahead", "key", "text"])
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                yield part.set_column(3, "text", unpacked(part.column(3)))
+
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    piece = F.when(F.col("key").isNull(), F.lit(0)).otherwise(_piece(table, len(bounds), F.col("key")))
-    first = F.col("key").isNull() if nulls else F.col("key") == F.lit(bounds[0])
-    opens = F.get(table, F.col("own")) == F.col("key")
-    places = F.filter(F.array(
-        F.struct(F.col("own").alias("piece"), F.lit(False).alias("ahead")),
-        F.when(opens & (F.col("own") > 0), F.struct((F.col("own") - 1).alias("piece"), F.lit(True).alias("ahead"))),
-        F.when(first, F.struct(F.lit(len(bounds) - 1).alias("piece"), F.lit(True).alias("ahead"))),
-    ), lambda x: x.isNotNull())
-    spread = docs.withColumn("own", piece).withColumn("at", F.explode(places)).select("at.piece", "at.ahead", "key", "text")
-    return spread.repartition("piece").sortWithinPartitions("piece", "ahead", "key", "text")
+    dealt = docs.mapInArrow(deal, "piece int, ahead boolean, key long, text binary").repartition("piece")
+    # rows of one key are ordered by their texts, so these are unpacked before
+    return dealt.mapInArrow(open_, "piece int, ahead boolean, key long, text string").sortWithinPartitions("piece", "ahead", "key", "text")
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Columns that are hexadecimal only in results: half the bytes until then.
+HEXED = ("edited_sha256", "fingerprint", "edited_fingerprint")
+
+
+def hexed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in HEXED if c in df.columns})
 
 
 def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,8 +203,20 @@ def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts have the fingerprint of no bits set.  Repeated rows follow each other.
     Other columns play no part; an empty table gives an empty result.
     """
+    return hexed(_digests(df, key, text))
+
+
+def linked_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.9) -> DataFrame:
+    """:func:`edit_fingerprints` with ``component_id, links`` of :func:`edit_groups`."""
+    # read several times to link them, so written once
+    return hexed(linked_prints(cut(_digests(df, key, text)), key, least))
+
+
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`edit_fingerprints` with binary columns for :data:`HEXED`."""
+    schema = f"`{key}` long, " + ", ".join(f"{c} {'binary' if c in HEXED else kind}" for c, kind in (x.split() for x in RESULT.split(", ")))
     if not df.limit(1).count():
-        return df.sparkSession.createDataFrame([], f"{key} long, {RESULT}")
+        return df.sparkSession.createDataFrame([], schema)
 
     def digest(rows: list[tuple], following: list[str]) -> pa.RecordBatch:
         own = [r[2] for r in rows]
@@ -191,8 +230,8 @@ def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
             after[jump] = fingerprints([following[i] for i in jump])
         return pa.RecordBatch.from_arrays([
             pa.array([r[1] for r in rows], pa.int64()), pa.array(n, pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-            pa.array([x.tobytes().hex() for x in a]), pa.array([x.tobytes().hex() for x in b]),
+            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited], pa.binary()),
+            pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()),
             pa.array(likeness(a, b)), pa.array(likeness(a, after)),
         ], [key, *(x.split()[0] for x in RESULT.split(", "))])
 
@@ -217,7 +256,7 @@ def edit_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         if waiting is not None:
             raise RuntimeError("a piece without the row after it")
 
-    return with_next(df, key, text).mapInArrow(run, f"{key} long, {RESULT}")
+    return with_next(df, key, text).mapInArrow(run, schema)
 
 
 def bit_bands(prints: np.ndarray, bands: int = 24, width: int = 24, seed: int = 9) -> np.ndarray:
@@ -229,20 +268,34 @@ def bit_bands(prints: np.ndarray, bands: int = 24, width: int = 24, seed: int =
     return np.stack([(b << width) + bits[:, rng.choice(BITS, width, replace=False)] @ place for b in range(bands)], axis=1)
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+
+
 def print_keys(df: DataFrame) -> DataFrame:
-    """``node, least_key, sig, bands`` of ``df(node, least_key, fingerprint)``."""
-    kind = df.schema["least_key"].dataType.simpleString()
+    """``node, bucket`` for every band of ``df(node, fingerprint)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = bit_bands(_bits(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["node", "bucket"])
+
+    return df.select("node", "fingerprint").mapInArrow(run, "node long, bucket long")
+
+
+def print_words(df: DataFrame) -> DataFrame:
+    """``node, sig`` of ``df(node, fingerprint)``: its bits as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            prints = np.frombuffer(bytes.fromhex("".join(batch.column(2).to_pylist())), np.uint8).reshape(n, BITS // 8)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.ascontiguousarray(prints).view(np.int64)), lists(bit_bands(prints))], ["node", "least_key", "sig", "bands"])
+            sig = _bits(batch.column(1)).view(np.int64)
+            at = pa.array(np.arange(len(sig) + 1) * sig.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(sig.ravel()))], ["node", "sig"])
 
-    return df.select("node", "least_key", "fingerprint").mapInArrow(run, f"node long, least_key {kind}, sig array<long>, bands array<long>")
+    return df.select("node", "fingerprint").mapInArrow(run, "node long, sig array<long>")
 
 
 def near_prints(a: F.Column, b: F.Column) -> F.Column:
@@ -276,25 +329,29 @@ def edit_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         prints = fingerprints(texts)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.tobytes().hex() for x in prints])], [key, "n_chars", "fingerprint"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.tobytes() for x in prints], pa.binary())], [key, "n_chars", "fingerprint"])
 
-    rows = cut(map_batches(df.select(F.col(key), F.col(text).alias("_text")), "_text", work, f"`{key}` {kind}, n_chars long, fingerprint string"))
-    return linked_prints(rows, key, least).select(key, "fingerprint", "component_id", "links")
+    rows = cut(map_batches(df.select(F.col(key), F.col(text).alias("_text")), "_text", work, f"`{key}` {kind}, n_chars long, fingerprint binary"))
+    return hexed(linked_prints(rows, key, least)).select(key, "fingerprint", "component_id", "links")
 
 
 def linked_prints(rows: DataFrame, key: str = "doc_id", least: float = 0.9) -> DataFrame:
     """``rows`` with ``component_id, links`` as :func:`edit_groups` finds them.
 
-    ``rows`` holds ``key, n_chars, fingerprint`` and is read several times.
+    ``rows`` holds ``key, n_chars, fingerprint`` (binary) and is read several times.
+    Only what shares a bucket, and rows that share a node, move with more than a key.
     """
     need = int(np.ceil((least + 1.0) / 2.0 * BITS))
-    rows = rows.withColumn("node", F.when(F.col("n_chars") > 0, F.xxhash64("fingerprint")))
-    same = rows.where("node is not null").groupBy("node", "fingerprint").agg(F.min(key).alias("least_key"))
-    nodes = cut(print_keys(same))
-    each = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = cut(each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
-    members = cut(spread_join(each, shared, "bucket", "members"))
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    name = F.xxhash64(F.lower(F.hex("fingerprint")))
+    rows = rows.withColumn("node", F.when(F.col("n_chars") > 0, name))
+    same = rows.where("node is not null").groupBy("fingerprint").agg(F.min(key).alias("least_key"), F.count("*").alias("copies"))
+    nodes = cut(same.select(name.alias("node"), "fingerprint", "least_key", "copies"))
+    # a row is two longs, so even one task can sort a hot bucket; there are too many buckets to shuffle them twice
+    bucket = Window.partitionBy("bucket")
+    each = print_keys(nodes).withColumns({"members": F.count("*").over(bucket), "hub": F.min("node").over(bucket)})
+    members = cut(each.where("members > 1"))
+    signed = cut(print_words(among(nodes.select("node", "fingerprint"), members, "node")))
+    a, b = (signed.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(stars.join(a, "a").join(b, "b").where(bit_likeness(F.col("sa"), F.col("sb"), BITS // 64) >= need).select("a", "b"))
     groups = components(links)
@@ -305,14 +362,15 @@ def linked_prints(rows: DataFrame, key: str = "doc_id", least: float = 0.9) -> D
         sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
         return [(node[i], node[j]) for i, j in _pairs_across(np.ones(len(node)), side, sig, label.copy(), need, 0, matching=_same_bits)]
 
-    sent = in_blocks(known, open_buckets(known), BLOCK).join(nodes.select("node", "sig"), "node")
-    more = cut(sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(across), "a long, b long").distinct())
+    sent = in_blocks(known, open_buckets(known), BLOCK).join(signed, "node")
+    more = cut(sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_blocks(across), "a long, b long").distinct())
     if more.limit(1).count():
         links = links.union(more).distinct()
         groups = components(links)
-    of = nodes.select("node", "least_key").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = nodes.select("node", "least_key", "copies").join(groups, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     counted = links.join(of.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("links"))
     first = of.groupBy("component").agg(F.min("least_key").alias("component_id")).join(counted, "component", "left")
-    final = of.join(first, "component").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.join(final, "node", "left")
-    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))).withColumn("links", F.coalesce("links", F.lit(0)).cast("long")).drop("node")
+    final = cut(of.join(first, "component").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    some, alone = split_among(rows, final, "node")
+    out = some.join(final, "node", "left").unionByName(alone.withColumns({"component_id": F.col(key), "links": F.lit(0)}))
+    return out.withColumn("component_id", F.coalesce("component_id", F.col(key))).withColumn("links", F.coalesce("links", F.lit(0)).cast("long")).drop("node")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests, bpe_round_trip
 from .common import cut, read_table
-from .fingerprints import edit_fingerprints, linked_prints
+from .fingerprints import linked_fingerprints
 from .html import extract_main_text
 from .mixing import mix_sources
 from .mixing_sql import MIXING_SQL
@@ -69,8 +69,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts, with groups of near ones."""
-    # read several times to link them, so written once
-    return linked_prints(cut(edit_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))))
+    return linked_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

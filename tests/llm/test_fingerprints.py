@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -105,3 +106,16 @@ def test_query_links_near_prints(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got == {r.doc_id: (r.fingerprint, r.component_id, r.links) for r in P.edit_groups(docs).collect()}
     assert any(c != k for k, (_, c, _) in got.items())
+
+
+def test_texts_move_packed(spark):
+    def moved():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f: f.stat().st_size for d in folders for f in Path(str(d)).rglob("shuffle_*.data")}
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    held = moved()
+    P.with_next(docs, "doc_id", "text").write.format("noop").mode("overwrite").save()
+    # 0.72 as plain strings
+    assert 0 < sum(n for f, n in moved().items() if f not in held) < 0.55 * size
