@@ -10,9 +10,10 @@
    Equal segments collapse to one; if a segment is found twice, all its strings
    are repeated.
 3. Bytes are fetched for one text of each segment left, only where a core has
-   different segments and one of them is not settled.  Segments go to shards by
-   core, so equal strings meet; each shard's suffix array and common prefixes
-   tell the repeated starts.  A core with more segments than a shard holds is
+   different segments and one of them is not settled: those before and after the
+   core, as one symbol stands for the core that all strings of a part hold whole.
+   Segments go to shards by core, so equal strings meet; each shard's suffix array
+   and common prefixes tell the repeated starts.  A core with more segments than a shard holds is
    split: parts get suffix arrays of their own, and each pair of parts is merged
    by binary search of one's strings in the other's array.
 4. Repeated starts go back to the runs, runs to their texts, and the covered
@@ -20,7 +21,7 @@
 
 Copies of a whole text are told by its hash beforehand, which is held against its
 SHA-256: nothing needs to be matched to know that all their strings are repeated.  Segments are told by
-two 64-bit hashes, the core's and their own.
+two 64-bit hashes, the core's and their own, cores by two of their bytes.
 
 The same steps over words find passages that documents share: there a symbol is
 a word, and a string counts if another document holds it too.
@@ -34,12 +35,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from . import winnow
-from .common import Folder, among, cut, map_batches, pieces, spread_join, text_buffer
+from .common import Folder, among, cut, map_batches, pieces, shuffle_partitions, slices, spread_join, text_buffer
 from .suffixes import MOST, alike, search
 
 GRAM = 128
@@ -48,8 +50,12 @@ PARTS = 4
 #: Segments in a part of a core's group.
 PART = 2800
 #: Segments in a shard, about, and symbols in one suffix array where groups share it.
-SHARD = 8000
+SHARD = 16_000
 TOGETHER = 700_000
+#: Bytes of texts that segments are cut from together, about, and segments cut at once.
+FETCH, CUTS = 1_000_000, 20_000
+#: Codes of bytes for the second hash of a core.
+CODES = K.CODES[::-1].copy()
 #: Words of a passage, at least, and of its anchor.
 PASSAGE, WORD_GRAM = 50, 18
 
@@ -67,10 +73,15 @@ class Strings:
         """Bytes that a fetched symbol takes."""
         return 8 if self.words else 1
 
+    @property
+    def reach(self) -> int:
+        """Starts of a part, at most; the rest of ``length`` is its core."""
+        return winnow.reach(self.length, self.gram, PARTS)
+
     @property
     def part(self) -> int:
         """Segments in a part, so that two parts' symbols fit in a suffix array."""
-        return max(1, min(PART, MOST // (2 * self.length)))
+        return max(1, min(PART, MOST // (4 * self.reach)))
 
     def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts end to end and the texts' bounds."""
@@ -111,14 +122,16 @@ def find_runs(texts: DataFrame, strings: Strings) -> DataFrame:
 
 
 def parted(runs: DataFrame, strings: Strings) -> DataFrame:
-    """``core, segment, content, low, high`` of each run's parts, as :func:`winnow.cores` cuts them."""
-    step = F.lit(-(-(strings.length - strings.gram + 1) // PARTS))
+    """``core, segment, content, low, high, lead`` of each run's parts, as :func:`winnow.cores`
+    cuts them; the core begins ``lead`` after the first start."""
+    step = F.lit(strings.reach)
     half = (F.size("hashes") / 2).cast("int")
     each = runs.withColumn("k", F.explode(F.sequence(F.lit(0), half - 1)))
     begin = F.col("spot") - (F.floor((F.col("spot") - F.col("low")) / step) - F.col("k")) * step
+    low = F.greatest(F.col("low"), begin - step + 1).cast("long")
     return each.select(
         F.get("hashes", F.col("k")).alias("core"), F.get("hashes", half + F.col("k")).alias("segment"), "content",
-        F.greatest(F.col("low"), begin - step + 1).cast("long").alias("low"), F.least(F.col("high"), begin).cast("long").alias("high"),
+        low.alias("low"), F.least(F.col("high"), begin).cast("long").alias("high"), (begin - low).cast("int").alias("lead"),
     )
 
 
@@ -133,7 +146,7 @@ _RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
 def match_shard(table: pa.Table, strings: Strings) -> pa.Table:
     """``core, segment, ranges``: the repeated starts of a shard's unsettled segments."""
-    length, width = strings.length, strings.width
+    length, width = strings.reach + 1, strings.width
     order = np.lexsort((table["segment"].to_numpy(), table["side"].to_numpy(), table["core"].to_numpy()))
     core, segment, side = (table[c].to_numpy()[order] for c in ("core", "segment", "side"))
     one = np.ones(len(order), bool)
@@ -142,15 +155,28 @@ def match_shard(table: pa.Table, strings: Strings) -> pa.Table:
     settled = table["settled"].to_numpy()[order]
     # a settled segment has a partner for any document
     label = np.where(settled, segment, table["label"].to_numpy()[order])
+    # equal cores have one number
+    check, lead = table["check"].to_numpy()[order], table["lead"].to_numpy()[order].astype(np.int64)
+    by_core = np.lexsort((check, core))
+    number = np.empty(len(order), np.int64)
+    number[by_core] = np.cumsum(np.append(0, (np.diff(core[by_core]) != 0) | (np.diff(check[by_core]) != 0))[: len(order)])
     data = table["bytes"].combine_chunks().take(pa.array(order))
-    size = pa.compute.binary_length(data).to_numpy().astype(np.int64) // width
+    size = pa.compute.binary_length(data).to_numpy().astype(np.int64) // width + 1
     out: tuple[list, list, list] = ([], [], [])
 
     def symbols(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(b"".join(data.slice(a, b - a).to_pylist()), np.uint64 if strings.words else np.uint8)
         if strings.words:
-            own = np.unique(own, return_inverse=True)[1].astype(np.int64)
-        return own, np.concatenate([[0], np.cumsum(size[a:b])])
+            own = np.unique(own, return_inverse=True)[1]
+        # each segment's core, between what is before and after it
+        bounds = np.concatenate([[0], np.cumsum(size[a:b])])
+        at = bounds[:-1] + lead[a:b]
+        both = np.empty(bounds[-1], np.int64)
+        held = np.ones(bounds[-1], bool)
+        held[at] = False
+        both[held] = own
+        both[at] = number[a:b] - number[a:b].min() + (int(own.max(initial=0)) + 1 if strings.words else 256)
+        return both, bounds
 
     def labels(a: int, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return label[a + np.searchsorted(bounds, starts, side="right") - 1] if strings.words else starts
@@ -227,29 +253,43 @@ def repeated_starts(texts: DataFrame, strings: Strings, folder: Folder, runs: Da
     shared = cut(runs.groupBy("anchor").agg(*several("spot"), F.count("*").alias("rows")).where("x <> y").select("anchor", "rows"))
     # written first, so that a join can split what one core has
     parts = folder.stored(parted(spread_join(runs, shared, "anchor", "rows"), strings))
-    found_at = parts.groupBy("core", "segment").agg(*several("low"), F.min(F.struct("content", "low", "high")).alias("one"))
-    segments = folder.stored(found_at.select("core", "segment", (F.col("x") != F.col("y")).alias("settled"), "one"))
+    # the first row's content and place, as all of one aggregation see the same rows
+    one = ("content", "low", "high", "lead")
+    found_at = parts.groupBy("core", "segment").agg(*several("low"), *(F.first(c).alias(c) for c in one))
+    segments = folder.stored(found_at.select("core", "segment", (F.col("x") != F.col("y")).alias("settled"), *one))
     groups = cut(segments.groupBy("core").agg(F.count("*").alias("different"), F.min("settled").alias("all")).where("different > 1 and not all").select("core", "different"))
-    wanted = folder.stored(spread_join(segments, groups, "core", "different").select("core", "segment", "different", "settled", "one.*"))
+    wanted = folder.stored(spread_join(segments, groups, "core", "different").select("core", "segment", "different", "settled", *one))
     n = pieces(wanted.count(), SHARD, most=1 << 30)
 
     # the symbols of one text of each segment
-    by_text = wanted.groupBy("content").agg(F.collect_list(F.struct("core", "segment", "different", "settled", "low", "high")).alias("cuts"))
+    by_text = wanted.groupBy("content").agg(F.collect_list(F.struct("core", "segment", "different", "settled", "lead", "low", "high")).alias("cuts"))
     holders = among(texts.select("content", "text"), wanted.select("content"), "content")
     length = strings.length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data, _ = strings.symbols(batch.column(0).slice(i, 1))
-                cuts = batch.column(1)[i].values
-                low, high = (cuts.field(k).to_numpy() for k in (4, 5))
-                for a in range(0, len(low), 2000):
-                    part = slice(a, a + 2000)
-                    own = [data[x : y + length].tobytes() for x, y in zip(low[part].tolist(), high[part].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(cuts.field(k).slice(a, 2000) for k in range(4)), batch.column(2).take(pa.array([i] * len(own))), pa.array(own, pa.binary())], ["core", "segment", "different", "settled", "label", "bytes"])
-
-    fetched = holders.join(by_text, "content").select("text", "cuts", F.xxhash64("content").alias("label")).mapInArrow(fetch, "core long, segment long, different long, settled boolean, label long, bytes binary")
+        for piece in (p for batch in batches for p in slices(batch, "text", FETCH)):
+            data, offsets = strings.symbols(piece.column(2))
+            codes = K.mix(data) if strings.words else data
+            count = pa.compute.list_value_length(piece.column(0)).to_numpy()
+            texts_of, every = np.repeat(np.arange(piece.num_rows), count), piece.column(0).flatten()
+            for at in range(0, len(every), CUTS):
+                cuts, text = every.slice(at, CUTS), texts_of[at : at + CUTS]
+                lead, low, high = (cuts.field(k).to_numpy().astype(np.int64) for k in (4, 5, 6))
+                first, end = offsets[text] + low, offsets[text] + high + length
+                begin = first + lead
+                close = begin + length - strings.reach
+                order = np.argsort(begin, kind="stable")
+                check = np.empty(len(begin), np.uint64)
+                check[order] = K.span_hashes(codes, begin[order], close[order], CODES)
+                # the symbols from first to begin and from close to end
+                sides = np.stack([lead, end - close], 1).ravel()
+                shift = np.stack([first, close], 1).ravel() - (np.cumsum(sides) - sides)
+                own = data[np.arange(sides.sum()) + np.repeat(shift, sides)]
+                bounds = np.concatenate([[0], np.cumsum((lead + end - close) * strings.width)]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(bounds), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([*(cuts.field(k) for k in range(5)), piece.column(1).take(pa.array(text)), pa.array(check.view(np.int64)), held], ["core", "segment", "different", "settled", "lead", "label", "check", "bytes"])
+
+    fetched = holders.join(by_text, "content").select("cuts", F.xxhash64("content").alias("label"), "text").mapInArrow(fetch, "core long, segment long, different long, settled boolean, lead int, label long, check long, bytes binary")
     mine = F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int")
     sent = (
         fetched.withColumn("parts", F.ceil(F.col("different") / strings.part).cast("int")).withColumn("mine", mine)
@@ -258,11 +298,13 @@ def repeated_starts(texts: DataFrame, strings: Strings, folder: Folder, runs: Da
             F.when(F.col("parts") > 1, F.col("core")).otherwise(F.pmod("core", F.lit(n))).alias("shard"),
             F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            "core", "segment", "settled", "label", "bytes",
+            "core", "segment", "settled", "lead", "label", "check", "bytes",
         )
     )
+    # little is sent for the work that it makes: as many tasks as partitions, not as few as bytes ask for
+    sent = sent.repartition(shuffle_partitions(texts.sparkSession), "shard", "i", "j")
     matched = sent.groupBy("shard", "i", "j").applyInArrow(lambda t: match_shard(t, strings), "core long, segment long, ranges array<struct<low:long,high:long>>")
-    whole = segments.where("settled").select("core", "segment", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("one.high") - F.col("one.low")).alias("high"))).alias("ranges"))
+    whole = segments.where("settled").select("core", "segment", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("high") - F.col("low")).alias("high"))).alias("ranges"))
     found = folder.stored(matched.union(whole))
     back = parts.join(found, ["core", "segment"]).select("content", F.explode(F.transform("ranges", lambda r: F.struct((F.col("low") + r["low"]).alias("low"), (F.col("low") + r["high"] + length).alias("high")))).alias("s"))
     return back.groupBy("content").agg(F.array_sort(F.collect_set("s")).alias("spans"))

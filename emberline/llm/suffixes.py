@@ -1,7 +1,7 @@
 """Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai's common prefixes, search.
 
 A shard is a set of segments laid end to end; suffixes end with their segment.
-Symbols are bytes, or words numbered from 0 within the shard.
+Symbols are bytes, or numbers from 0 within the shard.
 A suffix's rank is the slot where its class of yet equal suffixes begins, and
 each round sorts the classes still open by the rank ``h`` further on, doubling
 ``h``.  Sort keys hold rank, rank and position in one 64-bit word, so a shard
@@ -20,7 +20,7 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order; equal ones by position."""
     # as many first symbols as a sort key holds, each above the end's 0
     bits = 9 if data.dtype == np.uint8 else max(9, int(data.max(initial=0) + 1).bit_length())
-    first = max(1, 36 // bits)
+    first = max(1, (64 - FIELD) // bits)
     n = len(data)
     if n > MOST:
         raise ValueError("too long for one shard")

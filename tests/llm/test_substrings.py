@@ -158,3 +158,27 @@ def test_passages_spaced_otherwise(spark):
     rows = [(0, "a " + " ".join(words) + " b"), (1, "c\n" + "\t ".join(words)), (2, " ".join(words[:49]) + " d " * 60), (3, "e " * 55), (4, "e " * 55), (5, "f " * 200)]
     found = {x.doc_id: (x.n_passages, x.n_passage_words, [(p.low, p.high) for p in x.passages]) for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {0: (1, 50, [(1, 51)]), 1: (1, 50, [(1, 51)]), 2: (0, 0, []), 3: (1, 55, [(0, 55)]), 4: (1, 55, [(0, 55)]), 5: (0, 0, [])}
+
+
+def test_only_symbols_beside_the_core_are_matched(monkeypatch):
+    """One symbol stands for a core, and only if both of its hashes agree."""
+    strings = S.Strings(400, 128)
+    sides, lead = [b"abcX" + b"z" * 68, b"defX" + b"z" * 68], 4
+    seen = []
+    monkeypatch.setattr(S, "alike", lambda data, bounds, length: seen.append((len(data), length)) or suffixes.alike(data, bounds, length))
+    for checks, want in ([7, 7], 1), ([7, 8], 0):
+        table = S.pa.table({"core": [5, 5], "segment": [1, 2], "side": [0, 0], "settled": [False, False], "lead": S.pa.array([lead, lead], S.pa.int32()), "label": [1, 2], "check": checks, "bytes": sides})
+        found = S.match_shard(table, strings).to_pylist()
+        # the strings from the fourth byte on are 1 + 1 + 68 symbols in both
+        assert [(r["segment"], r["ranges"]) for r in found] == [(k, [{"low": 3, "high": 3}]) for k in (1, 2)] * want
+    assert seen == [(146, 70)] * 2
+    # a part's length in bytes is 400 at least
+    assert strings.reach == 69
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 12))
+def test_last_least(values, window):
+    values = [v << 40 for v in values]
+    want = [max(range(i, i + window), key=lambda k: (-values[k], k)) for i in range(len(values) - window + 1)]
+    assert winnow.last_least(np.array(values, np.uint64), window).tolist() == want
