@@ -54,6 +54,8 @@ ABOUT = frozenset("above before has hide is js no non show under with without".s
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # What holds articles of others: an article tag inside does not make it content.
 CARDS = frozenset("comment comments disqus promo promoted related replies respond sponsor sponsored".split())
+# Readers' own: an article tag so named is one of these itself.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
 CARD_TAGS = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -75,8 +77,10 @@ def _named(value: str, words: frozenset[str]) -> bool:
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROP or tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return _cards(tag, attributes, COMMENTS)
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id") and _named(value, DROP_WORDS):
@@ -88,10 +92,10 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _cards(tag: str, attributes: str) -> bool:
+def _cards(tag: str, attributes: str, names: frozenset[str] = CARDS) -> bool:
     """Whether an element holds articles of others: comments, teasers, links."""
     words = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
-    return tag in CARD_TAGS or any(_named(w.lower(), CARDS) for w in words)
+    return tag in CARD_TAGS or any(_named(w.lower(), names) for w in words)
 
 
 def _closed(html: str) -> set[int]:
@@ -188,7 +192,8 @@ def lines(html: str, closed: set[int] | None = None) -> list[tuple[str, int, flo
         close()
         anchors = 0
         heading = tag in HEADINGS and not ends
-        if tag in ("article", "main"):
+        dropped = not ends and tag not in VOID and not m[4].endswith("/") and _boilerplate(tag, m[4], article > 0)
+        if tag in ("article", "main") and not dropped:
             if not ends and (article or not _cards(tag, m[4])):
                 article += 1
                 if article == 1:
@@ -198,7 +203,7 @@ def lines(html: str, closed: set[int] | None = None) -> list[tuple[str, int, flo
                 article -= 1
                 if article == 0:
                     out.append(("", marked, 0.0, BORDER))
-        elif not ends and tag not in VOID and not m[4].endswith("/") and _boilerplate(tag, m[4], article > 0):
+        elif dropped:
             skipped, depth, start, cards = tag, 1, m.start(), _cards(tag, m[4])
             loose = _Skip(tag) if again and start not in closed else None
             out.extend([("", marked if article else 0, 0.0, OUTER if tag in ("nav", "header", "footer", "menu", "head") else INNER)] * WINDOW)

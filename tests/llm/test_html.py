@@ -117,3 +117,14 @@ def test_an_unclosed_element_ends_where_it_must():
         assert "News" not in text and "rights" not in text, page
     assert main_text(f"<body><nav>{links}<p>{links}</p></nav>{STORY}{STORY}</body>").count("News") == 0
     assert main_text("<nav>" * 3000 + STORY).count("story") == 6
+
+
+def test_a_comment_in_its_own_article_tag_is_dropped():
+    """The body lies in a div; reader comments are article elements themselves."""
+    body = "".join(f"<p>Sentence {i} of the body is long enough to stand on its own, as it says much.</p>" for i in range(4))
+    comment = "<article class='comment-body'><p>I liked this text a lot and write more than eighty-six characters about it, as readers do.</p></article>"
+    text = "\n".join(f"Sentence {i} of the body is long enough to stand on its own, as it says much." for i in range(4))
+    for page in (f"<div>{body}</div>{comment}{comment}", f"<article>{body}{comment}</article>", f"<div>{body}</div><section>{comment}</section>"):
+        assert main_text(f"<html><body>{page}</body></html>") == text
+    # other names of an article are as before
+    assert main_text(f"<html><body><article class='post comments-open has-comments'>{body}</article></body></html>") == text
