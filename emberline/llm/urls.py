@@ -109,11 +109,12 @@ def url_tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
 RULES = "antecedent array<string>, confidence double, support double, anchor string"
 
 
-def mine_rules(labelled: DataFrame, tokens: str = "tokens", block: str = "block", support: float = 0.005, least: int = 20, confidence: float = 0.8) -> DataFrame:
+def mine_rules(labelled: DataFrame, tokens: str = "tokens", block: str = "block", support: float = 0.0, least: int = 20, confidence: float = 0.8) -> DataFrame:
     """``antecedent, confidence, support, anchor``: token sets that go with the label block.
 
     A rule needs ``least`` blocked rows and ``confidence``, one of several tokens
-    also ``support`` of the labelled rows; one that a shorter rule of no less
+    also ``support`` of the labelled rows (no share by default, so that a long tail of hosts
+    has rules however many rows there are); one that a shorter rule of no less
     confidence covers is left out.  ``anchor`` is its rarest token.  No labelled
     rows: no rules.
 

@@ -118,3 +118,9 @@ def test_many_listed_rules_are_joined(spark, monkeypatch):
     assert len(more) > urls.LITERAL_RULES
     got = urls.filter_urls(pages, none, more).collect()
     assert len(got) == len(URLS) + 1 and all((r.host, r.path, r.rule, r.verdict) == brute(URLS[r.page_id]) for r in got)
+
+
+def test_a_rare_pair_is_a_rule_among_many_rows(spark):
+    """A hundred blocked rows of 30,000: a third of a percent, and each token is half allowed."""
+    rows = spark.range(30_000).selectExpr("CASE id % 300 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('a') WHEN 2 THEN array('b') ELSE array('c') END AS tokens", "id % 300 = 0 AS block")
+    assert [(r.antecedent, r.confidence, round(r.support * 30_000)) for r in urls.mine_rules(rows).collect()] == [(["a", "b"], 1.0, 100)]
