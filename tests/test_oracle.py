@@ -42,3 +42,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_source_has_a_role(spark, tmp_path):
+    """Null, longer and line-ended sources are queries; only src0 to src9 are references."""
+    sources = ["src1", "src9", "src10", "src123", "src1\n", "other", "", None]
+    docs = spark.createDataFrame([(i, "same" if i % 2 else f"text {i}", "en", s, 4) for i, s in enumerate(sources * 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES["exact_shortcut"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(ORACLE_SQL["exact_shortcut"]).df())
+    assert set(got["query"]) == {i for i, s in enumerate(sources * 2) if s not in ("src1", "src9")}
